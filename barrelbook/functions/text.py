@@ -45,10 +45,14 @@ def or_empty(text: Column) -> Column:
 
 
 def skill_tags(text: Column, skills: Sequence[str] = SKILLS) -> Column:
-    """The keywords found in ``text``, comma-joined in list order; NULL text stays NULL."""
+    """The keywords found in ``text``, comma-joined in list order; NULL text stays NULL.
+
+    The empty prefix carries the NULL. It stands outside any condition, so the lowered
+    text is a common subexpression that is worked out once per row.
+    """
     lowered = F.lower(text)
     hits = [F.when(F.contains(lowered, F.lit(skill)), F.lit(skill)) for skill in skills]
-    return F.when(text.isNotNull(), F.concat_ws(",", *hits))
+    return F.concat(F.left(text, F.lit(0)), F.concat_ws(",", *hits))
 
 
 def transliterate(text: Column) -> Column:

@@ -6,12 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _domain(df: DataFrame, keys: Sequence[str], axis: str, first: int, last: int) -> DataFrame:
-    kind = df.schema[axis].dataType
-    steps = F.sequence(F.lit(first), F.lit(last))
-    return df.select(*keys).distinct().withColumn(axis, F.explode(steps).cast(kind))
+def _domain(
+    df: DataFrame, keys: Sequence[str], axis: str, first: int, last: int, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Every key with every axis value. Generated per key, so no cross join occurs."""
+    carried = [F.min_by(c, axis).alias(f"_first_{c}") for c in carry]
+    per_key = df.groupBy(*keys).agg(*carried) if carried else df.select(*keys).distinct()
+    steps = F.sequence(F.lit(first), F.lit(last)).cast(T.ArrayType(df.schema[axis].dataType))
+    return per_key.withColumn(axis, F.explode(steps))
 
 
 def densify(
@@ -21,15 +26,16 @@ def densify(
     first: int,
     last: int,
     fill: Mapping[str, object],
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per key and ``axis`` value in ``first..last``; gaps take ``fill``.
-
-    The domain is generated per key, so no cross join occurs.
-    """
+    """One row per key and ``axis`` value in ``first..last``. Gaps take the constants of
+    ``fill``; ``carry`` columns take the value of the key's earliest row."""
     keys = list(keys)
-    full = _domain(df, keys, axis, first, last).join(df, [*keys, axis], "left")
+    full = _domain(df, keys, axis, first, last, carry).join(df, [*keys, axis], "left")
     for name, value in fill.items():
         full = full.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
+    for name in carry:
+        full = full.withColumn(name, F.coalesce(F.col(name), F.col(f"_first_{name}")))
     return full.select(*df.columns)
 
 

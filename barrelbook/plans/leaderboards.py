@@ -90,9 +90,15 @@ def _worst(*ids: str) -> list[Column]:
 
 
 def _home_totals(
-    reviews: DataFrame, venues: DataFrame, as_of: str | date, days: int, previous_days: int, country: str
+    reviews: DataFrame,
+    venues: DataFrame,
+    keys: list[str],
+    as_of: str | date,
+    days: int,
+    previous_days: int,
+    country: str,
 ) -> DataFrame:
-    """Totals per venue city and brewery, inside the country.
+    """Totals per ``keys`` (brewery, venue city), inside the country.
 
     Aggregating by (venue, brewery) first leaves a hot venue with one row per brewery
     when it meets the venue table.
@@ -101,7 +107,7 @@ def _home_totals(
     by_venue = two_window_totals(located, ["venue_id", "brewery_id"], as_of, days, previous_days)
     places = venues.select("venue_id", "venue_city", "venue_country")
     placed = any_left_join(by_venue, places, "venue_id").filter(F.col("venue_country") == country)
-    return merge_totals(placed, ["venue_city", "brewery_id"])
+    return merge_totals(placed, keys)
 
 
 def _move_within_top(ranked: DataFrame, key: str) -> DataFrame:
@@ -126,9 +132,7 @@ def brewery_ranks(
     k: int = 10,
 ) -> DataFrame:
     """The top ``k`` breweries of each window, by mean rating."""
-    totals = merge_totals(
-        _home_totals(reviews, venues, as_of, days, previous_days, country), ["brewery_id"]
-    )
+    totals = _home_totals(reviews, venues, ["brewery_id"], as_of, days, previous_days, country)
     rated = window_rows(totals, ["brewery_id"]).filter(F.col("checkins") >= min_checkins)
     return top_k_within(rated, ["window"], _best("brewery_id"), k)
 
@@ -177,7 +181,7 @@ def city_leaderboard(
     venue city a board of its own. A brewery listed under both spellings has two rows and,
     if that was so before, no previous rank.
     """
-    totals = _home_totals(reviews, venues, as_of, days, previous_days, country)
+    totals = _home_totals(reviews, venues, ["venue_city", "brewery_id"], as_of, days, previous_days, country)
     if board_cities is None:
         boards = totals.withColumn("board_city", F.col("venue_city"))
     else:

@@ -14,7 +14,7 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multiline: bool = False
+    spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True, multiline: bool = False
 ) -> DataFrame:
     """CSV with doubled quotes as escapes. Without a header the schema names the columns.
 
@@ -31,7 +31,7 @@ def read_csv(
 
 
 def read_csv_after_preamble(
-    spark: SparkSession, path: str, schema: T.StructType, skip_lines: int, header: bool = True
+    spark: SparkSession, path: str, schema: str, skip_lines: int, header: bool = True
 ) -> DataFrame:
     """CSV whose first ``skip_lines`` lines, and then the header, are no data.
 
@@ -52,16 +52,16 @@ def read_csv_after_preamble(
     )
     rest = lines.filter(F.col("_block") > 0)
     body = head.select("value").unionByName(rest.select("value")).filter(F.trim("value") != "")
-    parsed = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), {"escape": '"'})
+    parsed = F.from_csv("value", schema, {"escape": '"'})
     return body.select(parsed.alias("_row")).select("_row.*")
 
 
-def parse_records(df: DataFrame, column: str | Column, schema: T.StructType, keep: list[str] = ()) -> DataFrame:
+def parse_records(df: DataFrame, column: str | Column, schema: str | T.StructType, keep: list[str] = ()) -> DataFrame:
     """JSON text to one struct column ``record``; malformed text gives NULL fields."""
     body = F.col(column) if isinstance(column, str) else column
     return df.select(*keep, F.from_json(body, schema).alias("record"))
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines as one struct column ``record``."""
     return spark.read.schema(schema).json(path).select(F.struct("*").alias("record"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrelbook import operators as ops
-from barrelbook.plans import leaderboards, regions, scatter
+from barrelbook.functions import dates, numbers, rules, salary, text
+from barrelbook.plans import accounts, catalogue, leaderboards, panel, regions, scatter, vacancies
+from barrelbook.sources import html
 
+from . import derived as d
 from .roles import Roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +127,385 @@ def share_sum_mean(t: Roles) -> DataFrame:
 def region_rating(t: Roles) -> DataFrame:
     rated = regions.region_rating(t.reviews(), t.venues())
     return rated.select(F.col("region_id").cast("bigint").alias("region_id"), "region_name", "beer_pure_avg")
+
+
+# Country-year panel ----------------------------------------------------------------
+
+FIRST_YEAR, LAST_YEAR = 1995, 2002
+
+
+@query
+def continent_lookup(t: Roles) -> DataFrame:
+    yearly = panel.yearly_prices(t.quotes(), FIRST_YEAR, LAST_YEAR)
+    return panel.with_continent(yearly, t.continents()).select("name", F.col("year").cast("bigint").alias("year"), "continent")
+
+
+@query
+def panel_densified(t: Roles) -> DataFrame:
+    yearly = panel.yearly_prices(t.quotes(), FIRST_YEAR, LAST_YEAR).select("name", "year", "dollar_price")
+    full = ops.densify(yearly, ["name"], "year", FIRST_YEAR, LAST_YEAR, {"dollar_price": 0.0})
+    return full.withColumn("year", F.col("year").cast("bigint"))
+
+
+@query
+def missing_years(t: Roles) -> DataFrame:
+    years = t.quotes().select("name", F.year("date").alias("year"))
+    gaps = ops.missing_keys(years, ["name"], "year", 1990, LAST_YEAR)
+    return gaps.withColumn("year", F.col("year").cast("bigint"))
+
+
+@query
+def wide_to_long_join(t: Roles) -> DataFrame:
+    yearly = panel.yearly_prices(t.quotes(), FIRST_YEAR, LAST_YEAR).select("name", "year")
+    wide = t.gdp(FIRST_YEAR, LAST_YEAR).withColumnRenamed("Country Name", "name")
+    joined = ops.attach_years(yearly, wide, "name", range(FIRST_YEAR, LAST_YEAR + 1), "year", "gdp")
+    return joined.withColumn("year", F.col("year").cast("bigint"))
+
+
+def _panel(t: Roles) -> DataFrame:
+    return panel.price_panel(
+        t.quotes(),
+        t.continents(),
+        t.population(FIRST_YEAR, LAST_YEAR),
+        t.gdp(FIRST_YEAR, LAST_YEAR),
+        FIRST_YEAR,
+        LAST_YEAR,
+        excluded=["NATION_20"],
+        aliases={"Nation Four": "NATION_4"},
+    ).withColumn("year", F.col("year").cast("bigint"))
+
+
+@query
+def price_panel(t: Roles) -> DataFrame:
+    return _panel(t)
+
+
+@query
+def motion_frames(t: Roles) -> DataFrame:
+    frames = panel.motion_frames(_panel(t))
+    points = F.arrays_zip("text", "x", "y", "size", "customdata")
+    shown = frames.select("year", "continent", F.posexplode(points).alias("position", "point"))
+    return shown.select(
+        "year",
+        "continent",
+        F.col("position").cast("bigint").alias("position"),
+        F.col("point.text").alias("text"),
+        F.col("point.x").alias("x"),
+        F.col("point.y").alias("y"),
+        F.col("point.size").alias("size"),
+        F.col("point.customdata").alias("customdata"),
+    )
+
+
+# Reusable steps ----------------------------------------------------------------------
+
+
+@query
+def any_left_join_lookup(t: Roles) -> DataFrame:
+    customers = t.table("customer").select("c_custkey", "c_name")
+    orders = t.table("orders").select(
+        F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", "o_orderstatus"
+    )
+    joined = ops.any_left_join(
+        customers, orders, "c_custkey", ["o_orderdate", "o_orderkey"], {"o_orderstatus": "none"}
+    )
+    return joined.select("c_custkey", "c_name", "o_orderkey", "o_orderstatus")
+
+
+@query
+def dict_lookup_default(t: Roles) -> DataFrame:
+    orders = t.table("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    names = t.table("customer").filter(F.col("c_acctbal") > 0).select("c_custkey", "c_name")
+    return ops.dict_lookup(orders, names, "c_custkey", {"c_name": ""})
+
+
+@query
+def lookup_exactly_one(t: Roles) -> DataFrame:
+    customers = t.table("customer").select("c_custkey")
+    finished = t.table("orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+    finished = finished.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return ops.lookup_exactly_one(customers, finished, "c_custkey", ["o_orderkey"], {"o_orderkey": -1})
+
+
+@query
+def anti_join_new_keys(t: Roles) -> DataFrame:
+    events = t.table("events").select("event_id", "user_id", "event_type", "value")
+    stored = events.filter(F.col("value") > 250).select("user_id", "event_type")
+    return ops.new_rows(events, stored, ["user_id", "event_type"], ["event_id"])
+
+
+@query
+def semi_join_styles(t: Roles) -> DataFrame:
+    rated = t.ratings().filter(F.col("rating_score") >= 50).select("beer_id")
+    return ops.semi_join(t.beers(), rated, "beer_id")
+
+
+@query
+def alias_normalisation(t: Roles) -> DataFrame:
+    nations = t.table("nation").select("n_name", F.col("n_regionkey").cast("bigint").alias("n_regionkey"))
+    renamed = ops.alias_names(nations, "n_name", {"NATION_1": "ONE", "NATION_11": "ONE"})
+    customers = t.table("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    named = t.table("nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"))
+    totals = ops.alias_names(named, "n_name", {"NATION_1": "ONE", "NATION_11": "ONE"})
+    return totals.groupBy("n_name").agg(F.sum("customers").alias("customers")).join(
+        renamed.groupBy("n_name").agg(F.count(F.lit(1)).alias("spellings")), "n_name"
+    )
+
+
+@query
+def dedup_keep_first(t: Roles) -> DataFrame:
+    events = t.table("events").select("user_id", "event_type", "event_id", "value")
+    return ops.keep_first(events, ["user_id", "event_type"], [F.col("value").desc(), "event_id"])
+
+
+@query
+def dedup_drop_all(t: Roles) -> DataFrame:
+    orders = t.table("orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    return ops.drop_repeated_keys(orders, ["o_custkey", "o_orderpriority"])
+
+
+@query
+def latest_by_key(t: Roles) -> DataFrame:
+    events = t.table("events").select("user_id", "event_id", "event_type", "props")
+    return ops.latest_by_key(events, ["user_id"], "event_id")
+
+
+@query
+def row_ids_after_max(t: Roles) -> DataFrame:
+    orders = t.table("orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice", "o_orderstatus")
+    stored = orders.filter(F.col("o_orderstatus") == "F")
+    batch = orders.filter(F.col("o_orderstatus") != "F").select(F.col("row_idx").alias("o_orderkey"), "o_totalprice")
+    return ops.number_rows_after(stored, batch, [F.col("o_totalprice").asc(), F.col("o_orderkey").asc()])
+
+
+@query
+def rows_after_offset(t: Roles) -> DataFrame:
+    parts = t.table("part").select("p_partkey", "p_name", "p_size")
+    return catalogue.after_first(parts, [F.col("p_size").desc(), F.col("p_partkey").asc()], 30).select(
+        "p_partkey", "p_name"
+    )
+
+
+@query
+def union_by_name(t: Roles) -> DataFrame:
+    customers = t.table("customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    suppliers = t.table("supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))
+    return customers.unionByName(suppliers)
+
+
+# Rules and salary texts ----------------------------------------------------------------
+
+
+@query
+def name_exclusion(t: Roles) -> DataFrame:
+    names = t.order_texts(name=d.vacancy_name("o_orderkey"))
+    name = text.strip_quotes(F.col("name"))
+    return names.select("posting_id", name.alias("name"), rules.excluded_name(name).alias("excluded"))
+
+
+@query
+def title_rules(t: Roles) -> DataFrame:
+    titles = t.order_texts(query=d.query("o_orderkey"), title=d.title("o_orderkey"))
+    return titles.select(
+        "posting_id",
+        "title",
+        rules.has_title_rules(F.col("query")).alias("has_rules"),
+        rules.title_matches(F.col("title"), F.col("query")).alias("accepted"),
+    )
+
+
+@query
+def skill_tags(t: Roles) -> DataFrame:
+    return t.table("documents").select("doc_id", text.skill_tags(F.col("text")).alias("skills"))
+
+
+@query
+def currency_detect(t: Roles) -> DataFrame:
+    return t.table("documents").select("doc_id", salary.currency_of(F.col("text")).alias("currency"))
+
+
+@query
+def period_detect(t: Roles) -> DataFrame:
+    texts = t.order_texts(salary_text=d.salary("o_orderkey"))
+    split = salary.split_period(F.col("salary_text"))
+    return texts.filter(F.col("salary_text").isNotNull()).select(
+        "posting_id", split["period"].alias("period"), split["text"].alias("rest")
+    )
+
+
+@query
+def salary_range(t: Roles) -> DataFrame:
+    texts = t.order_texts(salary_text=d.salary("o_orderkey")).withColumn(
+        "split", salary.split_period(F.col("salary_text"))
+    )
+    amounts = salary.clean_amounts(salary.without_currency(F.col("split.text")))
+    period = F.col("split.period")
+    return texts.filter(F.col("salary_text").isNotNull()).select(
+        "posting_id",
+        salary.currency_of(F.col("split.text")).alias("currency"),
+        salary.amount(salary.range_bound(amounts, 1), period).alias("salary_from"),
+        salary.amount(salary.range_bound(amounts, -1), period).alias("salary_to"),
+    )
+
+
+def _salaries(t: Roles) -> DataFrame:
+    postings = t.order_texts(salary_text=d.salary("o_orderkey"), code=d.COUNTRY_CODE)
+    located = postings.withColumn("country", vacancies.country_name(F.col("code")))
+    return vacancies.normalise_salaries(located, t.rates(), t.price_index(), d.PRICING_DAY)
+
+
+@query
+def salary_month_usd(t: Roles) -> DataFrame:
+    priced = _salaries(t)
+    amounts = [f"{span}_salary_{side}_USD" for span in ("month", "year") for side in ("from", "to")]
+    return priced.select("posting_id", "salary_status", *[F.round(c, 4).alias(c) for c in amounts])
+
+
+@query
+def salary_index_units(t: Roles) -> DataFrame:
+    priced = _salaries(t)
+    amounts = [f"{span}_salary_{side}_bigmac" for span in ("month", "year") for side in ("from", "to")]
+    return priced.select("posting_id", "country", *[F.round(c, 4).alias(c) for c in amounts])
+
+
+@query
+def relative_dates(t: Roles) -> DataFrame:
+    texts = t.order_texts(date_text=d.date_text("o_orderkey"))
+    day = dates.relative_date(F.col("date_text"), d.PRICING_DAY)
+    return texts.select("posting_id", day.cast("string").alias("day"))
+
+
+@query
+def sheet_names(t: Roles) -> DataFrame:
+    return t.table("orders").select("o_orderkey", dates.quarter_sheet(F.col("o_orderdate")).alias("sheet"))
+
+
+@query
+def result_counts(t: Roles) -> DataFrame:
+    captions = t.order_texts(code=d.COUNTRY_CODE, caption=d.caption(d.COUNTRY_CODE))
+    return captions.select("posting_id", dates.result_count(F.col("caption"), F.col("code")).alias("results"))
+
+
+@query
+def keywords_by_country(t: Roles) -> DataFrame:
+    terms = t.table("part").select(
+        F.when(F.col("p_size") % 2 == 0, "ru").otherwise("en").alias("language"), F.col("p_name").alias("query")
+    ).distinct()
+    places = t.table("nation").select(
+        F.when(F.col("n_nationkey") == 4, "ru").otherwise(F.expr(d.COUNTRY_CODE)).alias("country_code")
+    )
+    return vacancies.keywords_by_country(terms, places).select("country_code", "language", "query")
+
+
+# Feeds -----------------------------------------------------------------------------------
+
+
+@query
+def vacancy_feed_flatten(t: Roles) -> DataFrame:
+    flat = vacancies.flatten_feed(t.feed_records())
+    return flat.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def vacancy_feed_filters(t: Roles) -> DataFrame:
+    records = t.feed_records()
+    return records.select(F.col("record.id").alias("vacancy_id"), vacancies.feed_accepts().alias("accepted"))
+
+
+@query
+def vacancy_feed(t: Roles) -> DataFrame:
+    fresh = vacancies.vacancy_feed(t.feed_records(t.repeated_feed()), t.stored_vacancies())
+    return fresh.select(
+        "vacancy_id", "query_string", "name", "salary_from", "salary_currency", "address_metro_stations", "schedule"
+    )
+
+
+@query
+def vacancy_salaries(t: Roles) -> DataFrame:
+    cards = vacancies.result_cards(t.result_pages(), ["query_string", "country_code"])
+    rows = vacancies.vacancy_salaries(cards, t.stored_postings(), t.rates(), t.price_index(), d.PRICING_DAY)
+    rounded = [F.round(c, 4).alias(c) for c in rows.columns if "_salary_" in c]
+    plain = [F.col(c).cast("string").alias(c) if "added" in c else F.col(c) for c in rows.columns if "_salary_" not in c]
+    return rows.select(*plain, *rounded)
+
+
+@query
+def html_cards(t: Roles) -> DataFrame:
+    return vacancies.result_cards(t.result_pages(), ["page_id"])
+
+
+# Accounts and catalogue --------------------------------------------------------------------
+
+
+def _activity(t: Roles) -> accounts.Activity:
+    return accounts.account_activity(
+        t.accounts(), t.posts(), t.comments(), t.stored_users(), t.stored_posts(), "2021-01-18 10:00:00", max_posts=3
+    )
+
+
+@query
+def account_activity(t: Roles) -> DataFrame:
+    return _activity(t).users.drop("added_at")
+
+
+@query
+def account_posts(t: Roles) -> DataFrame:
+    posts = _activity(t).posts.drop("added_at")
+    return posts.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def account_comments(t: Roles) -> DataFrame:
+    return _activity(t).comments.drop("added_at")
+
+
+def _catalogues(t: Roles) -> tuple[DataFrame, DataFrame]:
+    details = catalogue.product_details(t.product_pages())
+    first = catalogue.enriched(catalogue.clean_names(t.first_catalogue()), details)
+    second = catalogue.enriched(catalogue.latin_names(t.second_catalogue()), details)
+    return first, second
+
+
+@query
+def catalogue_enrichment(t: Roles) -> DataFrame:
+    return catalogue.single_finds(_catalogues(t)[0])
+
+
+@query
+def catalogue_summary(t: Roles) -> DataFrame:
+    return catalogue.catalogue_summary(*_catalogues(t))
+
+
+@query
+def transliterate(t: Roles) -> DataFrame:
+    names = t.second_catalogue().dropna(subset=["vine"])
+    spelled = F.concat("vine", F.lit(" Жук цапля чаща шило щука юла Яблоко объезд"))
+    return names.select("row", text.transliterate(spelled).alias("vine"))
+
+
+@query
+def decimal_comma(t: Roles) -> DataFrame:
+    prices = t.table("part").select(
+        "p_partkey", F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(",")).alias("price")
+    )
+    value = numbers.parse_decimal_comma(F.col("price"))
+    return prices.select("p_partkey", value.alias("value"), numbers.format_decimal_comma(value + 1).alias("next"))
+
+
+# Pages ---------------------------------------------------------------------------------------
+
+
+@query
+def html_titles(t: Roles) -> DataFrame:
+    return t.table("pages").select("page_id", html.page_title(F.col("html")).alias("title"))
+
+
+@query
+def html_links(t: Roles) -> DataFrame:
+    return html.page_links(t.table("pages"), "html", ["page_id"])
+
+
+@query
+def html_menu_items(t: Roles) -> DataFrame:
+    fields = {"href": ("a", None, "href"), "text": ("a", None, None)}
+    return html.extract_items(t.table("pages"), "html", fields, ["page_id"], ("li", None))
