@@ -112,6 +112,7 @@ def title_matches(
     key, text = F.translate(query, '"', ""), F.translate(title, '"', "")
     accepted = F.lit(False)
     for name, patterns in reversed(list(rules.items())):
-        pattern = _FLAGS + "(?:" + "|".join(patterns) + ")"
+        # A search finds a pattern anywhere, so leading and trailing wildcards only cost time.
+        pattern = _FLAGS + "(?:" + "|".join(p.removeprefix(".*").removesuffix(".*") for p in patterns) + ")"
         accepted = F.when(key == name, text.rlike(pattern)).otherwise(accepted)
     return F.coalesce(accepted, F.lit(False))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .literals import literal_rows
+
 # Phrases that name the pay period, in the order they are tried.
 PERIODS = {
     "a year": "year",
@@ -79,17 +81,13 @@ def split_period(text: Column, periods: Mapping[str, str] = PERIODS) -> Column:
 
     Each phrase is looked for in what the phrases before it left over.
     """
-    phrases = F.array(
-        *[F.struct(F.lit(p).alias("phrase"), F.lit(unit).alias("period")) for p, unit in periods.items()]
-    )
+    phrases = literal_rows(list(periods.items()), ["phrase", "period"])
     start = F.struct(text.alias("text"), F.lit("").alias("period"))
 
     def step(seen: Column, entry: Column) -> Column:
-        found = F.contains(seen["text"], entry["phrase"])
-        return F.struct(
-            F.replace(seen["text"], entry["phrase"], F.lit("")).alias("text"),
-            F.when(found, entry["period"]).otherwise(seen["period"]).alias("period"),
-        )
+        shorter = F.replace(seen["text"], entry["phrase"], F.lit(""))
+        found = F.struct(shorter.alias("text"), entry["period"].alias("period"))
+        return F.when(F.contains(seen["text"], entry["phrase"]), found).otherwise(seen)
 
     return F.aggregate(phrases, start, step)
 

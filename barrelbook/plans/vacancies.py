@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, rules, salary, text
+from ..functions.literals import literal_map
 from ..functions.numbers import flag, present, ratio
 from ..operators.joins import dict_lookup, new_rows
 from ..operators.periods import as_day
@@ -60,8 +61,7 @@ CARD_FIELDS = {
 
 
 def _lookup(code: Column, names: Mapping[str, str], default: Column) -> Column:
-    pairs = [F.lit(part) for item in names.items() for part in item]
-    return F.coalesce(F.element_at(F.create_map(*pairs), code), default)
+    return F.coalesce(F.element_at(literal_map(names), code), default)
 
 
 def country_name(code: Column) -> Column:
@@ -164,6 +164,29 @@ def result_cards(pages: DataFrame, keep: list[str]) -> DataFrame:
     return extract_items(pages, "html", CARD_FIELDS, keep, CARD)
 
 
+def parse_salaries(postings: DataFrame, salary_text: str = "salary_text") -> DataFrame:
+    """Attach salary_period, salary_currency, salary_from and salary_to as stated in the
+    text. Steps are columns of their own, so that none is worked out twice."""
+    split = postings.withColumn("_split", salary.split_period(F.col(salary_text)))
+    stated = split.withColumns(
+        {
+            "salary_period": F.col("_split.period"),
+            "salary_currency": salary.currency_of(F.col("_split.text")),
+            "_amounts": salary.clean_amounts(salary.without_currency(F.col("_split.text"))),
+        }
+    )
+    bounds = stated.withColumns(
+        {"_low": salary.range_bound(F.col("_amounts"), 1), "_high": salary.range_bound(F.col("_amounts"), -1)}
+    )
+    period = F.col("salary_period")
+    return bounds.withColumns(
+        {
+            "salary_from": salary.amount(F.col("_low"), period),
+            "salary_to": salary.amount(F.col("_high"), period),
+        }
+    ).drop("_split", "_amounts", "_low", "_high")
+
+
 def normalise_salaries(
     postings: DataFrame,
     rates: DataFrame,
@@ -179,69 +202,63 @@ def normalise_salaries(
     ``no_period``, ``bad_amount``, ``no_rate`` or ``no_index``; amounts that cannot be
     worked out are NULL.
     """
-    parsed = postings.withColumn("_split", salary.split_period(F.col(salary_text)))
-    parsed = parsed.withColumn("_period", F.col("_split.period")).withColumn(
-        "_currency", salary.currency_of(F.col("_split.text"))
-    )
-    parsed = parsed.withColumn(
-        "_amounts", salary.clean_amounts(salary.without_currency(F.col("_split.text")))
-    )
-    factor = salary.month_factor(F.col("_period"))
-    for name, side in (("_from", 1), ("_to", -1)):
-        bound = salary.range_bound(F.col("_amounts"), side)
-        parsed = parsed.withColumn(name, salary.amount(bound, F.col("_period")))
     day_rates = rates.filter(F.col("rate_date") == as_day(as_of)).select(
-        F.col("currency").alias("_currency"), F.col("usd").alias("_usd")
+        F.col("currency").alias("salary_currency"), F.col("usd").alias("_usd")
     )
     costs = price_index.select(F.col("country").alias(country), F.col("cost").alias("_cost"))
-    priced = dict_lookup(dict_lookup(parsed, day_rates, "_currency"), costs, country)
-    rate = F.when(F.col("_currency") == "USD", F.lit(1.0)).otherwise(
-        F.coalesce(F.col("_usd"), salary.fallback_rate(F.col("_currency")))
+    parsed = parse_salaries(postings, salary_text)
+    priced = dict_lookup(dict_lookup(parsed, day_rates, "salary_currency"), costs, country)
+    rate = F.when(F.col("salary_currency") == "USD", F.lit(1.0)).otherwise(
+        F.coalesce(F.col("_usd"), salary.fallback_rate(F.col("salary_currency")))
     )
-    for side in ("from", "to"):
-        dollars = F.col(f"_{side}") * factor * rate
-        priced = priced.withColumn(f"month_salary_{side}_USD", dollars)
-    for side in ("from", "to"):
-        dollars = F.col(f"month_salary_{side}_USD")
-        units = ratio(dollars, F.col("_cost"))
-        priced = (
-            priced.withColumn(f"year_salary_{side}_USD", dollars * 12)
-            .withColumn(f"month_salary_{side}_bigmac", units)
-            .withColumn(f"year_salary_{side}_bigmac", units * 12)
-        )
+    factor = salary.month_factor(F.col("salary_period"))
     status = (
         F.when(F.col(salary_text).isNull(), "no_salary")
-        .when(F.col("_period") == "", "no_period")
-        .when(F.col("_from").isNull() & F.col("_to").isNull(), "bad_amount")
+        .when(F.col("salary_period") == "", "no_period")
+        .when(F.col("salary_from").isNull() & F.col("salary_to").isNull(), "bad_amount")
         .when(rate.isNull(), "no_rate")
         .when(F.col("_cost").isNull(), "no_index")
         .otherwise("ok")
     )
-    helpers = ["_split", "_period", "_currency", "_amounts", "_from", "_to", "_usd", "_cost"]
-    return priced.withColumn("salary_status", status).drop(*helpers)
+    monthly = {f"month_salary_{side}_USD": F.col(f"salary_{side}") * factor * rate for side in ("from", "to")}
+    valued = priced.withColumns({**monthly, "salary_status": status})
+    derived = {}
+    for side in ("from", "to"):
+        dollars = F.col(f"month_salary_{side}_USD")
+        units = ratio(dollars, F.col("_cost"))
+        derived[f"year_salary_{side}_USD"] = dollars * 12
+        derived[f"month_salary_{side}_bigmac"] = units
+        derived[f"year_salary_{side}_bigmac"] = units * 12
+    helpers = ["salary_period", "salary_currency", "salary_from", "salary_to", "_usd", "_cost"]
+    return valued.withColumns(derived).drop(*helpers)
+
+
+def accepted_cards(cards: DataFrame) -> DataFrame:
+    """Cards whose title matches a rule of the query they were found by."""
+    title = text.strip_newlines(F.col("title"))
+    return cards.filter(rules.title_matches(title, F.col("query_string"))).withColumn("title", title)
 
 
 def posting_rows(
-    cards: DataFrame, rates: DataFrame, price_index: DataFrame, as_of: str | date
+    accepted: DataFrame, rates: DataFrame, price_index: DataFrame, as_of: str | date
 ) -> DataFrame:
-    """Stored form of accepted cards, without row ids: titles that match their query,
-    skills, dates, links and salaries. ``cards`` has query_string and country_code."""
-    title = text.strip_newlines(F.col("title"))
-    accepted = cards.filter(rules.title_matches(title, F.col("query_string")))
+    """Stored form of accepted cards: skills, dates, links and salaries. Needs row_idx,
+    query_string, country_code, job_id and the card fields."""
     described = accepted.withColumn("country", country_name(F.col("country_code")))
     priced = normalise_salaries(described, rates, price_index, as_of)
     day = as_day(as_of)
     return priced.select(
+        "row_idx",
         "query_string",
         "country",
-        title.alias("title"),
+        "title",
         text.strip_newlines(F.col("company")).alias("company"),
         "city",
         F.coalesce(dates.relative_date(F.col("date_text"), as_of), day).alias("job_added"),
         present(F.col("easy_label")).alias("easy_apply"),
         F.col("rating_text").try_cast("double").alias("company_rating"),
         present(F.col("remote_label")).alias("remote"),
-        text.id_after_underscore(F.col("element_id")).alias("job_id"),
+        "job_id",
         text.posting_link(F.col("country_code"), F.col("href")).alias("job_link"),
         dates.quarter_sheet(day).alias("sheet"),
         text.skill_tags(F.col("summary")).alias("skills"),
@@ -260,10 +277,10 @@ def vacancy_salaries(
 ) -> DataFrame:
     """New postings of a batch of cards, with row ids that follow the stored ones.
 
-    Known keys are removed before any parsing.
+    Known keys go before any parsing, and ids are given before salaries are worked out,
+    so that the numbering moves short rows and nothing is parsed twice.
     """
     keyed = cards.withColumn("job_id", text.id_after_underscore(F.col("element_id")))
-    fresh = new_rows(keyed, stored, POSTING_KEYS, ["position"]).drop("job_id")
-    rows = posting_rows(fresh, rates, price_index, as_of)
-    numbered = number_rows_after(stored, rows, [F.col("query_string").asc(), F.col("job_id").asc()])
-    return numbered.select(*POSTING_COLUMNS)
+    accepted = accepted_cards(new_rows(keyed, stored, POSTING_KEYS, ["position"]))
+    numbered = number_rows_after(stored, accepted, [F.col("query_string").asc(), F.col("job_id").asc()])
+    return posting_rows(numbered, rates, price_index, as_of).select(*POSTING_COLUMNS)

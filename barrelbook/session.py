@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", app: str = "barrelbook", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call sites per expression
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

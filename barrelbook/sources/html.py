@@ -1,7 +1,7 @@
 """Rows from stored web pages.
 
 Flat markup is read with JVM regular expressions. Nested repeated elements need a
-tag stack: a small stdlib parser runs per Arrow batch, each page on its own.
+tag stack: a small scanner runs per Arrow batch, each page on its own.
 """
 
 from __future__ import annotations
@@ -67,70 +67,89 @@ def extract_items(
     keep, specs = list(keep), dict(fields)
 
     def parse(batches: Iterator) -> Iterator:
-        # Self-contained, so that executors need nothing but the standard library.
+        # Self-contained, so that executors need nothing but the standard library and pandas.
+        import re
+        from html import unescape as characters
+
         import pandas as pd
-        from html.parser import HTMLParser
 
         void = {"br", "img", "hr", "input", "meta", "link", "source", "area", "base", "col", "embed", "wbr"}
-
-        class Items(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.stack, self.items, self.open = [], [], []
-                self.current, self.depth = (None, 0) if item else ({}, 0)
-
-            def handle_starttag(self, tag, attrs):
-                attrs = dict(attrs)
-                classes = (attrs.get("class") or "").split()
+        markup = re.compile(
+            r"<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<[!?][^>]*>"
+            r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
+            re.S | re.I,
+        )
+        attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+        by_tag = {}
+        for name, (tag, css, wanted) in specs.items():
+            by_tag.setdefault(tag, []).append((name, css, wanted))
+        anywhere = by_tag.get(None, [])
+
+        def attributes(raw):
+            found = {}
+            for key, *values in attribute.findall(raw):
+                found.setdefault(key.lower(), characters(next(filter(None, values), "")))
+            return found
+
+        def items(page):
+            """Dicts of found fields. ``stack`` holds the open tags, ``capturing`` the fields
+            whose text is being collected, with the stack height that ends them."""
+            done, stack, capturing, read = [], [], [], 0
+            current, inside = (None, 0) if item else ({}, 0)
+            for token in markup.finditer(page):
+                if capturing and token.start() > read:
+                    data = characters(page[read : token.start()])
+                    for name, _ in capturing:
+                        current[name] += data
+                read = token.end()
+                closing, tag, raw = token.groups()
+                if tag is None:
+                    continue
+                tag = tag.lower()
+                if closing:
+                    if tag not in stack:
+                        continue
+                    while stack.pop() != tag:
+                        pass
+                    capturing = [(name, height) for name, height in capturing if height <= len(stack)]
+                    if item and current is not None and len(stack) < inside:
+                        done.append(current)
+                        current, capturing = None, []
+                    continue
                 if tag not in void:
-                    self.stack.append(tag)
-                if self.current is None:
-                    if tag == item[0] and (item[1] is None or item[1] in classes):
-                        self.current, self.depth = {}, len(self.stack)
-                        for name, (wanted, _, attribute) in specs.items():
-                            if wanted == ITSELF and attribute in attrs:
-                                self.current[name] = attrs[attribute]
-                    return
-                for name, (wanted, css, attribute) in specs.items():
-                    if name in self.current or wanted not in (None, tag):
+                    stack.append(tag)
+                if current is None:
+                    if tag != item[0]:
                         continue
+                    found = attributes(raw)
+                    if item[1] is None or item[1] in found.get("class", "").split():
+                        own = by_tag.get(ITSELF, [])
+                        current = {name: found[wanted] for name, _, wanted in own if wanted in found}
+                        inside = len(stack)
+                    continue
+                candidates = [f for f in (*by_tag.get(tag, ()), *anywhere) if f[0] not in current]
+                if not candidates:
+                    continue
+                found = attributes(raw)
+                classes = found.get("class", "").split()
+                for name, css, wanted in candidates:
                     if css is not None and css not in classes:
                         continue
-                    if attribute is not None:
-                        self.current[name] = attrs.get(attribute)
-                    else:
-                        self.current[name] = ""
-                        if tag not in void:
-                            self.open.append((name, len(self.stack)))
-
-            def handle_data(self, data):
-                for name, _ in self.open:
-                    self.current[name] += data
-
-            def handle_endtag(self, tag):
-                if tag not in self.stack:
-                    return
-                while self.stack.pop() != tag:
-                    pass
-                height = len(self.stack)
-                self.open = [(name, at) for name, at in self.open if at <= height]
-                if item and self.current is not None and height < self.depth:
-                    self.finish()
-
-            def finish(self):
-                if self.current is not None:
-                    self.items.append(self.current)
-                self.current, self.open = None, []
+                    current[name] = "" if wanted is None else found.get(wanted)
+                    if wanted is None and tag not in void:
+                        capturing.append((name, len(stack)))
+            if current is not None:
+                for name, _ in capturing:
+                    current[name] += characters(page[read:])
+                done.append(current)
+            return done
 
         for batch in batches:
-            rows = []
-            for record in batch.itertuples(index=False):
-                parser = Items()
-                parser.feed(record[-1] or "")
-                parser.close()
-                parser.finish()
-                for position, found in enumerate(parser.items):
-                    rows.append((*record[:-1], position, *[found.get(name) for name in specs]))
+            rows = [
+                (*record[:-1], position, *[found.get(name) for name in specs])
+                for record in batch.itertuples(index=False)
+                for position, found in enumerate(items(record[-1] or ""))
+            ]
             yield pd.DataFrame(rows, columns=[*keep, "position", *specs])
 
     return source.mapInPandas(parse, schema)

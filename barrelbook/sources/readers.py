@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, name: str) -> DataFrame:
-    """A warehouse table by name, or a Parquet folder by path."""
-    return spark.read.parquet(name) if "/" in name else spark.table(name)
+def read_table(spark: SparkSession, name: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """A warehouse table by name, or a Parquet folder by path. A given schema spares the
+    job that reads footers to find it."""
+    if "/" not in name:
+        return spark.table(name)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(name)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least one partition per core, for CPU-bound work on few large splits.
+    With enough splits, as on large tables, the scan stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_csv(

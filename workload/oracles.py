@@ -463,10 +463,10 @@ dollars AS (
   FROM amounts),
 priced AS (
   SELECT * EXCLUDE (salary_text, low, high, salary_status), 
-         round(low, 4) AS "month_salary_from_USD", round(high, 4) AS "month_salary_to_USD",
-         round(low * 12, 4) AS "year_salary_from_USD", round(high * 12, 4) AS "year_salary_to_USD",
-         round(low / cost, 4) AS month_salary_from_bigmac, round(high / cost, 4) AS month_salary_to_bigmac,
-         round(low / cost * 12, 4) AS year_salary_from_bigmac, round(high / cost * 12, 4) AS year_salary_to_bigmac,
+         low AS "month_salary_from_USD", high AS "month_salary_to_USD",
+         low * 12 AS "year_salary_from_USD", high * 12 AS "year_salary_to_USD",
+         low / cost AS month_salary_from_bigmac, high / cost AS month_salary_to_bigmac,
+         low / cost * 12 AS year_salary_from_bigmac, high / cost * 12 AS year_salary_to_bigmac,
          salary_status FROM dollars
   UNION ALL BY NAME SELECT * EXCLUDE (salary_text), 'no_salary' AS salary_status FROM texts WHERE salary_text IS NULL)"""
 

@@ -316,12 +316,12 @@ def title_rules(t: Roles) -> DataFrame:
 
 @query
 def skill_tags(t: Roles) -> DataFrame:
-    return t.table("documents").select("doc_id", text.skill_tags(F.col("text")).alias("skills"))
+    return t.texts("documents").select("doc_id", text.skill_tags(F.col("text")).alias("skills"))
 
 
 @query
 def currency_detect(t: Roles) -> DataFrame:
-    return t.table("documents").select("doc_id", salary.currency_of(F.col("text")).alias("currency"))
+    return t.texts("documents").select("doc_id", salary.currency_of(F.col("text")).alias("currency"))
 
 
 @query
@@ -335,17 +335,9 @@ def period_detect(t: Roles) -> DataFrame:
 
 @query
 def salary_range(t: Roles) -> DataFrame:
-    texts = t.order_texts(salary_text=d.salary("o_orderkey")).withColumn(
-        "split", salary.split_period(F.col("salary_text"))
-    )
-    amounts = salary.clean_amounts(salary.without_currency(F.col("split.text")))
-    period = F.col("split.period")
-    return texts.filter(F.col("salary_text").isNotNull()).select(
-        "posting_id",
-        salary.currency_of(F.col("split.text")).alias("currency"),
-        salary.amount(salary.range_bound(amounts, 1), period).alias("salary_from"),
-        salary.amount(salary.range_bound(amounts, -1), period).alias("salary_to"),
-    )
+    texts = t.order_texts(salary_text=d.salary("o_orderkey")).filter(F.col("salary_text").isNotNull())
+    parsed = vacancies.parse_salaries(texts)
+    return parsed.select("posting_id", F.col("salary_currency").alias("currency"), "salary_from", "salary_to")
 
 
 def _salaries(t: Roles) -> DataFrame:
@@ -358,14 +350,14 @@ def _salaries(t: Roles) -> DataFrame:
 def salary_month_usd(t: Roles) -> DataFrame:
     priced = _salaries(t)
     amounts = [f"{span}_salary_{side}_USD" for span in ("month", "year") for side in ("from", "to")]
-    return priced.select("posting_id", "salary_status", *[F.round(c, 4).alias(c) for c in amounts])
+    return priced.select("posting_id", "salary_status", *amounts)
 
 
 @query
 def salary_index_units(t: Roles) -> DataFrame:
     priced = _salaries(t)
     amounts = [f"{span}_salary_{side}_bigmac" for span in ("month", "year") for side in ("from", "to")]
-    return priced.select("posting_id", "country", *[F.round(c, 4).alias(c) for c in amounts])
+    return priced.select("posting_id", "country", *amounts)
 
 
 @query
@@ -424,9 +416,7 @@ def vacancy_feed(t: Roles) -> DataFrame:
 def vacancy_salaries(t: Roles) -> DataFrame:
     cards = vacancies.result_cards(t.result_pages(), ["query_string", "country_code"])
     rows = vacancies.vacancy_salaries(cards, t.stored_postings(), t.rates(), t.price_index(), d.PRICING_DAY)
-    rounded = [F.round(c, 4).alias(c) for c in rows.columns if "_salary_" in c]
-    plain = [F.col(c).cast("string").alias(c) if "added" in c else F.col(c) for c in rows.columns if "_salary_" not in c]
-    return rows.select(*plain, *rounded)
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("job_added", "added_date")})
 
 
 @query
@@ -497,15 +487,15 @@ def decimal_comma(t: Roles) -> DataFrame:
 
 @query
 def html_titles(t: Roles) -> DataFrame:
-    return t.table("pages").select("page_id", html.page_title(F.col("html")).alias("title"))
+    return t.texts("pages").select("page_id", html.page_title(F.col("html")).alias("title"))
 
 
 @query
 def html_links(t: Roles) -> DataFrame:
-    return html.page_links(t.table("pages"), "html", ["page_id"])
+    return html.page_links(t.texts("pages"), "html", ["page_id"])
 
 
 @query
 def html_menu_items(t: Roles) -> DataFrame:
     fields = {"href": ("a", None, "href"), "text": ("a", None, None)}
-    return html.extract_items(t.table("pages"), "html", fields, ["page_id"], ("li", None))
+    return html.extract_items(t.texts("pages"), "html", fields, ["page_id"], ("li", None))

@@ -9,12 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrelbook.plans.vacancies import country_name
-from barrelbook.sources.readers import parse_records, read_table
+from barrelbook.sources.readers import parse_records, read_table, spread
 from barrelbook.sources.schemas import FEED_RECORD
 
 from . import derived as d
 
 
+# The given tables, as they are stored.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 class Roles:
     """Tables below one folder."""
 
@@ -23,7 +42,11 @@ class Roles:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", SCHEMAS[name])
+
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows are parsed one by one, on all cores."""
+        return spread(self.table(name))
 
     # Check-ins ---------------------------------------------------------------
 
@@ -84,9 +107,9 @@ class Roles:
 
     # Country-year panel --------------------------------------------------------
 
-    def _located_orders(self) -> DataFrame:
+    def _located_orders(self, orders: DataFrame | None = None) -> DataFrame:
         return (
-            self.table("orders")
+            (self.table("orders") if orders is None else orders)
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         )
@@ -142,7 +165,7 @@ class Roles:
     def order_texts(self, **columns: str) -> DataFrame:
         """Order key, country and the given derived texts, one row per order."""
         derived = [F.expr(sql).alias(name) for name, sql in columns.items()]
-        return self._located_orders().select(F.col("o_orderkey").alias("posting_id"), *derived)
+        return self._located_orders(self.texts("orders")).select(F.col("o_orderkey").alias("posting_id"), *derived)
 
     def rates(self) -> DataFrame:
         rows = [(c, date.fromisoformat(d.PRICING_DAY), usd) for c, usd in d.RATES.items()]
@@ -222,7 +245,7 @@ class Roles:
                 k % 7 != 5, F.struct(F.expr(d.pick("o_orderkey", d.texts("fullDay", "remote", "flyInFlyOut", "shift"))).alias("id"))
             ).alias("schedule"),
         )
-        return self._located_orders().select(
+        return self._located_orders(self.texts("orders")).select(
             F.lit("2021-01-18 10:00:00").alias("added_at"),
             F.expr(d.query("o_orderkey")).alias("query_string"),
             F.lit("Навык").alias("query_type"),
@@ -282,7 +305,7 @@ class Roles:
             F.lit('<!DOCTYPE html><html><body><div id="searchCountPages">'), F.expr(d.caption(d.COUNTRY_CODE)),
             F.lit("</div><td>"), card(0), card(1), F.lit("</td></body></html>"),
         )
-        return self._located_orders().select(
+        return self._located_orders(self.texts("orders")).select(
             F.col("o_orderkey").alias("page_id"),
             F.expr(d.query("o_orderkey")).alias("query_string"),
             F.expr(d.COUNTRY_CODE).alias("country_code"),
