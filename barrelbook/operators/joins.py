@@ -65,8 +65,13 @@ def lookup_exactly_one(
 
 
 def semi_join(df: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """Rows whose key is among ``members``; NULL keys never match."""
-    return df.join(members, [on] if isinstance(on, str) else list(on), "left_semi")
+    """Rows whose key is among ``members``; NULL keys never match.
+
+    The members are made distinct first: a member repeated many times shrinks before the
+    shuffle, and the join reuses the partitioning of that aggregation.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    return df.join(members.select(*keys).distinct(), keys, "left_semi")
 
 
 def new_rows(
@@ -77,10 +82,11 @@ def new_rows(
 ) -> DataFrame:
     """Rows of ``batch`` whose key is not stored yet, each key once.
 
-    The batch is reduced first; only the key columns of ``stored`` are read.
+    Both sides are reduced to single keys before they meet, so no key is hot in the join;
+    only the key columns of ``stored`` are read.
     """
     keys = list(keys)
-    return keep_first(batch, keys, order_by).join(stored.select(*keys), keys, "left_anti")
+    return keep_first(batch, keys, order_by).join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def alias_names(df: DataFrame, column: str, aliases: Mapping[str, str]) -> DataFrame:

@@ -41,8 +41,8 @@ def densify(
 
 def missing_keys(df: DataFrame, keys: Sequence[str], axis: str, first: int, last: int) -> DataFrame:
     """The key and axis pairs of the full domain that ``df`` lacks."""
-    keys = list(keys)
-    return _domain(df, keys, axis, first, last).join(df, [*keys, axis], "left_anti")
+    present = df.select(*keys, axis).distinct()
+    return _domain(present, keys, axis, first, last).join(present, [*keys, axis], "left_anti")
 
 
 def unpivot_years(wide: DataFrame, key: str, years: Sequence[int], axis: str, value: str) -> DataFrame:

@@ -46,9 +46,10 @@ def account_activity(
     """
     moment = F.lit(added_at).cast("timestamp_ntz").alias("added_at")
     users = new_rows(accounts, stored_users, ["user_name"])
-    owned = semi_join(posts, users.select(F.col("user_name").alias("owner")), "owner")
-    fresh = newest_posts(owned, max_posts).join(stored_posts.select("code"), "code", "left_anti")
-    fresh = fresh.select(*posts.columns)
+    newest = newest_posts(posts, max_posts)
+    owned = semi_join(newest, users.select(F.col("user_name").alias("owner")), "owner")
+    known = stored_posts.select("code").distinct()
+    fresh = owned.join(known, "code", "left_anti").select(*posts.columns)
 
     cleaned = {
         "caption": strip_quotes(or_empty(F.col("caption"))),

@@ -12,9 +12,9 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def overwrite_csv(df: DataFrame, path: str) -> None:
+def overwrite_csv(df: DataFrame, path: str, header: bool = True) -> None:
     """Replace a CSV folder; quotes are doubled as the readers expect."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", header).option("escape", '"').csv(path)
 
 
 def export_table(spark: SparkSession, table: str, path: str, reader: Callable[..., DataFrame]) -> DataFrame:
@@ -36,9 +36,10 @@ def overwrite_by(df: DataFrame, path: str, columns: Sequence[str], format: str =
     writer.format(format).save(path)
 
 
-def ensure_table(spark: SparkSession, name: str, ddl: str) -> None:
+def ensure_table(spark: SparkSession, name: str, ddl: str, location: str | None = None) -> None:
     """Create a Parquet table unless it exists."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet")
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet{place}")
 
 
 def stored_or_computed(

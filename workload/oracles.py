@@ -693,3 +693,53 @@ FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1) AS targets,
 
 ORACLES["html_links"] = _links('(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>')
 ORACLES["html_menu_items"] = _links('(?s)<li><a href="([^"]*)">(.*?)</a></li>')
+
+# Files, tables and stored results -----------------------------------------------------------
+
+ORACLES["csv_with_header"] = "SELECT * REPLACE ('\"N\", ' || c_name AS c_name) FROM customer"
+ORACLES["csv_headerless"] = "SELECT * FROM part"
+ORACLES["csv_after_preamble"] = f"""
+WITH {PANEL}
+SELECT name, max(gdp) FILTER (year = 1995) AS y1995, max(gdp) FILTER (year = 1998) AS y1998,
+       max(gdp) FILTER (year = 2002) AS y2002
+FROM gdp GROUP BY name
+"""
+ORACLES["table_export"] = """
+SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders
+"""
+ORACLES["vacancy_export_view"] = f"""
+WITH {FEED}
+SELECT vacancy_id, coalesce(response_url, '') AS response_url, coalesce(address_city, '') AS address_city, address_lat,
+       coalesce(department_name, '') AS department_name, coalesce(schedule, '') AS schedule FROM feed
+"""
+ORACLES["feed_from_files"] = f"""
+WITH {FEED}
+SELECT vacancy_id, address_city, salary_from,
+       CASE WHEN address_city IS NOT NULL THEN CAST(address_metro_stations <> '[]' AS BIGINT) END AS stations
+FROM feed
+"""
+ORACLES["append_sink"] = "SELECT * EXCLUDE (o_orderdate) FROM orders"
+ORACLES["created_table_latest"] = "SELECT event_id AS row_idx, 2 AS version, value * 2 AS value FROM events"
+ORACLES["partitioned_by_city"] = f"""
+WITH {CITY_BOARD} SELECT board_city, brewery_id, venue_city, rank FROM board WHERE board_city = 'NATION_3'
+"""
+ORACLES["stored_or_computed"] = ORACLES["brewery_scatter"]
+ORACLES["daily_refresh"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS rows FROM ({ORACLES[key]})"
+    for name, key in (
+        ("cities", "city_leaderboard"),
+        ("top_best_beers", "best_beers"),
+        ("top_worst_beers", "worst_beers"),
+        ("ratio_scatter_plot", "brewery_scatter"),
+    )
+)
+
+# Streams --------------------------------------------------------------------------------------
+
+ORACLES["stream_ingest_dedup"] = """
+SELECT min(event_id) AS event_id, user_id, event_type, arg_min(value, event_id) AS value
+FROM events GROUP BY user_id, event_type
+"""
+ORACLES["stream_known_keys"] = "SELECT DISTINCT user_id, event_type FROM events"
+ORACLES["stream_bounded_dedup"] = "SELECT event_id, user_id FROM events"
+ORACLES["stream_vacancy_feed"] = f"WITH {FEED} SELECT vacancy_id, query_string, name FROM judged WHERE accepted"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from barrelbook import operators as ops
 from barrelbook.functions import dates, numbers, rules, salary, text
-from barrelbook.plans import accounts, catalogue, leaderboards, panel, regions, scatter, vacancies
-from barrelbook.sources import html
+from barrelbook.plans import accounts, catalogue, leaderboards, panel, refresh, regions, scatter, vacancies
+from barrelbook.session import scratch_path
+from barrelbook.sources import html, readers, schemas, sinks
+from barrelbook.streaming import ingest
 
 from . import derived as d
-from .roles import Roles
+from .roles import SCHEMAS, Roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -499,3 +502,175 @@ def html_links(t: Roles) -> DataFrame:
 def html_menu_items(t: Roles) -> DataFrame:
     fields = {"href": ("a", None, "href"), "text": ("a", None, None)}
     return html.extract_items(t.texts("pages"), "html", fields, ["page_id"], ("li", None))
+
+
+# Files, tables and stored results -----------------------------------------------------------
+
+
+def _scratch(t: Roles, label: str) -> str:
+    return scratch_path(t.spark, label)
+
+
+@query
+def csv_with_header(t: Roles) -> DataFrame:
+    path = _scratch(t, "customers")
+    sinks.overwrite_csv(t.table("customer").withColumn("c_name", F.concat(F.lit('"N", '), "c_name")), path)
+    return readers.read_csv(t.spark, path, SCHEMAS["customer"])
+
+
+@query
+def csv_headerless(t: Roles) -> DataFrame:
+    path = _scratch(t, "parts")
+    sinks.overwrite_csv(t.table("part"), path, header=False)
+    return readers.read_csv(t.spark, path, SCHEMAS["part"], header=False)
+
+
+@query
+def csv_after_preamble(t: Roles) -> DataFrame:
+    path, wide = _scratch(t, "gdp"), t.gdp(FIRST_YEAR, LAST_YEAR)
+    notes = ['"Data Source","Indicators",', ",", '"Last Updated",', ",".join(f'"{c}"' for c in wide.columns)]
+    head = t.spark.createDataFrame(list(enumerate(notes)), "n int, value string")
+    body = wide.select(F.lit(len(notes)).alias("n"), F.to_csv(F.struct(*[f"`{c}`" for c in wide.columns])).alias("value"))
+    file = head.unionByName(body).coalesce(1).sortWithinPartitions("n")
+    file.select("value").write.text(path)
+    read = readers.read_csv_after_preamble(t.spark, path, schemas.yearly(FIRST_YEAR, LAST_YEAR), 3)
+    return read.select(F.col("Country Name").alias("name"), *[F.col(f"`{y}`").alias(f"y{y}") for y in (1995, 1998, 2002)])
+
+
+@query
+def table_export(t: Roles) -> DataFrame:
+    path = _scratch(t, "export")
+    sinks.export_table(t.spark, "orders", path, lambda _, name: t.table(name))
+    back = readers.read_csv(t.spark, path, SCHEMAS["orders"])
+    return back.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def vacancy_export_view(t: Roles) -> DataFrame:
+    flat = vacancies.export_view(vacancies.flatten_feed(t.feed_records()))
+    return flat.select("vacancy_id", "response_url", "address_city", "address_lat", "department_name", "schedule")
+
+
+@query
+def feed_from_files(t: Roles) -> DataFrame:
+    path = _scratch(t, "feed")
+    t.feed().select("body").write.text(path)
+    record = readers.read_records(t.spark, path, schemas.FEED_RECORD)
+    return record.select(
+        F.col("record.id").alias("vacancy_id"),
+        F.col("record.address.city").alias("address_city"),
+        F.col("record.salary.from").alias("salary_from"),
+        F.size("record.address.metro_stations").cast("bigint").alias("stations"),
+    )
+
+
+@query
+def append_sink(t: Roles) -> DataFrame:
+    path, orders = _scratch(t, "orders"), t.table("orders").drop("o_orderdate")
+    sinks.append_rows(orders.filter("o_orderstatus = 'F'"), path)
+    sinks.append_rows(orders.filter("o_orderstatus <> 'F'"), path)
+    return readers.read_table(t.spark, path)
+
+
+@query
+def created_table_latest(t: Roles) -> DataFrame:
+    """Two versions of every event in a table created on demand; the later one counts."""
+    path = _scratch(t, "events")
+    name, ddl = f"events_{path[-32:]}", "row_idx bigint, version int, value double"
+    for version, factor in ((1, 1), (2, 2)):
+        sinks.ensure_table(t.spark, name, ddl, path)
+        rows = t.table("events").select(
+            F.col("event_id").alias("row_idx"), F.lit(version).alias("version"), (F.col("value") * factor).alias("value")
+        )
+        rows.write.insertInto(name)
+    return ops.latest_by_key(t.spark.table(name), ["row_idx"], "version")
+
+
+@query
+def partitioned_by_city(t: Roles) -> DataFrame:
+    path = _scratch(t, "cities")
+    sinks.overwrite_by(city_leaderboard(t).select("board_city", "brewery_id", "venue_city", "rank"), path, ["board_city"])
+    stored = t.spark.read.schema("brewery_id bigint, venue_city string, rank bigint, board_city string").parquet(path)
+    return stored.filter(F.col("board_city") == "NATION_3")
+
+
+@query
+def stored_or_computed(t: Roles) -> DataFrame:
+    path, parameters = _scratch(t, "scatter"), {"top_n": 100, "min_count": 45}
+
+    def compute(top_n: int, min_count: int) -> DataFrame:
+        return scatter.brewery_scatter(
+            t.ratings(), t.breweries(), t.brewery_info(), AS_OF, DAYS, top_n=top_n, min_count=min_count
+        )
+
+    compute(**parameters).write.parquet(path)
+    return sinks.stored_or_computed(parameters, parameters, lambda: readers.read_table(t.spark, path), compute)
+
+
+@query
+def daily_refresh(t: Roles) -> DataFrame:
+    paths = refresh.refresh(
+        t.reviews(), t.venues(), t.breweries(), t.brewery_info(), t.beers(), AS_OF, _scratch(t, "refresh"),
+        country=COUNTRY, days=DAYS, board_cities=BOARD_CITIES, scatter_days=DAYS, scatter_top=100, scatter_min_count=45,
+    )
+    counts = [
+        readers.read_table(t.spark, path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name, path in paths.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+# Streams --------------------------------------------------------------------------------------
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+
+
+def _events_twice(t: Roles) -> DataFrame:
+    """The events as a stream in which every row arrives twice."""
+    read = lambda: ingest.read_feed(t.spark, t.folder, EVENTS, "parquet", pathGlobFilter="events.parquet")
+    return read().union(read())
+
+
+@query
+def stream_ingest_dedup(t: Roles) -> DataFrame:
+    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
+    keys = ["user_id", "event_type"]
+    run = ingest.store_new_rows(_events_twice(t), target, checkpoint, keys, ["event_id"])
+    run.awaitTermination()
+    return ingest.known_rows(t.spark, target, EVENTS).select("event_id", *keys, "value")
+
+
+@query
+def stream_known_keys(t: Roles) -> DataFrame:
+    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
+    keys = ["user_id", "event_type"]
+    ingest.append_stream(ingest.remember_keys(_events_twice(t).select(*keys), keys), target, checkpoint).awaitTermination()
+    return t.spark.read.schema("user_id bigint, event_type string").parquet(target)
+
+
+@query
+def stream_bounded_dedup(t: Roles) -> DataFrame:
+    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
+    recent = ingest.remember_recent_keys(_events_twice(t), ["event_id"], "ts", "1 hour")
+    ingest.append_stream(recent.select("event_id", "user_id"), target, checkpoint).awaitTermination()
+    return t.spark.read.schema("event_id bigint, user_id bigint").parquet(target)
+
+
+@query
+def stream_vacancy_feed(t: Roles) -> DataFrame:
+    """The vacancy feed as files that arrive in several batches, with repeated records."""
+    source, target, checkpoint = (_scratch(t, label) for label in ("source", "target", "checkpoint"))
+    columns = ["added_at", "query_string", "query_type", "level", "direction", "body"]
+    t.repeated_feed().select(*columns).repartition(4).write.parquet(source)
+    feed = ingest.read_feed(
+        t.spark, source, ", ".join(f"{c} string" for c in columns), "parquet", maxFilesPerTrigger="2"
+    )
+
+    def accepted(batch: DataFrame) -> DataFrame:
+        records = t.feed_records(batch)
+        return vacancies.flatten_feed(records.filter(vacancies.feed_accepts()))
+
+    flat = "vacancy_id string, query_string string, name string"
+    run = ingest.store_new_rows(feed, target, checkpoint, vacancies.FEED_KEYS, ["published_at"], accepted, flat)
+    run.awaitTermination()
+    return ingest.known_rows(t.spark, target, flat).drop(ingest.BATCH)
