@@ -79,15 +79,27 @@ def keywords_by_country(keywords: DataFrame, countries: DataFrame) -> DataFrame:
 # Nested feed ----------------------------------------------------------------------
 
 
-def feed_accepts(record: str = "record") -> Column:
-    """Whether a feed record is kept: wanted name, not underpaid, not archived, no
-    fly-in-fly-out schedule. Missing parts never reject."""
-    field = lambda path: F.col(f"{record}.{path}")
-    excluded = rules.excluded_name(text.strip_quotes(field("name")))
-    underpaid = (field("salary.currency") == MIN_SALARY_CURRENCY) & (field("salary.from") < MIN_SALARY)
-    away = field("schedule.id") == REJECTED_SCHEDULE
-    rejected = [F.coalesce(c, F.lit(False)) for c in (excluded, underpaid, field("archived"), away)]
-    return ~(rejected[0] | rejected[1] | rejected[2] | rejected[3])
+def feed_accepts(record: Column) -> Column:
+    """Whether a feed record is kept: identified, wanted name, not underpaid, not archived,
+    no fly-in-fly-out schedule. Other missing parts never reject."""
+    pay = record["salary"]
+    reasons = [
+        rules.excluded_name(text.strip_quotes(record["name"])),
+        (pay["currency"] == MIN_SALARY_CURRENCY) & (pay["from"] < MIN_SALARY),
+        record["archived"],
+        record["schedule"]["id"] == REJECTED_SCHEDULE,
+    ]
+    rejected = F.coalesce(reasons[0], F.lit(False))
+    for reason in reasons[1:]:
+        rejected = rejected | F.coalesce(reason, F.lit(False))
+    return record["id"].isNotNull() & ~rejected
+
+
+def accepted_records(records: DataFrame) -> DataFrame:
+    """The kept records. A plain filter on parts of a parsed record would be pushed below
+    the parsing and parse once per part; this way every record is parsed once."""
+    kept = F.filter(F.array("record"), feed_accepts)
+    return records.withColumn("record", F.explode(kept))
 
 
 def flatten_feed(records: DataFrame) -> DataFrame:
@@ -146,7 +158,7 @@ def flatten_feed(records: DataFrame) -> DataFrame:
 
 def vacancy_feed(records: DataFrame, stored: DataFrame) -> DataFrame:
     """New, accepted vacancies of a batch of records, each (vacancy, query) once."""
-    accepted = flatten_feed(records.filter(feed_accepts()))
+    accepted = flatten_feed(accepted_records(records))
     return new_rows(accepted, stored, FEED_KEYS, ["published_at"])
 
 
@@ -277,10 +289,11 @@ def vacancy_salaries(
 ) -> DataFrame:
     """New postings of a batch of cards, with row ids that follow the stored ones.
 
-    Known keys go before any parsing, and ids are given before salaries are worked out,
-    so that the numbering moves short rows and nothing is parsed twice.
+    A rejected card is never stored and so does not hide a later one with its key: titles
+    are judged first. Ids are given before salaries are worked out, so that the numbering
+    moves short rows and nothing is parsed twice.
     """
     keyed = cards.withColumn("job_id", text.id_after_underscore(F.col("element_id")))
-    accepted = accepted_cards(new_rows(keyed, stored, POSTING_KEYS, ["position"]))
-    numbered = number_rows_after(stored, accepted, [F.col("query_string").asc(), F.col("job_id").asc()])
+    fresh = new_rows(accepted_cards(keyed), stored, POSTING_KEYS, ["position"])
+    numbered = number_rows_after(stored, fresh, [F.col("query_string").asc(), F.col("job_id").asc()])
     return posting_rows(numbered, rates, price_index, as_of).select(*POSTING_COLUMNS)

@@ -25,6 +25,16 @@ BEFORE = (
 )
 
 
+def half_even(value: str, digits: int) -> str:
+    """Round a non-negative double half to even on its shortest decimal form."""
+    exact, power = f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 20))", 10**digits
+    kept = f"trunc({exact} * {power})"
+    return (
+        f"CAST(CASE WHEN {exact} * {power} - {kept} = 0.5 AND CAST({kept} AS BIGINT) % 2 = 0 "
+        f"THEN CAST({kept} AS BIGINT) / {power} ELSE round({exact}, {digits}) END AS DOUBLE)"
+    )
+
+
 def trophy(rank: str) -> str:
     return f"CASE WHEN {rank} <= 3 THEN '🏆 ' ELSE '' END || CAST({rank} AS VARCHAR)"
 
@@ -51,7 +61,7 @@ WITH {REVIEWS}, {VENUES},
 now AS ({_brewery_top(NOW)}),
 before AS ({_brewery_top(BEFORE)})
 SELECT {trophy('now.rank')} AS place, now.brewery_id, s_name AS brewery_name,
-       round_even(now.mean, 2) AS avg_rating, {movement('before.rank', 'now.rank')} AS movement,
+       {half_even('now.mean', 2)} AS avg_rating, {movement('before.rank', 'now.rank')} AS movement,
        now.checkins, now.rank, before.rank AS previous_rank
 FROM now LEFT JOIN before ON now.brewery_id = before.brewery_id JOIN supplier ON s_suppkey = now.brewery_id
 """
@@ -80,7 +90,7 @@ before AS (
   GROUP BY ALL HAVING count(*) = 1),
 board AS (
   SELECT now.board_city, now.brewery_id, s_name AS brewery_name, now.venue_city,
-         round_even(now.mean, 2) AS avg_rating, {movement('before.rank', 'now.rank')} AS movement,
+         {half_even('now.mean', 2)} AS avg_rating, {movement('before.rank', 'now.rank')} AS movement,
          now.checkins, now.rank
   FROM now LEFT JOIN before ON now.board_city = before.board_city AND now.brewery_id = before.brewery_id
   JOIN supplier ON s_suppkey = now.brewery_id)"""
@@ -125,7 +135,7 @@ def _single_rank(ranked: str) -> str:
 
 
 _BEER_COLUMNS = f"""beer_id, beer_name, brewery_id, s_name AS brewery_name,
-       round_even(mean, 2) AS avg_rating, {movement('before.rank', 'now.rank')} AS movement,
+       {half_even('mean', 2)} AS avg_rating, {movement('before.rank', 'now.rank')} AS movement,
        checkins, now.rank
 FROM now LEFT JOIN before USING (beer_id) JOIN supplier ON s_suppkey = brewery_id"""
 
@@ -177,7 +187,7 @@ def _scatter(direction: str, top_n: int) -> str:
         if direction == "ASC"
         else "'<b>' || s_name || '</b>,<br>сварили ' || CAST(beer_count AS VARCHAR) || "
         "' сортов пива<br>получили ' || CAST(rating_count AS VARCHAR) || "
-        "' чекина<br>со средним рейтингом ' || CAST(round_even(brewery_pure_average, 2) AS VARCHAR)"
+        f"' чекина<br>со средним рейтингом ' || CAST({half_even('brewery_pure_average', 2)} AS VARCHAR)"
     )
     return f"""
 means AS (
@@ -295,7 +305,7 @@ ORACLES["motion_frames"] = f"""
 WITH {PANEL}
 SELECT year, continent, row_number() OVER (PARTITION BY year, continent ORDER BY name) - 1 AS position, name AS text,
        population AS x, gdp_per_capita AS y, dollar_price * 20000000 AS size,
-       round_even(dollar_price, 1) AS customdata
+       {half_even('dollar_price', 1)} AS customdata
 FROM panel
 """
 

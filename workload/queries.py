@@ -404,7 +404,7 @@ def vacancy_feed_flatten(t: Roles) -> DataFrame:
 @query
 def vacancy_feed_filters(t: Roles) -> DataFrame:
     records = t.feed_records()
-    return records.select(F.col("record.id").alias("vacancy_id"), vacancies.feed_accepts().alias("accepted"))
+    return records.select(F.col("record.id").alias("vacancy_id"), vacancies.feed_accepts(F.col("record")).alias("accepted"))
 
 
 @query
@@ -667,8 +667,7 @@ def stream_vacancy_feed(t: Roles) -> DataFrame:
     )
 
     def accepted(batch: DataFrame) -> DataFrame:
-        records = t.feed_records(batch)
-        return vacancies.flatten_feed(records.filter(vacancies.feed_accepts()))
+        return vacancies.flatten_feed(vacancies.accepted_records(t.feed_records(batch)))
 
     flat = "vacancy_id string, query_string string, name string"
     run = ingest.store_new_rows(feed, target, checkpoint, vacancies.FEED_KEYS, ["published_at"], accepted, flat)
