@@ -81,6 +81,11 @@ def marker_label(name: Column, products: Column, ratings: Column, mean: Column)
     )
 
 
-def short_marker_label(name: Column, products: Column) -> Column:
-    """Hover text of the worst-first scatter."""
-    return F.concat(name, F.lit(",<br>количество сортов пива: "), products.cast("string"))
+def short_marker_label(name: Column, products: Column, caption: str) -> Column:
+    """Hover text with the number of products only."""
+    return F.concat(name, F.lit(f",<br>{caption}: "), products.cast("string"))
+
+
+def median_label(median: Column) -> Column:
+    """Text beside a median line."""
+    return F.concat(F.lit("Медианное значение: "), F.bround(median, 2).cast("string"))

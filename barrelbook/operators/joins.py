@@ -1,8 +1,8 @@
 """Lookups and membership joins.
 
-No side is broadcast by hint unless its size is fixed: Spark's own size estimate
-and the adaptive runtime statistics decide, so a dimension that grows past the
-threshold turns into a shuffled join with skew splitting.
+No side is broadcast by hint unless its rows were counted (``fits_broadcast``): Spark's
+own size estimate and the adaptive runtime statistics decide, so a dimension that grows
+past the threshold turns into a shuffled join with skew splitting.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .dedup import keep_first
 
+BROADCAST_ROWS = 500_000  # of a few short columns: some tens of megabytes per executor
+
 
 def any_left_join(
     left: DataFrame,
@@ -64,6 +66,11 @@ def lookup_exactly_one(
     return _with_defaults(left.join(single, keys, "left"), defaults)
 
 
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a narrow table may be broadcast: its rows are counted, not estimated."""
+    return df.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
+
+
 def semi_join(df: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key is among ``members``; NULL keys never match.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import or_zero, round_even
 from ..operators.dedup import drop_repeated_keys, keep_first
-from ..operators.joins import any_left_join, dict_lookup, semi_join
+from ..operators.joins import any_left_join, dict_lookup, fits_broadcast, semi_join
 from ..operators.periods import BEFORE, NOW, merge_totals, two_window_totals, window_rows
 from ..operators.ranking import rank_change, rank_within, top_k_within, trophy, with_previous_rank
 
@@ -100,14 +100,20 @@ def _home_totals(
 ) -> DataFrame:
     """Totals per ``keys`` (brewery, venue city), inside the country.
 
-    Aggregating by (venue, brewery) first leaves a hot venue with one row per brewery
-    when it meets the venue table.
+    Few home venues are broadcast, so check-ins elsewhere go before any shuffle. Many are
+    joined after aggregating by (venue, brewery), which leaves a hot venue with one row per
+    brewery when it meets the venue table. The decision counts the venues of the country,
+    which bounds what would be broadcast.
     """
     located = reviews.filter(F.col("venue_id").isNotNull())
-    by_venue = two_window_totals(located, ["venue_id", "brewery_id"], as_of, days, previous_days)
+    at_home = F.col("venue_country") == country
     places = venues.select("venue_id", "venue_city", "venue_country")
-    placed = any_left_join(by_venue, places, "venue_id").filter(F.col("venue_country") == country)
-    return merge_totals(placed, keys)
+    home = keep_first(places, ["venue_id"]).filter(at_home).drop("venue_country")
+    if fits_broadcast(places.filter(at_home)):
+        placed = located.join(F.broadcast(home), "venue_id")
+        return two_window_totals(placed, keys, as_of, days, previous_days)
+    by_venue = two_window_totals(located, ["venue_id", "brewery_id"], as_of, days, previous_days)
+    return merge_totals(by_venue.join(home, "venue_id"), keys)
 
 
 def _move_within_top(ranked: DataFrame, key: str) -> DataFrame:
@@ -246,21 +252,19 @@ def _beer_output(moved: DataFrame) -> DataFrame:
     )
 
 
+def beer_totals(reviews: DataFrame, as_of: str | date, days: int = 30, previous_days: int = 30) -> DataFrame:
+    """Totals per beer and brewery in both windows, the input of both beer boards."""
+    return two_window_totals(reviews, ["beer_id", "brewery_id"], as_of, days, previous_days)
+
+
 def best_beers(
-    reviews: DataFrame,
-    beers: DataFrame,
-    breweries: DataFrame,
-    as_of: str | date,
-    days: int = 30,
-    previous_days: int = 30,
-    styles: DataFrame | None = None,
+    totals: DataFrame, beers: DataFrame, breweries: DataFrame, styles: DataFrame | None = None
 ) -> DataFrame:
     """All beers of a known style, best first, with movement in the full ranking.
 
     Without ``styles`` every non-NULL style is known. The previous rank is looked up by
     beer alone: a beer that was listed under two breweries has none.
     """
-    totals = two_window_totals(reviews, ["beer_id", "brewery_id"], as_of, days, previous_days)
     described = any_left_join(totals, beers.select("beer_id", "beer_name", "beer_style"), "beer_id")
     described = (
         described.filter(F.col("beer_style").isNotNull())
@@ -275,17 +279,9 @@ def best_beers(
     return _beer_output(named)
 
 
-def worst_beers(
-    reviews: DataFrame,
-    beers: DataFrame,
-    breweries: DataFrame,
-    as_of: str | date,
-    days: int = 30,
-    previous_days: int = 30,
-) -> DataFrame:
+def worst_beers(totals: DataFrame, beers: DataFrame, breweries: DataFrame) -> DataFrame:
     """All beers, worst first. Ranks are given before unnamed beers and beers with several
     rows (several names or breweries) are dropped, so they have gaps."""
-    totals = two_window_totals(reviews, ["beer_id", "brewery_id"], as_of, days, previous_days)
     rated = window_rows(totals, ["beer_id", "brewery_id"])
     ranked = rank_within(rated, ["window"], _worst("beer_id", "brewery_id"))
     now, before = _windows(ranked)

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpointed
 from ..sources.readers import read_table
 from ..sources.sinks import export_table, overwrite_by
 from . import leaderboards, scatter
@@ -29,16 +30,18 @@ def refresh(
 ) -> dict[str, str]:
     """Rebuild every stored result below ``out``; returns the paths by name.
 
-    All cities are one job, stored in one folder per city.
+    All cities are one job, stored in one folder per city. Both beer boards share one pass
+    over the check-ins.
     """
     windows = {"as_of": as_of, "days": days, "previous_days": days}
     cities = leaderboards.city_leaderboard(
         reviews, venues, breweries, country=country, board_cities=board_cities, **windows
     )
     overwrite_by(cities, f"{out}/cities", ["board_city"])
+    totals = checkpointed(leaderboards.beer_totals(reviews, **windows))
     results = {
-        "top_best_beers": leaderboards.best_beers(reviews, beers, breweries, **windows),
-        "top_worst_beers": leaderboards.worst_beers(reviews, beers, breweries, **windows),
+        "top_best_beers": leaderboards.best_beers(totals, beers, breweries),
+        "top_worst_beers": leaderboards.worst_beers(totals, beers, breweries),
         "ratio_scatter_plot": scatter.brewery_scatter(
             reviews, breweries, brewery_info, as_of, scatter_days, scatter_top, scatter_min_count
         ),

@@ -9,10 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import age_class, days_to_years, ratio, size_class
-from ..functions.text import marker_label, short_marker_label
+from ..functions.text import marker_label, median_label, short_marker_label
 from ..operators.joins import any_left_join, dict_lookup
 from ..operators.periods import in_trailing_window
 
+# Captions of the short labels, by language.
+PRODUCT_CAPTIONS = {"short": "количество сортов пива", "short_en": "Beer range"}
+
 
 def brewery_means(reviews: DataFrame, as_of: str | date, days: int) -> DataFrame:
     """Mean and number of ratings per brewery in the trailing window.
@@ -51,8 +54,10 @@ def brewery_scatter(
     top_n: int = 100,
     min_count: int = 150,
     ascending: bool = False,
+    label: str = "full",
 ) -> DataFrame:
-    """The ``top_n`` best (or worst) breweries with enough ratings, described.
+    """The ``top_n`` best (or worst) breweries with enough ratings, described. ``label`` is
+    ``full``, ``short`` or ``short_en``.
 
     Descriptions are attached to the ``top_n`` rows only. ``breweries`` has brewery_id,
     brewery_name, beer_count; ``brewery_info`` has brewery_id, stats_age_on_service (days).
@@ -77,10 +82,11 @@ def brewery_scatter(
     named = described.withColumn("age_on_service", days_to_years(F.col("stats_age_on_service"))).withColumn(
         "beer_count", F.col("beer_count").cast("bigint")
     )
-    label = (
-        short_marker_label(F.col("brewery_name"), F.col("beer_count"))
-        if ascending
-        else marker_label(F.col("brewery_name"), F.col("beer_count"), F.col("rating_count"), mean)
+    name, products = F.col("brewery_name"), F.col("beer_count")
+    text = (
+        marker_label(name, products, F.col("rating_count"), mean)
+        if label == "full"
+        else short_marker_label(name, products, PRODUCT_CAPTIONS[label])
     )
     return named.select(
         "brewery_id",
@@ -89,7 +95,7 @@ def brewery_scatter(
         "brewery_name",
         "beer_count",
         "age_on_service",
-        label.alias("name_count"),
+        text.alias("name_count"),
         size_class(F.col("beer_count")).alias("bucket_beer_count"),
         age_class(F.col("age_on_service")).alias("bucket_age"),
     )
@@ -105,8 +111,13 @@ def with_medians(scatter: DataFrame) -> DataFrame:
 
 
 def scatter_medians(scatter: DataFrame) -> DataFrame:
-    """One row with both exact medians of a bounded scatter."""
-    return scatter.agg(
+    """One row with both exact medians of a bounded scatter, and the texts beside them."""
+    medians = scatter.agg(
         F.median("brewery_pure_average").alias("median_average"),
         F.median("rating_count").alias("median_count"),
     )
+    return medians.select(
+        "*",
+        median_label(F.col("median_average")).alias("average_label"),
+        median_label(F.col("median_count")).alias("count_label"),
+    )

@@ -11,6 +11,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from barrelbook.operators import joins
 from barrelbook.plans import accounts, catalogue, leaderboards, panel, regions, scatter, vacancies
 
 AS_OF = "2021-03-01"
@@ -98,7 +99,14 @@ def label(before, now):
     return f"↑ +{before - now}" if before > now else f"↓ {before - now}"
 
 
-def test_brewery_leaderboard(reviews, venues, breweries):
+@pytest.fixture(params=["few venues", "many venues"])
+def venue_size(request, monkeypatch):
+    """Both ways of meeting the venue table."""
+    if request.param == "many venues":
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+
+
+def test_brewery_leaderboard(venue_size, reviews, venues, breweries):
     home = {v for v, _, country in VENUES if country == "Россия"}
 
     def top(name):
@@ -117,8 +125,8 @@ def test_brewery_leaderboard(reviews, venues, breweries):
     assert [r["place"] for r in board] == ["🏆 1", "🏆 2", "🏆 3", "4", "5"]
 
 
-@pytest.fixture(scope="module")
-def city_board(reviews, venues, breweries):
+@pytest.fixture
+def city_board(venue_size, reviews, venues, breweries):
     return leaderboards.city_leaderboard(reviews, venues, breweries, AS_OF)
 
 
@@ -170,12 +178,13 @@ def test_best_beers(reviews, beers, breweries):
     several = Counter(beer for beer, _ in ranked["before"])
     earlier = {beer: n for n, (beer, _) in enumerate(ranked["before"], 1) if several[beer] == 1}
     expected = [(*key, n, label(earlier.get(key[0]), n)) for n, key in enumerate(ranked["now"], 1)]
-    board = leaderboards.best_beers(reviews, beers, breweries, AS_OF)
+    totals = leaderboards.beer_totals(reviews, AS_OF)
+    board = leaderboards.best_beers(totals, beers, breweries)
     got = [(r["beer_id"], r["brewery_id"], r["rank"], r["movement"]) for r in board.collect()]
     assert sorted(got) == sorted(expected)
     view = leaderboards.beers_view(board, min_checkins=3, k=4).collect()
     assert [r["place"] for r in view] == ["🏆 1", "🏆 2", "🏆 3", "4"]
-    only = leaderboards.best_beers(reviews, beers, breweries, AS_OF, styles=beers.filter("beer_style = 'style 1'"))
+    only = leaderboards.best_beers(totals, beers, breweries, styles=beers.filter("beer_style = 'style 1'"))
     assert {r["beer_name"] for r in only.collect()} <= {n for _, n, s in BEERS if s == "style 1"} | {"other name"}
 
 
@@ -185,7 +194,8 @@ def test_worst_beers_drop_ambiguous_and_unnamed(reviews, beers, breweries):
     several = Counter(beer for beer, _ in order)
     named = {b for b, _, _ in BEERS} - {500}  # 500 has two names
     expected = [(key[0], n) for n, key in enumerate(order, 1) if key[0] in named and several[key[0]] == 1]
-    got = [(r["beer_id"], r["rank"]) for r in leaderboards.worst_beers(reviews, beers, breweries, AS_OF).collect()]
+    board = leaderboards.worst_beers(leaderboards.beer_totals(reviews, AS_OF), beers, breweries)
+    got = [(r["beer_id"], r["rank"]) for r in board.collect()]
     assert sorted(got) == sorted(expected)
 
 

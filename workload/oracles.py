@@ -213,7 +213,9 @@ ORACLES["brewery_scatter"] = f"WITH {_scatter('DESC', 100)} SELECT * FROM scatte
 ORACLES["brewery_scatter_worst"] = f"WITH {_scatter('ASC', 20)} SELECT * FROM scatter"
 ORACLES["scatter_medians"] = f"""
 WITH {_scatter('DESC', 100)}
-SELECT median(brewery_pure_average) AS median_average, CAST(median(rating_count) AS DOUBLE) AS median_count
+SELECT median(brewery_pure_average) AS median_average, CAST(median(rating_count) AS DOUBLE) AS median_count,
+       'Медианное значение: ' || CAST({half_even('median(brewery_pure_average)', 2)} AS VARCHAR) AS average_label,
+       'Медианное значение: ' || CAST(CAST(median(rating_count) AS DOUBLE) AS VARCHAR) AS count_label
 FROM scatter"""
 ORACLES["scatter_with_medians"] = f"""
 WITH {_scatter('DESC', 100)}

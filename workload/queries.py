@@ -65,7 +65,7 @@ def city_leaderboard_view(t: Roles) -> DataFrame:
 
 @query
 def best_beers(t: Roles) -> DataFrame:
-    return leaderboards.best_beers(t.ratings(), t.beers(), t.breweries(), **WINDOWS)
+    return leaderboards.best_beers(leaderboards.beer_totals(t.ratings(), **WINDOWS), t.beers(), t.breweries())
 
 
 @query
@@ -75,7 +75,7 @@ def best_beers_view(t: Roles) -> DataFrame:
 
 @query
 def worst_beers(t: Roles) -> DataFrame:
-    return leaderboards.worst_beers(t.ratings(), t.beers(), t.breweries(), **WINDOWS)
+    return leaderboards.worst_beers(leaderboards.beer_totals(t.ratings(), **WINDOWS), t.beers(), t.breweries())
 
 
 @query
@@ -106,7 +106,7 @@ def brewery_scatter(t: Roles) -> DataFrame:
 @query
 def brewery_scatter_worst(t: Roles) -> DataFrame:
     return scatter.brewery_scatter(
-        t.ratings(), t.breweries(), t.brewery_info(), AS_OF, DAYS, top_n=20, min_count=45, ascending=True
+        t.ratings(), t.breweries(), t.brewery_info(), AS_OF, DAYS, top_n=20, min_count=45, ascending=True, label="short"
     )
 
 
