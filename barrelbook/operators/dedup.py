@@ -9,15 +9,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _orderable(kind: T.DataType) -> bool:
+    """Whether values of a type can be sorted: maps cannot, nor what contains them."""
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column] = ()) -> DataFrame:
     """One row per key: the first under ``order_by``, then under the other columns.
 
     A distributed table has no file order, so the order is always explicit. The
-    remaining columns break ties, which makes the choice independent of partitioning.
+    remaining columns, maps apart, break ties, which makes the choice independent of
+    partitioning.
     """
-    rest = [F.col(c) for c in df.columns if c not in keys]
+    rest = [F.col(f.name) for f in df.schema.fields if f.name not in keys and _orderable(f.dataType)]
     order = [F.col(c) if isinstance(c, str) else c for c in order_by] + rest
     if not order:
         return df.dropDuplicates(list(keys))

@@ -58,6 +58,7 @@ CARD_FIELDS = {
     "rating_text": ("span", "ratingsContent", None),
     "remote_label": ("span", "remote", None),
 }
+PAGE_FIELDS = {"bad_query": (None, "bad_query", None), "caption": ("div", "#searchCountPages", None)}
 
 
 def _lookup(code: Column, names: Mapping[str, str], default: Column) -> Column:
@@ -176,6 +177,18 @@ def result_cards(pages: DataFrame, keep: list[str]) -> DataFrame:
     return extract_items(pages, "html", CARD_FIELDS, keep, CARD)
 
 
+def page_summaries(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """Per result page whether the query was bad, and how many results it announces.
+    ``pages`` has country_code."""
+    kept = [*keep, *(["country_code"] if "country_code" not in keep else [])]
+    found = extract_items(pages, "html", PAGE_FIELDS, kept)
+    return found.select(
+        *keep,
+        present(F.col("bad_query")).alias("bad_query"),
+        dates.result_count(F.col("caption"), F.col("country_code")).alias("results"),
+    )
+
+
 def parse_salaries(postings: DataFrame, salary_text: str = "salary_text") -> DataFrame:
     """Attach salary_period, salary_currency, salary_from and salary_to as stated in the
     text. Steps are columns of their own, so that none is worked out twice."""
@@ -246,21 +259,23 @@ def normalise_salaries(
 
 
 def accepted_cards(cards: DataFrame) -> DataFrame:
-    """Cards whose title matches a rule of the query they were found by."""
+    """Cards whose title matches a rule of the query they were found by, with their job id."""
     title = text.strip_newlines(F.col("title"))
-    return cards.filter(rules.title_matches(title, F.col("query_string"))).withColumn("title", title)
+    return cards.filter(rules.title_matches(title, F.col("query_string"))).withColumns(
+        {"title": title, "job_id": text.id_after_underscore(F.col("element_id"))}
+    )
 
 
 def posting_rows(
     accepted: DataFrame, rates: DataFrame, price_index: DataFrame, as_of: str | date
 ) -> DataFrame:
-    """Stored form of accepted cards: skills, dates, links and salaries. Needs row_idx,
-    query_string, country_code, job_id and the card fields."""
+    """Stored form of accepted cards: skills, dates, links and salaries. Needs query_string,
+    country_code, job_id and the card fields; row_idx is passed on if present."""
     described = accepted.withColumn("country", country_name(F.col("country_code")))
     priced = normalise_salaries(described, rates, price_index, as_of)
     day = as_day(as_of)
     return priced.select(
-        "row_idx",
+        *[c for c in ("row_idx",) if c in accepted.columns],
         "query_string",
         "country",
         "title",
@@ -293,7 +308,6 @@ def vacancy_salaries(
     are judged first. Ids are given before salaries are worked out, so that the numbering
     moves short rows and nothing is parsed twice.
     """
-    keyed = cards.withColumn("job_id", text.id_after_underscore(F.col("element_id")))
-    fresh = new_rows(accepted_cards(keyed), stored, POSTING_KEYS, ["position"])
+    fresh = new_rows(accepted_cards(cards), stored, POSTING_KEYS, ["position"])
     numbered = number_rows_after(stored, fresh, [F.col("query_string").asc(), F.col("job_id").asc()])
     return posting_rows(numbered, rates, price_index, as_of).select(*POSTING_COLUMNS)

@@ -55,7 +55,8 @@ def extract_items(
     """One row per element ``item = (tag, class)``, or per page without ``item``.
 
     ``fields`` names what to take from inside: ``(tag, class, attribute)``, where None
-    matches any tag or class, and no attribute means the text of the first match.
+    matches any tag or class, ``#name`` in place of a class matches the id, and no
+    attribute means the text of the first match.
     The tag ``ITSELF`` addresses the item's own attributes. Absent fields are NULL.
     """
     source = pages.select(*keep, html)
@@ -91,6 +92,13 @@ def extract_items(
                 found.setdefault(key.lower(), characters(next(filter(None, values), "")))
             return found
 
+        def fits(css, found):
+            if css is None:
+                return True
+            if css.startswith("#"):
+                return found.get("id") == css[1:]
+            return css in found.get("class", "").split()
+
         def items(page):
             """Dicts of found fields. ``stack`` holds the open tags, ``capturing`` the fields
             whose text is being collected, with the stack height that ends them."""
@@ -122,7 +130,7 @@ def extract_items(
                     if tag != item[0]:
                         continue
                     found = attributes(raw)
-                    if item[1] is None or item[1] in found.get("class", "").split():
+                    if fits(item[1], found):
                         own = by_tag.get(ITSELF, [])
                         current = {name: found[wanted] for name, _, wanted in own if wanted in found}
                         inside = len(stack)
@@ -131,9 +139,8 @@ def extract_items(
                 if not candidates:
                     continue
                 found = attributes(raw)
-                classes = found.get("class", "").split()
                 for name, css, wanted in candidates:
-                    if css is not None and css not in classes:
+                    if not fits(css, found):
                         continue
                     current[name] = "" if wanted is None else found.get(wanted)
                     if wanted is None and tag not in void:

@@ -59,6 +59,12 @@ def test_keep_first_breaks_ties_by_the_other_columns(spark):
     assert rows(ops.keep_first(df, ["k"], ["n"])) == [(1, 5, "a")]
 
 
+def test_keep_first_of_rows_with_maps(spark):
+    df = spark.createDataFrame([(1, 2, {"a": 1}), (1, 1, {"b": 1})], "k int, n int, m map<string,int>")
+    nested = df.withColumn("s", F.struct("m", "n"))
+    assert [r["n"] for r in ops.keep_first(nested, ["k"]).collect()] == [1]
+
+
 def test_latest_by_key(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, None, "x")], "k int, version int, s string")
     assert rows(ops.latest_by_key(df, ["k"], "version")) == [(1, 2, "new"), (2, None, "x")]

@@ -10,7 +10,7 @@ from barrelbook import operators as ops
 
 FOLDER = "/root/testdata/sf0.001"
 STREAMS = {name for name in queries() if name.startswith("stream_")}
-PYTHON = {"html_cards", "html_menu_items", "catalogue_enrichment", "catalogue_summary"}
+PYTHON = {"html_cards", "page_summaries", "html_menu_items", "catalogue_enrichment", "catalogue_summary"}
 WRITERS = {"daily_refresh", "csv_after_preamble", "table_export", "created_table_latest"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from barrelbook.plans import refresh
+from barrelbook.plans import refresh, vacancies
 from barrelbook.session import scratch_path, shared_folder
 from barrelbook.sources import html, readers, schemas, sinks
 
@@ -91,6 +91,15 @@ def test_whole_page_as_one_item(spark):
     assert rows(found) == [(1, 0, "<bold>"), (2, 0, None)]
 
 
+def test_page_summaries(spark):
+    pages = spark.createDataFrame(
+        [(1, "us", '<p id="searchCountPages">no</p><div id="searchCountPages">\n Page 1 of 2,100 jobs</div>'),
+         (2, "us", '<div class="bad_query">none</div>'), (3, "kr", '<div id="searchCountPages">12건</div>')],
+        "page int, country_code string, html string",
+    )
+    assert rows(vacancies.page_summaries(pages, ["page"])) == [(1, 0, 2100), (2, 1, None), (3, 0, 12)]
+
+
 def test_titles_and_links(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, "no title")], "page int, html string")
     assert rows(pages.select("page", html.page_title(F.col("html")))) == [(1, "A & B"), (2, None)]

@@ -612,6 +612,10 @@ SELECT (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F')
 FROM accepted
 """
 
+ORACLES["page_summaries"] = f"""
+SELECT o_orderkey AS page_id, 0 AS bad_query, {d.AMOUNT} AS results FROM {LOCATED}
+"""
+
 # Accounts and catalogue --------------------------------------------------------------------
 
 ACTIVITY = """
@@ -755,3 +759,10 @@ FROM events GROUP BY user_id, event_type
 ORACLES["stream_known_keys"] = "SELECT DISTINCT user_id, event_type FROM events"
 ORACLES["stream_bounded_dedup"] = "SELECT event_id, user_id FROM events"
 ORACLES["stream_vacancy_feed"] = f"WITH {FEED} SELECT vacancy_id, query_string, name FROM judged WHERE accepted"
+ORACLES["stream_postings"] = f"""
+WITH {CARDS},
+{_priced("""SELECT *, replace(replace(title, chr(10), ''), '"', '') AS plain, query_string AS query FROM cards""")}
+SELECT substr(element_id, 3) AS job_id, query_string, replace(title, chr(10), '') AS title,
+       "month_salary_from_USD", {_skills('summary')} AS skills
+FROM priced WHERE {TITLE_ACCEPTED}
+"""

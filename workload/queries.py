@@ -427,6 +427,11 @@ def html_cards(t: Roles) -> DataFrame:
     return vacancies.result_cards(t.result_pages(), ["page_id"])
 
 
+@query
+def page_summaries(t: Roles) -> DataFrame:
+    return vacancies.page_summaries(t.result_pages(), ["page_id"])
+
+
 # Accounts and catalogue --------------------------------------------------------------------
 
 
@@ -673,3 +678,23 @@ def stream_vacancy_feed(t: Roles) -> DataFrame:
     run = ingest.store_new_rows(feed, target, checkpoint, vacancies.FEED_KEYS, ["published_at"], accepted, flat)
     run.awaitTermination()
     return ingest.known_rows(t.spark, target, flat).drop(ingest.BATCH)
+
+
+@query
+def stream_postings(t: Roles) -> DataFrame:
+    """Result pages that arrive as files: accepted postings, each (job, query) once."""
+    source, target, checkpoint = (_scratch(t, label) for label in ("source", "target", "checkpoint"))
+    pages = t.result_pages().select("query_string", "country_code", "html")
+    pages.repartition(4).write.parquet(source)
+    feed = ingest.read_feed(
+        t.spark, source, "query_string string, country_code string, html string", "parquet", maxFilesPerTrigger="2"
+    )
+
+    def postings(batch: DataFrame) -> DataFrame:
+        cards = vacancies.result_cards(batch, ["query_string", "country_code"])
+        return vacancies.posting_rows(vacancies.accepted_cards(cards), t.rates(), t.price_index(), d.PRICING_DAY)
+
+    stored = "job_id string, query_string string, title string, month_salary_from_USD double, skills string"
+    run = ingest.store_new_rows(feed, target, checkpoint, vacancies.POSTING_KEYS, [], postings, stored)
+    run.awaitTermination()
+    return ingest.known_rows(t.spark, target, stored).drop(ingest.BATCH)
