@@ -70,9 +70,18 @@ def store_new_rows(
     )
 
 
-def remember_keys(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each key once, with all keys seen kept in the state store."""
-    return stream.dropDuplicates(list(keys))
+def remember_keys(stream: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
+    """Each key once, with all keys seen kept in the state store.
+
+    A first check per (key, salt) spreads the rows of a hot key over ``salts`` tasks; the
+    final check per key sees at most one row of each. With one salt there is only the
+    final check, and half the state.
+    """
+    keys = list(keys)
+    if salts > 1:
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
+        stream = stream.withColumn("_salt", salt).dropDuplicates([*keys, "_salt"]).drop("_salt")
+    return stream.dropDuplicates(keys)
 
 
 def remember_recent_keys(stream: DataFrame, keys: Sequence[str], moment: str, delay: str) -> DataFrame:

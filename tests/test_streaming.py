@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from barrelbook.operators import new_rows
@@ -81,12 +82,20 @@ def test_transform_before_storing(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, "other", "X"), (1, "q", "A"), (3, "q", "X"), (4, "q", "X"), (5, "q", "X")]
 
 
-def test_remembered_keys(spark, tmp_path):
+@pytest.mark.parametrize("salts", [1, 3])
+def test_remembered_keys(spark, tmp_path, salts):
     target, checkpoint = scratch_path(spark, "target"), scratch_path(spark, "checkpoint")
     write_feed(tmp_path / "in", FILES)
-    keyed = ingest.remember_keys(feed(spark, tmp_path / "in").select(*KEYS), KEYS)
-    ingest.append_stream(keyed, target, checkpoint).awaitTermination()
-    assert spark.read.parquet(target).count() == 6
+
+    def run():
+        keyed = ingest.remember_keys(feed(spark, tmp_path / "in").select(*KEYS), KEYS, salts)
+        ingest.append_stream(keyed, target, checkpoint).awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(target).collect()))
+
+    expected = sorted([(i, "q") for i in range(1, 6)] + [(1, "other")])
+    assert run() == expected
+    write_feed(tmp_path / "in", {"4.json": [record(2), record(6), record(6)]})
+    assert run() == sorted([*expected, (6, "q")])
 
 
 def test_recent_keys_are_forgotten(spark, tmp_path):

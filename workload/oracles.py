@@ -641,7 +641,7 @@ ORACLES["account_posts"] = f"""
 WITH {ACTIVITY}
 SELECT owner, code AS id, code, replace(replace(text, '''', ''), '"', '') AS caption, turn AS comments_count,
        length(text) AS likes_count,
-       strftime(make_timestamp((1609459200 + turn * 3600 + conv_id) * 1000000), '%Y-%m-%d %H:%M:%S') AS date,
+       1609459200 + turn * 3600 + conv_id AS date,
        CAST(turn = 4 AS INT) AS is_video
 FROM posts
 """

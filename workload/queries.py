@@ -449,7 +449,7 @@ def account_activity(t: Roles) -> DataFrame:
 @query
 def account_posts(t: Roles) -> DataFrame:
     posts = _activity(t).posts.drop("added_at")
-    return posts.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+    return posts.withColumn("date", F.unix_seconds("date"))
 
 
 @query
