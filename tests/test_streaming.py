@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,9 +16,12 @@ DDL = "id bigint, query string, at timestamp_ntz, note string"
 
 
 def write_feed(folder, files):
+    """Files in the order of their names: streams take the oldest first."""
     folder.mkdir(exist_ok=True)
     for name, records in files.items():
         (folder / name).write_text("".join(json.dumps(r) + "\n" for r in records))
+        age = 1_600_000_000 + 60 * int(name.split(".")[0])
+        os.utime(folder / name, (age, age))
 
 
 def record(i, query="q", minute=0, note="x"):
