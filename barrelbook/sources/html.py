@@ -57,7 +57,8 @@ def extract_items(
     ``fields`` names what to take from inside: ``(tag, class, attribute)``, where None
     matches any tag or class, ``#name`` in place of a class matches the id, and no
     attribute means the text of the first match.
-    The tag ``ITSELF`` addresses the item's own attributes. Absent fields are NULL.
+    The tag ``ITSELF`` addresses the item's own attributes. Absent fields are NULL. An item
+    nested in another belongs to the outer one.
     """
     source = pages.select(*keep, html)
     columns = [source.schema[c] for c in keep]
@@ -92,6 +93,10 @@ def extract_items(
                 found.setdefault(key.lower(), characters(next(filter(None, values), "")))
             return found
 
+        def possible(css, raw):
+            """Whether raw attributes may hold a class or id, before they are taken apart."""
+            return css is None or css.lstrip("#") in raw or "&" in raw
+
         def fits(css, found):
             if css is None:
                 return True
@@ -127,7 +132,7 @@ def extract_items(
                 if tag not in void:
                     stack.append(tag)
                 if current is None:
-                    if tag != item[0]:
+                    if tag != item[0] or not possible(item[1], raw):
                         continue
                     found = attributes(raw)
                     if fits(item[1], found):
@@ -135,7 +140,9 @@ def extract_items(
                         current = {name: found[wanted] for name, _, wanted in own if wanted in found}
                         inside = len(stack)
                     continue
-                candidates = [f for f in (*by_tag.get(tag, ()), *anywhere) if f[0] not in current]
+                candidates = [
+                    f for f in (*by_tag.get(tag, ()), *anywhere) if f[0] not in current and possible(f[1], raw)
+                ]
                 if not candidates:
                     continue
                 found = attributes(raw)
