@@ -228,7 +228,7 @@ def city_leaderboard_view(
     single = keep_first(rows, ["board_city", "brewery_name", "venue_city"], ["rank"])
     single = single.withColumnRenamed("rank", "board_rank")
     shown = top_k_within(single, ["board_city"], [F.col("board_rank")], k)
-    return shown.select(
+    return shown.orderBy("board_city", "rank").select(
         "board_city",
         trophy(F.col("rank")).alias("place"),
         "brewery_name",
@@ -296,7 +296,7 @@ def beers_view(board: DataFrame, min_checkins: int = 250, k: int = 10) -> DataFr
     renumbered."""
     enough = board.filter(F.col("checkins") >= min_checkins).withColumnRenamed("rank", "board_rank")
     shown = top_k_within(enough, [], [F.col("board_rank")], k)
-    return shown.select(
+    return shown.orderBy("rank").select(
         trophy(F.col("rank")).alias("place"), "beer_name", "brewery_name", "avg_rating", "movement", "checkins"
     )
 

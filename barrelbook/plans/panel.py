@@ -79,7 +79,7 @@ def price_panel(
         or_zero(F.col("population")).alias("population"),
         or_zero(F.col("gdp")).alias("gdp"),
         or_zero(per_capita).alias("gdp_per_capita"),
-    )
+    ).orderBy("name", "year")
 
 
 def motion_frames(panel: DataFrame) -> DataFrame:

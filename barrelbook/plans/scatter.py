@@ -65,8 +65,8 @@ def brewery_scatter(
     """
     means = brewery_means(reviews, as_of, days).filter(F.col("rating_count") >= min_count)
     mean = F.col("brewery_pure_average")
-    order = mean.asc_nulls_last() if ascending else mean.desc_nulls_last()
-    top = means.orderBy(order, F.col("brewery_id")).limit(top_n)
+    order = [mean.asc_nulls_last() if ascending else mean.desc_nulls_last(), F.col("brewery_id").asc()]
+    top = means.orderBy(*order).limit(top_n)
     described = dict_lookup(
         top,
         breweries.select("brewery_id", "brewery_name", "beer_count"),
@@ -98,7 +98,7 @@ def brewery_scatter(
         text.alias("name_count"),
         size_class(F.col("beer_count")).alias("bucket_beer_count"),
         age_class(F.col("age_on_service")).alias("bucket_age"),
-    )
+    ).orderBy(*order)
 
 
 def with_medians(scatter: DataFrame) -> DataFrame:

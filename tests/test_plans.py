@@ -78,3 +78,12 @@ def test_limited_views_sort_only_the_top(spark):
 
     shown = plan(beers_view(board, 1, 10))
     assert "TakeOrdered" in shown or "WindowGroupLimit" in shown
+
+
+def test_bounded_results_keep_their_order_after_shuffled_joins(large):
+    means = [r["brewery_pure_average"] for r in queries()["brewery_scatter"](large, "/root/testdata/sf0.01").collect()]
+    assert len(means) > 5 and means == sorted(means, reverse=True)
+    ranks = [r["rank"] for r in queries()["brewery_leaderboard"](large, "/root/testdata/sf0.01").collect()]
+    assert ranks == list(range(1, 26))
+    panel = [(r["name"], r["year"]) for r in queries()["price_panel"](large, FOLDER).collect()]
+    assert panel == sorted(panel)
