@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import simhash, suffixes
+from barrelbook.llm import packing, quality, simhash, suffixes, topk
 from barrelbook.sources.readers import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +25,56 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+def encoder():
+    """The byte-pair vocabulary ``byte_bpe_50k``; its two files give the same ids."""
+    return packing.byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op3_packing(spark, folder):
+    """Where the tokens of every document lie in sequences of 1,024."""
+    pieces = packing.pack(_table(spark, folder, "documents"), encoder())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @_query
 def op4_simhash(spark, folder):
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query
+def op5_quality(spark, folder):
+    """Quality score of every document, learned from labels that are not held out."""
+    return quality.scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query
+def op6_topk(spark, folder):
+    """The five best rows for every fiftieth vector."""
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op6_topk"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
 @_query
 def op8_suffix_dedup(spark, folder):
     """What exact repeats of 200 bytes cover in every document."""
