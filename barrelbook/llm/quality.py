@@ -24,7 +24,7 @@ SLOTS = 1 << SLOT_BITS
 SAMPLE = 20_000
 THRESHOLD = 0.3
 #: Shapes of words that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 PUNCTUATION = ".,;:!?#%&*$|\"')("
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import packing, quality, simhash, suffixes, topk
+from barrelbook.llm import packing, quality, simhash, suffixes, topk, urls
 from barrelbook.sources.readers import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,18 @@ def op8_suffix_dedup(spark, folder):
         F.size(spans).cast("long").alias("n_spans"),
         F.sha2(suffixes.kept_bytes("text", "spans"), 256).alias("kept_sha256"),
     )
+
+
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+@_query
+def op9_url_filter(spark, folder):
+    """Verdict on the URL of every page."""
+    return urls.judge(_table(spark, folder, "pages"), URL_RULES)
