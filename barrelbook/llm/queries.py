@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import packing, quality, simhash, suffixes, topk, urls
+from barrelbook.llm import archives, packing, quality, simhash, suffixes, topk, urls
 from barrelbook.sources.readers import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,10 @@ URL_RULES = [
 def op9_url_filter(spark, folder):
     """Verdict on the URL of every page."""
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
+@_query
+def op10_archives(spark, folder):
+    """Every page written to packaged web archives and read back."""
+    records = archives.round_trip(_table(spark, folder, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -80,3 +80,18 @@ def test_quality_query(spark, connection):
     labels = connection.execute("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL").fetchall()
     tested = [found[i].predicted == q for i, q in labels if found[i].held_out]
     assert sum(tested) >= 0.95 * len(tested)
+
+
+def test_url_query(spark, connection):
+    from tests.llm.test_urls import brute
+
+    rows = connection.execute("SELECT page_id, url FROM pages").fetchall()
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in REGISTRY["op9_url_filter"](spark, FOLDER).collect()}
+    assert found == {r[0]: r[1:5] for r in brute(rows)}
+
+
+def test_archive_query(spark, connection):
+    from tests.llm.test_archives import brute, rows_of
+
+    rows = connection.execute("SELECT page_id, url, html FROM pages").fetchall()
+    assert rows_of(REGISTRY["op10_archives"](spark, FOLDER)) == brute(rows)
