@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import archives, packing, quality, simhash, suffixes, topk, urls
+from barrelbook.llm import archives, packing, pages, quality, simhash, suffixes, topk, urls
 from barrelbook.sources.readers import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+@_query
+def op1_main_text(spark, folder):
+    """Main text of every page."""
+    return pages.main_texts(_table(spark, folder, "pages"))
+
+
 def encoder():
     """The byte-pair vocabulary ``byte_bpe_50k``; its two files give the same ids."""
     return packing.byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -33,8 +39,8 @@ def encoder():
 @_query
 def op3_packing(spark, folder):
     """Where the tokens of every document lie in sequences of 1,024."""
-    pieces = packing.pack(_table(spark, folder, "documents"), encoder())
-    return pieces.select(
+    found = packing.pack(_table(spark, folder, "documents"), encoder())
+    return found.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 

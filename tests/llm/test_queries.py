@@ -95,3 +95,9 @@ def test_archive_query(spark, connection):
 
     rows = connection.execute("SELECT page_id, url, html FROM pages").fetchall()
     assert rows_of(REGISTRY["op10_archives"](spark, FOLDER)) == brute(rows)
+
+
+def test_main_text_query(spark, connection):
+    rows = REGISTRY["op1_main_text"](spark, FOLDER).collect()
+    assert len(rows) == connection.execute("SELECT count(*) FROM pages").fetchone()[0]
+    assert all(r.n_chars == len(r.text) and "<" not in r.text for r in rows)
