@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import archives, packing, pages, quality, simhash, suffixes, topk, urls
+from barrelbook.llm import archives, latent, packing, pages, quality, simhash, suffixes, topk, urls
 from barrelbook.sources.readers import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,10 @@ def op10_archives(spark, folder):
     """Every page written to packaged web archives and read back."""
     records = archives.round_trip(_table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op7_decontamination(spark, folder):
+    """Documents that hold passages of benchmark items, with the evidence."""
+    found = latent.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("th")
