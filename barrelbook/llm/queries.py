@@ -36,19 +36,25 @@ def encoder():
     return packing.byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@_query
-def op3_packing(spark, folder):
-    """Where the tokens of every document lie in sequences of 1,024."""
-    found = packing.pack(_table(spark, folder, "documents"), encoder())
+def piece_digests(docs):
+    """Pieces of packed documents with a checksum of their ids."""
+    found = packing.pack(docs, encoder())
     return found.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+@_query
+def op3_packing(spark, folder):
+    """Where the tokens of every document lie in sequences of 1,024."""
+    return piece_digests(_table(spark, folder, "documents"))
+
+
 @_query
 def op4_simhash(spark, folder):
     """Fingerprint and component of every document."""
-    return simhash.near_duplicates(_table(spark, folder, "documents"))
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 @_query

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barrelbook.llm.graph import components
@@ -279,28 +279,26 @@ def near_duplicates(
     distance: int = 2,
     bucket: int = BUCKET,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
-
-    Copies share a fingerprint, so they meet as one row of the distinct table and are never
-    paired. A NULL text counts as empty; texts without words have fingerprint zero and are
-    linked like any other. Repeated rows stay repeated. A NULL id never names a component
-    unless the component has no other (then ``component_id`` is NULL). An empty table gives
-    no rows; other columns of ``docs`` are not looked at.
+    """One row per document: ``doc_id, th, fingerprint, component_id, component``.
+
+    ``fingerprint`` has 16 hex digits, ``component_id`` is the smallest id reachable over links,
+    ``component`` a number of the component and ``th`` is ``xxhash64(text)``. Copies share a
+    fingerprint, so they meet as one row of the distinct table and are never paired. A NULL text
+    counts as empty; texts without words have fingerprint zero and are linked like any other.
+    Repeated rows stay repeated. A NULL id names a component only if it has no other (then
+    ``component_id`` is NULL). An empty table gives no rows; other columns are not looked at.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = checkpointed(with_fingerprint(slim, "text", "fp", words_per_shingle).select("doc_id", "fp"))
+    slim = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")
+    )
+    marked = checkpointed(with_fingerprint(slim, "text", "fp", words_per_shingle).select("doc_id", "th", "fp"))
     prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     classes = link_classes(prints.select("fp"), distance, bucket)
     rooted = prints.join(classes, prints.fp == classes.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+        "fp", "least", F.coalesce("root", "fp").alias("component")
     )
-    owners = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    owned = rooted.join(owners, "root").select("fp", "component_id")
+    owners = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    owned = rooted.join(owners, "component").select("fp", "component_id", "component")
     return marked.join(owned, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component"
     )
-
-
-def is_linked(left: Column, right: Column, distance: int = 2) -> Column:
-    """Whether two fingerprints are linked; for checks on small tables."""
-    return F.bit_count(left.bitwiseXOR(right)) <= distance

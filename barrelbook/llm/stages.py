@@ -1,30 +1,52 @@
-"""The operators as stages of the corpus pipeline: documents in, documents out."""
+"""The operators as stages of the corpus pipeline.
+
+Each takes ``(spark, docs, sf_dir)``. All but the last give documents with the columns they came
+with. A document is told by its id, NULL or not, and a hash of its text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import simhash, suffixes
+from barrelbook.llm import latent, packing, quality, simhash, suffixes
+from barrelbook.llm.queries import piece_digests
+from barrelbook.sources.readers import read_table
 
+_KEY = ["__id", "__no_id", "__text"]
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: the one whose id names it.
 
-    Repeated rows of that id shrink to one. Where no document of a component has an id, one of
-    its rows stays.
-    """
-    found = simhash.near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__keep_id"), F.col("fingerprint").alias("__keep_print")
+def _keyed(rows: DataFrame, text_hash) -> DataFrame:
+    """Plain columns to join on, so that a later step can use the same partitioning."""
+    return rows.withColumns(
+        {
+            "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+            "__no_id": F.col("doc_id").isNull(),
+            "__text": text_hash,
+        }
     )
-    keep = keep.groupBy("__keep_id").agg(F.min("__keep_print").alias("__keep_print"))
-    return _one_row_each(docs, keep)
 
 
-def _one_row_each(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    met = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep_id"]))
-    return met.select(docs.columns)
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the classifier rejects. Labels only teach; they do not decide."""
+    learned = docs.filter(~quality.held_out(F.col("doc_id")))
+    model = quality.train(quality.slots_of(learned), read_table(spark, f"{sf_dir}/labels.parquet"))
+    scored = quality.with_score(docs, model, "__score")
+    return scored.filter(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each SimHash component: that with the smallest id.
+
+    Of rows under that id the one with the smallest text hash stays, and of equal rows one. A
+    document without id stays only if its component has no ids.
+    """
+    found = simhash.near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    kept = found.groupBy("component").agg(first.alias("kept")).select("kept.doc_id", "kept.th")
+    kept = _keyed(kept, F.col("th")).select(*_KEY)
+    met = _keyed(docs, F.xxhash64("text")).join(kept, _KEY)
+    return met.dropDuplicates(_KEY).select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,3 +54,15 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = suffixes.with_repeated_spans(docs, "__cut")
     text = suffixes.kept_text("text", "__cut")
     return marked.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of a benchmark item."""
+    found = latent.leaks(docs, read_table(spark, f"{sf_dir}/benchmark.parquet"))
+    found = _keyed(found, F.col("th")).select(*_KEY)
+    return _keyed(docs, F.xxhash64("text")).join(found, _KEY, "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the tokens of every document lie in sequences."""
+    return piece_digests(docs)

@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barrelbook.llm.stages import near_duplicates, repeats
+from barrelbook.llm.stages import decontamination, near_duplicates, packed, quality_filter, repeats
 from barrelbook.session import scratch_path
 
 STAGES = [
+    ("quality_classifier", quality_filter),
     ("simhash_near_dedup", near_duplicates),
     ("suffix_array_dedup", repeats),
+    ("benchmark_decontamination", decontamination),
+    ("packing", packed),
 ]
 
-#: No stage but the first can be told in SQL; tests hold them against brute force.
+#: SQL can't tell the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -37,7 +37,7 @@ def brute_classes(prints, distance=2):
 
 
 def check(spark, frame, rows):
-    got = sorted(map(tuple, simhash.near_duplicates(frame).collect()))
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame).collect())
     rows = sorted(rows)
     prints = [brute_print(t) for _, t in rows]
     classes = brute_classes(prints)
@@ -65,7 +65,7 @@ def test_near_duplicates_match_brute_force(spark, documents, clashing):
 
 def test_nulls_repeats_and_empty_table(spark, documents):
     frame = documents([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "q r s t u")])
-    got = [tuple(r) for r in simhash.near_duplicates(frame).collect()]
+    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame).collect()]
     assert len(got) == 4
     assert sorted(c for i, _, c in got if i == 7) == [7, 7]
     assert sorted(str(c) for i, _, c in got if i is None) == ["7", "None"]
