@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrelbook.llm import archives, latent, packing, pages, quality, simhash, suffixes, topk, urls
+from barrelbook.llm import archives, latent, licenses, packing, pages, quality, simhash, suffixes, topk, urls
 from barrelbook.sources.readers import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,9 @@ def op7_decontamination(spark, folder):
     """Documents that hold passages of benchmark items, with the evidence."""
     found = latent.leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.drop("th")
+
+
+@_query
+def op2_licenses(spark, folder):
+    """Licenses that the documents hold, with coverage and spans."""
+    return licenses.licenses(_table(spark, folder, "documents"))
