@@ -347,10 +347,12 @@ def read_packages(spark: SparkSession, packages: DataFrame, with_payload: bool =
     ``payload`` is that of a response, NULL for a revisit; length and digest are those of the full
     payload for both. Without packages there are no rows.
     """
-    ranges = packages.select("path").repartition("path").mapInArrow(
+    # Rows are few and small but stand for much reading: a fixed number of tasks is not merged.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = packages.select("path").repartition(tasks, "path").mapInArrow(
         _ranges, "path string, offsets array<long>, lengths array<long>"
     )
-    dealt = ranges.repartition("path", F.element_at("offsets", 1))
+    dealt = ranges.repartition(tasks, "path", F.element_at("offsets", 1))
     return dealt.mapInArrow(_records(with_payload), RECORD)
 
 
