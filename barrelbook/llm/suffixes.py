@@ -25,12 +25,14 @@ from barrelbook.session import checkpointed
 
 SPAN, GRAM = 200, 100
 #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Bytes of one suffix array. Anchors with more text take the exact way by window digests.
-CHUNK = 3 << 19
+CHUNK = 1 << 21
 #: The filter of repeated anchors has this many bits whatever the input; a full filter lets more
 #: rows through and changes no result.
 FILTER_BITS = 1 << 27
+#: Likewise for the filters of texts that take part in a join.
+TEXT_BITS = 1 << 24
 FILTER_PARTS = 256
 #: Anchors with more than this share of all pieces are settled in two steps; there are at most
 #: as many of them as the share has parts.
@@ -297,9 +299,16 @@ def two_stage_order(data: np.ndarray, depth: int) -> np.ndarray:
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
     smaller = step[nearest] > 0
     padded = data.tobytes() + bytes(depth)
-    direct = np.flatnonzero(smaller).tolist()
-    direct.sort(key=lambda i: padded[i : i + depth])
-    direct = np.array(direct, dtype=np.int64)
+    direct = np.flatnonzero(smaller)
+    pairs = data[direct].astype(np.int64) << 8 | np.r_[data[1:], np.uint8(0)][direct]
+    placed = np.argsort(pairs, kind="stable")
+    direct, pairs = direct[placed], pairs[placed]
+    cuts = np.flatnonzero(np.diff(pairs)) + 1
+    for start, end in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(direct)].tolist()):
+        if end - start > 1:  # only one bucket of keys is in memory
+            bucket = direct[start:end].tolist()
+            bucket.sort(key=lambda i: padded[i + 2 : i + depth])
+            direct[start:end] = bucket
     sizes = np.bincount(data, minlength=256)
     ends = np.cumsum(sizes)
     order = np.empty(total, dtype=np.int64)
@@ -429,14 +438,25 @@ def _compare(span: int, chunk: int):
 # --- the operator -----------------------------------------------------------------------------
 
 
-def _filter_of(repeated: DataFrame) -> bytes:
-    """A bit set of fixed size with the hashes of repeated anchors."""
-    part_bits = FILTER_BITS // FILTER_PARTS
+def _possibly(known, hashes):
+    """Whether a 64-bit hash may be in a filter; only the hashes go to Python."""
+
+    @F.pandas_udf(T.BooleanType())
+    def passes(values: pd.Series) -> pd.Series:
+        bits = np.frombuffer(known.value, dtype=np.uint8)
+        return pd.Series(_passes(bits, values.to_numpy(dtype="<i8").view("<u8")))
+
+    return passes(hashes)
+
+
+def _filter_of(repeated: DataFrame, size: int) -> bytes:
+    """A bit set of ``size`` bits with the hashes in ``h``."""
+    part_bits = size // FILTER_PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            slots = batch.column("h").to_numpy(zero_copy_only=False).view("<u8") & np.uint64(FILTER_BITS - 1)
+            slots = batch.column("h").to_numpy(zero_copy_only=False).view("<u8") & np.uint64(size - 1)
             parts = (slots // np.uint64(part_bits)).astype(np.int64)
             for part in np.unique(parts):
                 inside = (slots[parts == part] % np.uint64(part_bits)).astype(np.int64)
@@ -446,12 +466,11 @@ def _filter_of(repeated: DataFrame) -> bytes:
             packed = np.packbits(bits, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([packed], pa.binary())], ["p", "b"])
 
-    slot = F.pmod("h", F.lit(FILTER_BITS))
+    slot = F.pmod("h", F.lit(size))
     dealt = repeated.select("h", F.floor(slot / part_bits).alias("p")).repartition("p").select("h")
-    whole = bytearray(FILTER_BITS // 8)
-    size = part_bits // 8
+    whole, length = bytearray(size // 8), part_bits // 8
     for row in dealt.mapInArrow(run, "p long, b binary").collect():  # at most FILTER_PARTS rows of fixed size
-        whole[row.p * size : (row.p + 1) * size] = row.b
+        whole[row.p * length : (row.p + 1) * length] = row.b
     return bytes(whole)
 
 
@@ -476,7 +495,7 @@ def repeated_spans(
     repeated = checkpointed(counts.filter("n > 1"))
     total = repeated.agg(F.sum("n")).first()[0] or 0
     heavy = [r.h for r in repeated.filter(F.col("n") > max(SALTS, total // HEAVY_PARTS)).select("h").limit(HEAVY_PARTS).collect()]
-    known = spark.sparkContext.broadcast(_filter_of(repeated))
+    known = spark.sparkContext.broadcast(_filter_of(repeated, FILTER_BITS))
     rows = checkpointed(slim.mapInArrow(_candidates(known, span, gram), ROW))
     is_heavy = F.col("h").isin(heavy) if heavy else F.lit(False)
     candidates = rows.filter(F.col("kind") == CANDIDATE)
@@ -506,7 +525,9 @@ def _compared(slim: DataFrame, asks: DataFrame, span: int, chunk: int) -> DataFr
     lists = asks.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*_NAMES)).alias("asks")).select(
         F.col("doc_id").alias("ask_id"), F.col("th").alias("ask_th"), "asks"
     )
-    joined = slim.join(lists, (slim.th == lists.ask_th) & slim.doc_id.eqNullSafe(lists.ask_id))
+    known = slim.sparkSession.sparkContext.broadcast(_filter_of(asks.select(F.col("th").alias("h")), TEXT_BITS))
+    asked = slim.filter(_possibly(known, F.col("th")))  # other texts need not be moved
+    joined = asked.join(lists, (slim.th == lists.ask_th) & slim.doc_id.eqNullSafe(lists.ask_id))
     joined = joined.withColumn("data", F.col("text").cast("binary"))
     fields = ", ".join(f"a.{name} AS {name}" for name in _NAMES)
     cut = f"transform(asks, a -> struct({fields}, substring(data, int(a.start) + 1, a.length) AS piece))"
@@ -537,16 +558,23 @@ def _merge(lists: pd.Series) -> pd.Series:
 
 
 def with_repeated_spans(docs: DataFrame, name: str, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """All rows and columns of ``docs``, with the spans of their texts (NULL if there are none)."""
-    found = repeated_spans(docs, doc_id=doc_id, text=text, **how).select(
+    """All rows and columns of ``docs``, with the spans of their texts (NULL if there are none).
+
+    Only rows whose text may have spans, by a filter of fixed size, are moved to meet them.
+    """
+    found = checkpointed(repeated_spans(docs, doc_id=doc_id, text=text, **how))
+    known = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.col("th").alias("h")), TEXT_BITS))
+    found = found.select(
         F.col("doc_id").alias("__span_id"), F.col("th").alias("__span_th"), F.col("spans").alias("__spans")
     )
-    met = docs.join(
-        found,
-        (F.xxhash64(docs[text]) == found["__span_th"]) & docs[doc_id].cast("long").eqNullSafe(found["__span_id"]),
-        "left",
+    hashed = docs.withColumns({"__th": F.xxhash64(text), "__key": F.col(doc_id).cast("long")})
+    hashed = hashed.withColumn("__may", _possibly(known, F.col("__th")))
+    some = hashed.filter("__may")
+    met = some.join(found, (F.col("__th") == F.col("__span_th")) & F.col("__key").eqNullSafe(F.col("__span_id")), "left")
+    none = F.lit(None).cast(found.schema["__spans"].dataType)
+    return met.select(*docs.columns, F.col("__spans").alias(name)).unionAll(
+        hashed.filter("NOT __may").select(*docs.columns, none.alias(name))
     )
-    return met.select(*[docs[c] for c in docs.columns], F.col("__spans").alias(name))
 
 
 @F.pandas_udf(T.BinaryType())
