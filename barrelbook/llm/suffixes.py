@@ -25,7 +25,7 @@ from barrelbook.session import checkpointed
 
 SPAN, GRAM = 200, 100
 #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 #: Bytes of one suffix array. Anchors with more text take the exact way by window digests.
 CHUNK = 1 << 21
 #: The filter of repeated anchors has this many bits whatever the input; a full filter lets more
@@ -140,13 +140,20 @@ def _pieces(texts: list[bytes], span: int, gram: int):
             yield data, bounds, parts, hashes, starts, ends, inside
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are copied at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _encoded(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
 def _anchor_hashes(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             for _, _, _, hashes, _, _, _ in _pieces(_encoded(batch.column("text")), span, gram):
                 found, counts = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -185,7 +192,7 @@ def _candidates(known, span: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(known.value, dtype=np.uint8)
-        for batch in batches:
+        for batch in _sliced(batches):
             ids, digests = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
             for data, bounds, parts, hashes, starts, ends, inside in _pieces(
                 _encoded(batch.column("text")), span, gram
