@@ -1,12 +1,13 @@
 """Lookups and membership joins.
 
-No side is broadcast by hint unless its rows were counted (``fits_broadcast``): Spark's
-own size estimate and the adaptive runtime statistics decide, so a dimension that grows
-past the threshold turns into a shuffled join with skew splitting.
+No side is broadcast by hint: Spark's own size estimate and the adaptive runtime statistics
+decide, so a dimension that grows past the threshold turns into a shuffled join with skew
+splitting.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from .dedup import keep_first
 
-BROADCAST_ROWS = 500_000  # of a few short columns: some tens of megabytes per executor
-
 
 def any_left_join(
     left: DataFrame,
@@ -66,11 +65,6 @@ def lookup_exactly_one(
     return _with_defaults(left.join(single, keys, "left"), defaults)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether a narrow table may be broadcast: its rows are counted, not estimated."""
-    return df.count() <= (BROADCAST_ROWS if max_rows is None else max_rows)
-
-
 def semi_join(df: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows whose key is among ``members``; NULL keys never match.
 
@@ -90,10 +84,17 @@ def new_rows(
     """Rows of ``batch`` whose key is not stored yet, each key once.
 
     Both sides are reduced to single keys before they meet, so no key is hot in the join;
-    only the key columns of ``stored`` are read.
+    only the key columns of ``stored`` are read. NULL is a key like any other.
     """
-    keys = list(keys)
-    return keep_first(batch, keys, order_by).join(stored.select(*keys).distinct(), keys, "left_anti")
+    return anti_join(keep_first(batch, list(keys), order_by), stored, keys)
+
+
+def anti_join(df: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Rows whose key is not among ``members``; NULL keys match NULL keys."""
+    keys = [on] if isinstance(on, str) else list(on)
+    known = members.select(*[F.col(k).alias(f"_known_{i}") for i, k in enumerate(keys)]).distinct()
+    same = [df[k].eqNullSafe(known[f"_known_{i}"]) for i, k in enumerate(keys)]
+    return df.join(known, functools.reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def alias_names(df: DataFrame, column: str, aliases: Mapping[str, str]) -> DataFrame:

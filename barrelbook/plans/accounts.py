@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import from_epoch
 from ..functions.numbers import flag
 from ..functions.text import or_empty, strip_quotes
-from ..operators.joins import new_rows, semi_join
+from ..operators.joins import anti_join, new_rows, semi_join
 from ..operators.ranking import top_k_within
 
-MAX_POSTS = 100  # fixed value: newest posts read per account
-
 
 class Activity(NamedTuple):
     users: DataFrame
@@ -22,8 +20,11 @@ class Activity(NamedTuple):
     comments: DataFrame
 
 
-def newest_posts(posts: DataFrame, max_posts: int = MAX_POSTS) -> DataFrame:
-    """The newest posts of every account; a hot account sends at most that many per task."""
+def newest_posts(posts: DataFrame, max_posts: int | None = None) -> DataFrame:
+    """The newest posts of every account, or all of them; with a limit, a hot account sends at
+    most that many per task."""
+    if max_posts is None:
+        return posts
     ranked = top_k_within(posts, ["owner"], [F.col("date").desc(), F.col("code").asc()], max_posts, "_nth")
     return ranked.drop("_nth")
 
@@ -35,7 +36,7 @@ def account_activity(
     stored_users: DataFrame,
     stored_posts: DataFrame,
     added_at: str,
-    max_posts: int = MAX_POSTS,
+    max_posts: int | None = None,
 ) -> Activity:
     """What is new: accounts not stored yet, their newest posts not stored yet, the comments
     of these posts, and the totals of likes and comments per account over the new posts.
@@ -46,10 +47,8 @@ def account_activity(
     """
     moment = F.lit(added_at).cast("timestamp_ntz").alias("added_at")
     users = new_rows(accounts, stored_users, ["user_name"])
-    newest = newest_posts(posts, max_posts)
-    owned = semi_join(newest, users.select(F.col("user_name").alias("owner")), "owner")
-    known = stored_posts.select("code").distinct()
-    fresh = owned.join(known, "code", "left_anti").select(*posts.columns)
+    owned = semi_join(posts, users.select(F.col("user_name").alias("owner")), "owner")
+    fresh = anti_join(newest_posts(owned, max_posts), stored_posts, "code").select(*posts.columns)
 
     cleaned = {
         "caption": strip_quotes(or_empty(F.col("caption"))),

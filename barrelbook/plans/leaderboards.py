@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import or_zero, round_even
 from ..operators.dedup import drop_repeated_keys, keep_first
-from ..operators.joins import any_left_join, dict_lookup, fits_broadcast, semi_join
+from ..operators.joins import any_left_join, dict_lookup, semi_join
 from ..operators.periods import BEFORE, NOW, merge_totals, two_window_totals, window_rows
 from ..operators.ranking import rank_change, rank_within, top_k_within, trophy, with_previous_rank
 
@@ -100,18 +100,13 @@ def _home_totals(
 ) -> DataFrame:
     """Totals per ``keys`` (brewery, venue city), inside the country.
 
-    Few home venues are broadcast, so check-ins elsewhere go before any shuffle. Many are
-    joined after aggregating by (venue, brewery), which leaves a hot venue with one row per
-    brewery when it meets the venue table. The decision counts the venues of the country,
-    which bounds what would be broadcast.
+    Check-ins are aggregated by (venue, brewery) first, which leaves a hot venue with one row
+    per brewery when it meets the venue table. Adaptive execution chooses the kind of the join.
     """
     located = reviews.filter(F.col("venue_id").isNotNull())
     at_home = F.col("venue_country") == country
     places = venues.select("venue_id", "venue_city", "venue_country")
     home = keep_first(places, ["venue_id"]).filter(at_home).drop("venue_country")
-    if fits_broadcast(places.filter(at_home)):
-        placed = located.join(F.broadcast(home), "venue_id")
-        return two_window_totals(placed, keys, as_of, days, previous_days)
     by_venue = two_window_totals(located, ["venue_id", "brewery_id"], as_of, days, previous_days)
     return merge_totals(by_venue.join(home, "venue_id"), keys)
 

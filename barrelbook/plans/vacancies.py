@@ -174,7 +174,12 @@ def export_view(df: DataFrame) -> DataFrame:
 
 def result_cards(pages: DataFrame, keep: list[str]) -> DataFrame:
     """One row per result card. Pages that report a bad query have no cards."""
-    return extract_items(pages, "html", CARD_FIELDS, keep, CARD)
+    return extract_items(pages.filter(~reports_bad_query(F.col("html"))), "html", CARD_FIELDS, keep, CARD)
+
+
+def reports_bad_query(html: Column) -> Column:
+    """Whether an element of a result page has the class of the bad-query notice."""
+    return html.rlike(r"""(?is)<[a-z][^>]*\sclass\s*=\s*(?:"(?:[^"]*\s)?bad_query[\s"]|'(?:[^']*\s)?bad_query[\s']|bad_query[\s>])""")
 
 
 def page_summaries(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -227,12 +232,13 @@ def normalise_salaries(
     ``no_period``, ``bad_amount``, ``no_rate`` or ``no_index``; amounts that cannot be
     worked out are NULL.
     """
-    day_rates = rates.filter(F.col("rate_date") == as_day(as_of)).select(
-        F.col("currency").alias("salary_currency"), F.col("usd").alias("_usd")
-    )
-    costs = price_index.select(F.col("country").alias(country), F.col("cost").alias("_cost"))
+    # One row per currency that a text can name: never more than the list of signs.
+    named = sorted({code for _, code in salary.CURRENCY_SIGNS})
+    today = rates.filter((F.col("rate_date") == as_day(as_of)) & F.col("currency").isin(named))
+    day_rates = today.groupBy(F.col("currency").alias("salary_currency")).agg(F.min("usd").alias("_usd"))
+    costs = price_index.groupBy(F.col("country").alias(country)).agg(F.min("cost").alias("_cost"))
     parsed = parse_salaries(postings, salary_text)
-    priced = dict_lookup(dict_lookup(parsed, day_rates, "salary_currency"), costs, country)
+    priced = dict_lookup(dict_lookup(parsed, F.broadcast(day_rates), "salary_currency"), costs, country)
     rate = F.when(F.col("salary_currency") == "USD", F.lit(1.0)).otherwise(
         F.coalesce(F.col("_usd"), salary.fallback_rate(F.col("salary_currency")))
     )

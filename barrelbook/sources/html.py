@@ -33,9 +33,13 @@ def page_title(html: Column) -> Column:
 
 def page_links(pages: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """One row per link with its position, target and text."""
-    pattern = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    targets = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
-    texts = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(2))
+    within = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""  # whole values, so that none is taken for a name
+    pattern = (
+        rf"""(?is)<a(?=\s){within}\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)){within}>(.*?)</a>"""
+    )
+    found = [F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(group)) for group in (1, 2, 3, 4)]
+    targets = F.transform(F.arrays_zip(*[f.alias(f"v{i}") for i, f in enumerate(found[:3])]), lambda v: F.concat(v["v0"], v["v1"], v["v2"]))
+    texts = found[3]
     pairs = pages.select(*keep, F.posexplode(F.arrays_zip(targets.alias("href"), texts.alias("text"))))
     return pairs.select(
         *keep,

@@ -28,13 +28,15 @@ def read_csv(
 ) -> DataFrame:
     """CSV with doubled quotes as escapes. Without a header the schema names the columns.
 
-    Only empty fields are NULL, so a code such as ``NA`` stays text. ``multiline`` allows
+    Only empty fields are NULL, so a code such as ``NA`` stays text, and a quoted empty field is
+    an empty text (what is read as NULL must be a value that no field has). ``multiline`` allows
     line breaks in quoted fields at the price of one task per file.
     """
     return (
         spark.read.schema(schema)
         .option("header", header)
         .option("escape", '"')
+        .option("nullValue", "\x00")
         .option("multiLine", multiline)
         .csv(path)
     )

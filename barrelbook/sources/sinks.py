@@ -12,9 +12,14 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+#: Values are written as they are: quotes doubled as the readers expect, blanks kept.
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def overwrite_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """Replace a CSV folder; quotes are doubled as the readers expect."""
-    df.write.mode("overwrite").option("header", header).option("escape", '"').csv(path)
+    """Replace a CSV folder. Blanks, quotes, empty texts and NULL come back as they were; line
+    breaks do with ``read_csv(multiline=True)``."""
+    df.write.mode("overwrite").options(header=header, **CSV).csv(path)
 
 
 def export_table(spark: SparkSession, table: str, path: str, reader: Callable[..., DataFrame]) -> DataFrame:
@@ -32,7 +37,7 @@ def overwrite_by(df: DataFrame, path: str, columns: Sequence[str], format: str =
     """
     writer = df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns)
     if format == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(header=True, **CSV)
     writer.format(format).save(path)
 
 

@@ -4,14 +4,15 @@ Three ways to remember what is known, by how large that is:
 
 - ``store_new_rows``: the target table itself is the memory, read key columns only.
   Works for any batch history; each batch reads all stored keys.
+- ``store_recent_rows``: the same, but a batch reads only the stored keys around its own
+  moments. Rows may arrive in any order and as late as they like; none is lost.
 - ``remember_keys``: the keys live in the state store, spread over the executors by key,
   so a batch costs what the batch holds. For targets too large to re-read.
-- ``remember_recent_keys``: the same, but keys older than the watermark are forgotten, and
-  rows later than it are dropped, which bounds the state.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import new_rows
 
-BATCH = "batch_id"
+FEED, BATCH = "feed", "batch_id"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,13 +31,26 @@ def read_feed(spark: SparkSession, path: str, schema: str, format: str = "json",
     return spark.readStream.schema(schema).format(format).options(**options).load(path)
 
 
-def known_rows(spark: SparkSession, target: str, schema: str, before: int | None = None) -> DataFrame:
-    """What the target holds, optionally only from batches before ``before``."""
+def known_rows(
+    spark: SparkSession, target: str, schema: str, feed: str | None = None, before: int | None = None
+) -> DataFrame:
+    """What the target holds; of ``feed`` optionally only batches before ``before``. A target
+    that does not exist yet is empty; any other error is raised."""
+    whole = f"{schema}, {FEED} string, {BATCH} bigint"
     try:
-        stored = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(target)
-    except AnalysisException:
-        stored = spark.createDataFrame([], f"{schema}, {BATCH} bigint")
-    return stored if before is None else stored.filter(F.col(BATCH) < before)
+        stored = spark.read.schema(whole).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], whole)
+    if feed is not None:
+        stored = stored.filter((F.col(FEED) != feed) | (F.col(BATCH) < before))
+    return stored.drop(FEED)
+
+
+def _feed_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave this checkpoint; another checkpoint has another one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def store_new_rows(
@@ -50,17 +64,61 @@ def store_new_rows(
 ) -> StreamingQuery:
     """Append the rows whose key the target lacks; run until the feed is read up.
 
-    Each batch has a folder of its own and compares with earlier batches only, so a batch
-    that is repeated after a failure overwrites itself with the same rows. One writer.
+    Each batch of each feed has a folder of its own and compares with all others but the later
+    ones of its feed. So a batch that is repeated after a failure overwrites itself with the same
+    rows, and a new checkpoint or another feed overwrites nothing. One writer at a time.
     """
+    return _store(stream, target, checkpoint, keys, order_by, transform, schema, lambda rows, known: known)
+
+
+def store_recent_rows(
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    moment: str,
+    delay: str,
+    order_by: Sequence[str | Column] = (),
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    schema: str | None = None,
+) -> StreamingQuery:
+    """Like ``store_new_rows`` for keys that repeat within ``delay`` of ``moment``.
+
+    A batch compares with the stored rows between its first moment less the delay and its last
+    moment plus the delay, which Parquet statistics prune. A row that arrives late is compared
+    with the rows around it, and stored.
+    """
+
+    def around(rows: DataFrame, known: DataFrame) -> DataFrame:
+        first, last = rows.agg(F.min(moment), F.max(moment)).first()
+        span, at = F.expr(f"INTERVAL {delay}"), F.col(moment)
+        near = at.isNull()
+        if first is not None:
+            near = near | at.between(F.lit(first) - span, F.lit(last) + span)
+        return known.filter(near)
+
+    return _store(stream, target, checkpoint, keys, order_by, transform, schema, around)
+
+
+def _store(
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    order_by: Sequence[str | Column],
+    transform: Callable[[DataFrame], DataFrame] | None,
+    schema: str | None,
+    relevant: Callable[[DataFrame, DataFrame], DataFrame],
+) -> StreamingQuery:
     ddl = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        known = known_rows(session, target, ddl, before=batch_id)
+        feed = _feed_id(session, checkpoint)
         rows = transform(batch) if transform else batch
+        known = relevant(rows, known_rows(session, target, ddl, feed, batch_id))
         fresh = new_rows(rows, known, keys, order_by)
-        fresh.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{target}/{FEED}={feed}/{BATCH}={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(store)
@@ -84,13 +142,6 @@ def remember_keys(stream: DataFrame, keys: Sequence[str], salts: int = 16) -> Da
     return stream.dropDuplicates(keys)
 
 
-def remember_recent_keys(stream: DataFrame, keys: Sequence[str], moment: str, delay: str) -> DataFrame:
-    """Each key once within ``delay`` of event time. A wall-clock time column is read in the
-    session time zone, since watermarks need an instant."""
-    timed = stream.withColumn(moment, F.col(moment).cast("timestamp"))
-    return timed.withWatermark(moment, delay).dropDuplicatesWithinWatermark(list(keys))
-
-
 def append_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to Parquet files, each row exactly once; run until the feed is read up."""
     return (

@@ -11,7 +11,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from barrelbook.operators import joins
 from barrelbook.plans import accounts, catalogue, leaderboards, panel, regions, scatter, vacancies
 
 AS_OF = "2021-03-01"
@@ -99,14 +98,7 @@ def label(before, now):
     return f"↑ +{before - now}" if before > now else f"↓ {before - now}"
 
 
-@pytest.fixture(params=["few venues", "many venues"])
-def venue_size(request, monkeypatch):
-    """Both ways of meeting the venue table."""
-    if request.param == "many venues":
-        monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-
-
-def test_brewery_leaderboard(venue_size, reviews, venues, breweries):
+def test_brewery_leaderboard(reviews, venues, breweries):
     home = {v for v, _, country in VENUES if country == "Россия"}
 
     def top(name):
@@ -126,7 +118,7 @@ def test_brewery_leaderboard(venue_size, reviews, venues, breweries):
 
 
 @pytest.fixture
-def city_board(venue_size, reviews, venues, breweries):
+def city_board(reviews, venues, breweries):
     return leaderboards.city_leaderboard(reviews, venues, breweries, AS_OF)
 
 
@@ -329,13 +321,15 @@ def test_account_activity(spark):
     comments = spark.createDataFrame([("c1", "p119", 'so "good"'), ("c2", "p3", "late")], "id string, post_id string, text string")
     stored_users = spark.createDataFrame([("old",)], "user_name string")
     stored_posts = spark.createDataFrame([("p118",)], "code string")
-    got = accounts.account_activity(users, posts, comments, stored_users, stored_posts, "2021-01-18 10:00:00")
+    got = accounts.account_activity(users, posts, comments, stored_users, stored_posts, "2021-01-18 10:00:00", 100)
     newest = [i for i in range(20, 120) if i != 118]
     assert sorted((r["user_name"], r["total_likes"], r["total_comments"]) for r in got.users.collect()) == [
         ("a", 10 * len(newest), sum(newest)), ("b", 0, 0),
     ]
     assert {r["code"] for r in got.posts.collect()} == {f"p{i}" for i in newest}
     assert [(r["id"], r["text"]) for r in got.comments.collect()] == [("c1", "so good")]
+    whole = accounts.account_activity(users, posts, comments, stored_users, stored_posts, "2021-01-18 10:00:00")
+    assert {r["code"] for r in whole.posts.collect()} == {f"p{i}" for i in range(120) if i != 118}
 
 
 def test_catalogue(spark):

@@ -149,3 +149,38 @@ def test_shared_folder_is_the_sessions(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir())
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_csv_keeps_values(spark, tmp_path):
+    """Blanks, empty texts, NULL, quotes and line breaks come back as they were."""
+    data = [(1, "  x "), (2, ""), (3, None), (4, 'say "hi", you'), (5, "two\nlines"), (6, " "), (7, "a\\b")]
+    path = str(tmp_path / "csv")
+    sinks.overwrite_csv(spark.createDataFrame(data, "id int, text string"), path)
+    back = readers.read_csv(spark, path, "id int, text string", multiline=True)
+    assert sorted((r.id, r.text) for r in back.collect()) == data
+    frame = spark.createDataFrame([(i, t, i % 2) for i, t in data], "id int, text string, part int")
+    sinks.overwrite_by(frame, path, ["part"], "csv")
+    back = readers.read_csv(spark, path, "id int, text string, part int", multiline=True)
+    assert sorted((r.id, r.text) for r in back.collect()) == data
+
+
+def test_links_by_whole_attribute_names(spark):
+    page = (
+        """<a data-href="z" href="w">one</a><a title="x > y" HREF='two.html'>2</a><a href=three>3</a>"""
+        """<a data-x=' href="no"' href="four">4</a><abbr href="no">5</abbr><a name="x">6</a>"""
+    )
+    pages = spark.createDataFrame([(1, page)], "page int, html string")
+    found = [(r.href, r.text) for r in html.page_links(pages, "html", ["page"]).orderBy("position").collect()]
+    assert found == [("w", "one"), ("two.html", "2"), ("three", "3"), ("four", "4")]
+
+
+def test_bad_query_pages_have_no_cards(spark):
+    from barrelbook.plans import vacancies
+
+    card = '<div class="jobsearch-SerpJobCard" id="p_1"><a class="jobtitle">x</a></div>'
+    rows_ = [(1, f'<div class="note bad_query">no</div>{card}'), (2, f"<p class='bad_query'>no</p>{card}"), (3, f"<p class=bad_query>{card}")]
+    rows_ += [(4, f'<div class="not_bad_query">fine</div> bad_query {card}')]
+    pages = spark.createDataFrame(rows_, "page int, html string")
+    flags = pages.select("page", vacancies.reports_bad_query(F.col("html")).alias("bad"))
+    assert [(r.page, r.bad) for r in flags.orderBy("page").collect()] == [(1, True), (2, True), (3, True), (4, False)]
+    assert {r.page for r in vacancies.result_cards(pages, ["page"]).collect()} <= {4}

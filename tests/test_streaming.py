@@ -102,18 +102,43 @@ def test_remembered_keys(spark, tmp_path, salts):
     assert run() == sorted([*expected, (6, "q")])
 
 
-def test_recent_keys_are_forgotten(spark, tmp_path):
-    """Within the delay a repeat is dropped; rows behind the watermark are dropped too."""
+def test_late_rows_are_stored(spark, tmp_path):
+    """Within the delay a repeat is dropped; a row that arrives late is compared and stored."""
     target, checkpoint = scratch_path(spark, "target"), scratch_path(spark, "checkpoint")
     write_feed(
         tmp_path / "in",
         {
             "1.json": [record(1), record(1, minute=3)],
             "2.json": [record(2, minute=50)],
-            "3.json": [record(2, minute=51)],  # lateness is judged by the watermark of the batch before
-            "4.json": [record(9, minute=1)],
+            "3.json": [record(2, minute=51), record(2, minute=59)],
+            "4.json": [record(9, minute=1), record(1, minute=2)],
         },
     )
-    recent = ingest.remember_recent_keys(feed(spark, tmp_path / "in"), ["id"], "at", "10 minutes")
-    ingest.append_stream(recent.select("id"), target, checkpoint).awaitTermination()
-    assert sorted(r[0] for r in spark.read.parquet(target).collect()) == [1, 2]
+    recent = feed(spark, tmp_path / "in")
+    ingest.store_recent_rows(recent, target, checkpoint, ["id"], "at", "10 minutes").awaitTermination()
+    assert sorted(r.id for r in ingest.known_rows(spark, target, DDL).collect()) == [1, 2, 9]
+
+
+def test_two_feeds_into_one_target(spark, tmp_path):
+    """Another feed with a checkpoint of its own adds to the target and overwrites nothing."""
+    target = scratch_path(spark, "target")
+    write_feed(tmp_path / "one", {"1.json": [record(1), record(2)]})
+    write_feed(tmp_path / "two", {"1.json": [record(2), record(3)]})
+    store(spark, tmp_path / "one", target, scratch_path(spark, "checkpoint"))
+    stored = store(spark, tmp_path / "two", target, scratch_path(spark, "checkpoint"))
+    assert sorted(r.id for r in stored.collect()) == [1, 2, 3]
+
+
+def test_null_keys_are_stored_once(spark):
+    stored = spark.createDataFrame([(None, "q")], "id bigint, query string")
+    batch = spark.createDataFrame([(None, "q"), (None, "r"), (1, "q")], "id bigint, query string")
+    assert sorted(map(str, new_rows(batch, stored, KEYS).collect())) == ["Row(id=1, query='q')", "Row(id=None, query='r')"]
+
+
+def test_read_errors_are_raised(spark, tmp_path):
+    (tmp_path / "target").mkdir()
+    (tmp_path / "target" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="parquet|Parquet|PARQUET"):
+        ingest.known_rows(spark, str(tmp_path / "target"), DDL).collect()
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.known_rows(spark, str(tmp_path / "absent"), "id wrong type")

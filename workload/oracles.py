@@ -625,8 +625,7 @@ users AS (
 newest AS (
   SELECT * FROM (
     SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth
-    FROM conversations WHERE role = 'user' AND conv_id IN (SELECT conv_id FROM users))
-  WHERE nth <= 3),
+    FROM conversations WHERE role = 'user' AND conv_id IN (SELECT conv_id FROM users))),
 posts AS (
   SELECT 'user' || CAST(conv_id AS VARCHAR) AS owner, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS code,
          conv_id, turn, text FROM newest WHERE turn <> 2)"""
@@ -753,9 +752,11 @@ ORACLES["daily_refresh"] = " UNION ALL ".join(
 # Streams --------------------------------------------------------------------------------------
 
 ORACLES["stream_ingest_dedup"] = """
-SELECT min(event_id) AS event_id, user_id, event_type, arg_min(value, event_id) AS value
-FROM events GROUP BY user_id, event_type
+SELECT min(event_id) AS event_id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS user_id, event_type,
+       arg_min(value, event_id) AS value
+FROM events GROUP BY CASE WHEN user_id % 7 <> 0 THEN user_id END, event_type
 """
+ORACLES["stream_two_feeds"] = "SELECT event_id, ts, user_id, event_type, value FROM events"
 ORACLES["stream_known_keys"] = "SELECT DISTINCT user_id, event_type FROM events"
 ORACLES["stream_bounded_dedup"] = "SELECT event_id, user_id FROM events"
 ORACLES["stream_vacancy_feed"] = f"WITH {FEED} SELECT vacancy_id, query_string, name FROM judged WHERE accepted"

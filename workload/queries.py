@@ -437,7 +437,7 @@ def page_summaries(t: Roles) -> DataFrame:
 
 def _activity(t: Roles) -> accounts.Activity:
     return accounts.account_activity(
-        t.accounts(), t.posts(), t.comments(), t.stored_users(), t.stored_posts(), "2021-01-18 10:00:00", max_posts=3
+        t.accounts(), t.posts(), t.comments(), t.stored_users(), t.stored_posts(), "2021-01-18 10:00:00"
     )
 
 
@@ -640,11 +640,21 @@ def _events_twice(t: Roles) -> DataFrame:
 def stream_ingest_dedup(t: Roles) -> DataFrame:
     target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
     keys = ["user_id", "event_type"]
-    run = ingest.store_new_rows(_events_twice(t), target, checkpoint, keys, ["event_id"])
-    run.awaitTermination()
+    events = _events_twice(t).withColumn("user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
+    ingest.store_new_rows(events, target, checkpoint, keys, ["event_id"]).awaitTermination()
     return ingest.known_rows(t.spark, target, EVENTS).select("event_id", *keys, "value")
 
 
+@query
+def stream_two_feeds(t: Roles) -> DataFrame:
+    """Two feeds with some rows in common, each with a checkpoint of its own, into one target."""
+    target = _scratch(t, "target")
+    for absent in (0, 1):
+        feed = _events_twice(t).filter(F.col("event_id") % 3 != absent)
+        ingest.store_new_rows(feed, target, _scratch(t, "checkpoint"), ["event_id"]).awaitTermination()
+    return ingest.known_rows(t.spark, target, EVENTS).drop(ingest.BATCH)
+
+
 @query
 def stream_known_keys(t: Roles) -> DataFrame:
     target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
@@ -655,10 +665,18 @@ def stream_known_keys(t: Roles) -> DataFrame:
 
 @query
 def stream_bounded_dedup(t: Roles) -> DataFrame:
-    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
-    recent = ingest.remember_recent_keys(_events_twice(t), ["event_id"], "ts", "1 hour")
-    ingest.append_stream(recent.select("event_id", "user_id"), target, checkpoint).awaitTermination()
-    return t.spark.read.schema("event_id bigint, user_id bigint").parquet(target)
+    """Files that arrive newest first, one per batch: every row but the first file's is late."""
+    source, target, checkpoint = (_scratch(t, label) for label in ("source", "target", "checkpoint"))
+    events = t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    for part in reversed(range(4)):
+        inside = F.col("ts") >= first + (last - first) * part / 4
+        if part < 3:
+            inside &= F.col("ts") < first + (last - first) * (part + 1) / 4
+        events.filter(inside).write.mode("append").parquet(source)
+    feed = ingest.read_feed(t.spark, source, EVENTS, "parquet", maxFilesPerTrigger="1")
+    ingest.store_recent_rows(feed.union(feed), target, checkpoint, ["event_id"], "ts", "1 hour").awaitTermination()
+    return ingest.known_rows(t.spark, target, EVENTS).select("event_id", "user_id")
 
 
 @query
