@@ -91,14 +91,15 @@ WHERE rank <= 5
 def op8_suffix_dedup(spark, folder):
     """What exact repeats of 200 bytes cover in every document."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    marked = suffixes.with_repeated_spans(docs, "spans")
+    kept = ("kept", suffixes.kept_bytes, lambda text: F.coalesce(text, F.lit("")).cast("binary"))
+    marked = suffixes.with_repeated_spans(docs, "spans", kept=kept)
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     return marked.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"),
         F.size(spans).cast("long").alias("n_spans"),
-        F.sha2(suffixes.kept_bytes("text", "spans"), 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 

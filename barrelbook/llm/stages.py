@@ -51,9 +51,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every byte out of the texts that a repeated string of 200 bytes covers."""
-    marked = suffixes.with_repeated_spans(docs, "__cut")
-    text = suffixes.kept_text("text", "__cut")
-    return marked.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    marked = suffixes.with_repeated_spans(docs, "__cut", kept=("__kept", suffixes.kept_text, lambda text: text))
+    cut = marked.withColumn("text", F.col("__kept"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,13 +11,13 @@ is induced by bucket scans, and adjacent common prefixes of ``span`` bytes mark
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -564,10 +564,20 @@ def _merge(lists: pd.Series) -> pd.Series:
     )
 
 
-def with_repeated_spans(docs: DataFrame, name: str, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def with_repeated_spans(
+    docs: DataFrame,
+    name: str,
+    *,
+    kept: tuple[str, Callable[[Column, Column], Column], Callable[[Column], Column]] | None = None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    **how,
+) -> DataFrame:
     """All rows and columns of ``docs``, with the spans of their texts (NULL if there are none).
 
-    Only rows whose text may have spans, by a filter of fixed size, are moved to meet them.
+    ``kept`` adds a column: its name, what makes it of text and spans, and what makes it of a text
+    without spans. Only rows whose text may have spans, by a filter of fixed size, are moved to
+    meet them, and only these go through the former.
     """
     found = checkpointed(repeated_spans(docs, doc_id=doc_id, text=text, **how))
     known = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.col("th").alias("h")), TEXT_BITS))
@@ -579,9 +589,11 @@ def with_repeated_spans(docs: DataFrame, name: str, *, doc_id: str = "doc_id", t
     some = hashed.filter("__may")
     met = some.join(found, (F.col("__th") == F.col("__span_th")) & F.col("__key").eqNullSafe(F.col("__span_id")), "left")
     none = F.lit(None).cast(found.schema["__spans"].dataType)
-    return met.select(*docs.columns, F.col("__spans").alias(name)).unionAll(
-        hashed.filter("NOT __may").select(*docs.columns, none.alias(name))
-    )
+    cut, whole = [F.col("__spans").alias(name)], [none.alias(name)]
+    if kept is not None:
+        cut.append(kept[1](F.col(text), F.col("__spans")).alias(kept[0]))
+        whole.append(kept[2](F.col(text)).alias(kept[0]))
+    return met.select(*docs.columns, *cut).unionAll(hashed.filter("NOT __may").select(*docs.columns, *whole))
 
 
 @F.pandas_udf(T.BinaryType())
