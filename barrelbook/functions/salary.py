@@ -89,7 +89,9 @@ def split_period(text: Column, periods: Mapping[str, str] = PERIODS) -> Column:
         found = F.struct(shorter.alias("text"), entry["period"].alias("period"))
         return F.when(F.contains(seen["text"], entry["phrase"]), found).otherwise(seen)
 
-    return F.aggregate(phrases, start, step)
+    # Most texts name no period; one precompiled pattern spares them the loop over the phrases.
+    named = text.rlike("|".join(f"\\Q{phrase}\\E" for phrase in periods))
+    return F.when(named, F.aggregate(phrases, start, step)).otherwise(start)
 
 
 def currency_of(text: Column, signs: Sequence[tuple[str, str]] = CURRENCY_SIGNS) -> Column:

@@ -28,7 +28,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Colu
     remaining columns, maps apart, break ties, which makes the choice independent of
     partitioning.
     """
-    rest = [F.col(f.name) for f in df.schema.fields if f.name not in keys and _orderable(f.dataType)]
+    known = {*keys, *[c for c in order_by if isinstance(c, str)]}
+    rest = [F.col(f.name) for f in df.schema.fields if f.name not in known and _orderable(f.dataType)]
     order = [F.col(c) if isinstance(c, str) else c for c in order_by] + rest
     if not order:
         return df.dropDuplicates(list(keys))

@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _domain(
+def _with_gaps(
     df: DataFrame, keys: Sequence[str], axis: str, first: int, last: int, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Every key with every axis value. Generated per key, so no cross join occurs."""
-    carried = [F.min_by(c, axis).alias(f"_first_{c}") for c in carry]
-    per_key = df.groupBy(*keys).agg(*carried) if carried else df.select(*keys).distinct()
-    steps = F.sequence(F.lit(first), F.lit(last)).cast(T.ArrayType(df.schema[axis].dataType))
-    return per_key.withColumn(axis, F.explode(steps))
+    """Every row inside ``first..last`` and a row for every step that its key lacks there.
+
+    One pass: each row, in the order of the axis, gives the gap before it, itself, and, as the
+    last one of its key, the gap after it. ``_step`` is the axis value, ``_real`` tells rows from
+    gaps, ``_first_…`` are the ``carry`` columns of the key's earliest row.
+    """
+    order = W.partitionBy(*keys).orderBy(F.col(axis).asc_nulls_last())
+    at = F.coalesce(F.col(axis).cast("bigint"), F.lit(last + 1))
+    seen = df.withColumns(
+        {
+            "_at": at,
+            "_from": F.coalesce(F.lag(at).over(order) + 1, F.lit(first)),
+            "_last": F.lead(at).over(order).isNull(),
+            **{f"_first_{c}": F.first(c).over(order) for c in carry},
+        }
+    )
+    nothing = F.array().cast("array<bigint>")
+
+    def steps(low: Column, high: Column) -> Column:
+        low, high = F.greatest(low, F.lit(first).cast("bigint")), F.least(high, F.lit(last).cast("bigint"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(nothing)
+
+    before = steps(F.col("_from"), F.col("_at") - 1)
+    itself = steps(F.col("_at"), F.col("_at"))
+    after = F.when(F.col("_last"), steps(F.col("_at") + 1, F.lit(last).cast("bigint"))).otherwise(nothing)
+    return seen.withColumn("_step", F.explode(F.concat(before, itself, after))).withColumn(
+        "_real", F.col("_step") == F.col("_at")
+    )
 
 
 def densify(
@@ -29,20 +52,29 @@ def densify(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key and ``axis`` value in ``first..last``. Gaps take the constants of
-    ``fill``; ``carry`` columns take the value of the key's earliest row."""
-    keys = list(keys)
-    full = _domain(df, keys, axis, first, last, carry).join(df, [*keys, axis], "left")
-    for name, value in fill.items():
-        full = full.withColumn(name, F.coalesce(F.col(name), F.lit(value)))
-    for name in carry:
-        full = full.withColumn(name, F.coalesce(F.col(name), F.col(f"_first_{name}")))
-    return full.select(*df.columns)
+    ``fill``; ``carry`` columns take the value of the key's earliest row. The input is read once."""
+    full = _with_gaps(df, keys, axis, first, last, carry)
+
+    def value(name: str) -> Column:
+        if name in keys:
+            return F.col(name)
+        if name == axis:
+            return F.col("_step").cast(df.schema[axis].dataType).alias(axis)
+        own = F.when(F.col("_real"), F.col(name))
+        if name in fill:
+            own = F.coalesce(own, F.lit(fill[name]))
+        if name in carry:
+            own = F.coalesce(own, F.col(f"_first_{name}"))
+        return own.alias(name)
+
+    return full.select(*[value(c) for c in df.columns])
 
 
 def missing_keys(df: DataFrame, keys: Sequence[str], axis: str, first: int, last: int) -> DataFrame:
     """The key and axis pairs of the full domain that ``df`` lacks."""
     present = df.select(*keys, axis).distinct()
-    return _domain(present, keys, axis, first, last).join(present, [*keys, axis], "left_anti")
+    gaps = _with_gaps(present, keys, axis, first, last).filter(~F.col("_real"))
+    return gaps.select(*keys, F.col("_step").cast(df.schema[axis].dataType).alias(axis))
 
 
 def unpivot_years(wide: DataFrame, key: str, years: Sequence[int], axis: str, value: str) -> DataFrame:

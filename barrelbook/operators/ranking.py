@@ -54,21 +54,31 @@ def rank_within(
 ) -> DataFrame:
     """Unique rank 1..n in every group, for groups of any size.
 
-    One global position over (group, order), minus where the group starts. ``order``
-    must be total within the group.
+    Rows are range-partitioned and sorted by (group, order) and checkpointed. Ranks are counted
+    inside each partition's part of a group, so no task sees more of a group than a partition
+    holds. What earlier partitions hold of a group is added: in a range-partitioned table only
+    the first group of a partition has begun before it, which bounds the broadcast to one row
+    per partition. ``order`` must be total within the group.
     """
-    placed = global_position(df, [*[F.col(c).asc() for c in by], *order], "_position")
     if not by:
-        return placed.withColumnRenamed("_position", name)
-    starts = placed.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(
-        F.min("_position").alias("_start")
-    )
-    same_group = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
-    return (
-        placed.join(starts, same_group)
-        .withColumn(name, F.col("_position") - F.col("_start") + 1)
-        .select(*df.columns, name)
-    )
+        return global_position(df, order, name)
+    total = [*[F.col(c).asc() for c in by], *order]
+    placed = checkpointed(df.repartitionByRange(*total).sortWithinPartitions(*total))
+    tagged = placed.withColumn("_id", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_part", F.shiftright("_id", _ROW_BITS))
+    sizes = tagged.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    begun = sizes.select(
+        F.col("_part").alias("_in"),
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
+        F.sum("_size").over(earlier).alias("_earlier"),
+    ).filter("_earlier > 0")
+    same = F.col("_part") == F.col("_in")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    here = tagged.withColumn("_nth", F.row_number().over(W.partitionBy("_part", *by).orderBy("_id")))
+    rank = F.col("_nth") + F.coalesce("_earlier", F.lit(0).cast("bigint"))
+    return here.join(F.broadcast(begun), same, "left").withColumn(name, rank).select(*df.columns, name)
 
 
 def with_previous_rank(now: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:

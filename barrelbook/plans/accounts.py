@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,12 @@ class Activity(NamedTuple):
     comments: DataFrame
 
 
+def found_accounts(*results: DataFrame) -> DataFrame:
+    """The accounts that several searches found, each name once; NULL is no name."""
+    names = [found.select("user_name") for found in results]
+    return functools.reduce(DataFrame.unionByName, names).dropna().distinct()
+
+
 def newest_posts(posts: DataFrame, max_posts: int | None = None) -> DataFrame:
     """The newest posts of every account, or all of them; with a limit, a hot account sends at
     most that many per task."""

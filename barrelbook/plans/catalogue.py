@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.numbers import format_decimal_comma, parse_decimal_comma
 from ..functions.text import strip_newlines, transliterate
 from ..operators.dedup import keep_first
-from ..operators.ranking import global_position
+from ..operators.joins import any_left_join, anti_join
 from ..sources.html import extract_items
 
-# Markup of a product page. The last field is the fallback price.
+# Markup of a result page and, for the price of an offer, of a product page.
 PRODUCT_FIELDS = {
     "find": ("span", "bold", None),
     "rating_text": ("div", "average__number", None),
     "count_text": ("p", "text-micro", None),
     "price_text": ("span", "wine-price-value", None),
+}
+OFFER_FIELDS = {
     "offer_text": ("span", "purchaseAvailabilityPPC__amount--2_4GT", None),
 }
 COUNT_SUFFIX = " ratings"
@@ -32,15 +34,23 @@ def latin_names(catalogue: DataFrame) -> DataFrame:
     return catalogue.dropna(subset=["vine"]).withColumn("vine", transliterate(F.col("vine")))
 
 
-def after_first(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
-    """Everything after the first ``rows`` rows under ``order``, in any number of tasks."""
-    return global_position(df, order, "_position").filter(F.col("_position") > rows).drop("_position")
+def after_first(df: DataFrame, order: list[Column], rows: int, keys: list[str]) -> DataFrame:
+    """Everything after the first ``rows`` rows under ``order``; ``keys`` tell rows apart.
+
+    Each task forwards at most ``rows`` rows; the others are neither sorted nor moved by order.
+    """
+    return anti_join(df, df.orderBy(*order).limit(rows), keys)
+
 
+def product_details(pages: DataFrame, offers: DataFrame) -> DataFrame:
+    """What a search found: name, rating, number of ratings, average price.
 
-def product_details(pages: DataFrame) -> DataFrame:
-    """What a search found: name, rating, number of ratings, average price (from the result,
-    else from the offer). ``pages`` has vine and html."""
-    found = extract_items(pages, "html", PRODUCT_FIELDS, ["vine"]).drop("position")
+    ``pages`` (vine, html) are the result pages, ``offers`` (vine, html) the product pages opened
+    from them. A result without a price takes that of the offer on its product page.
+    """
+    results = extract_items(pages, "html", PRODUCT_FIELDS, ["vine"]).drop("position")
+    offered = extract_items(offers, "html", OFFER_FIELDS, ["vine"]).drop("position")
+    found = any_left_join(results, offered, "vine")
     count = F.replace(strip_newlines(F.col("count_text")), F.lit(COUNT_SUFFIX), F.lit(""))
     price = parse_decimal_comma(F.translate(F.col("price_text"), "\n ", ""))
     offer = F.col("offer_text").substr(F.lit(1), F.length("offer_text") - 1).try_cast("double")
@@ -48,7 +58,7 @@ def product_details(pages: DataFrame) -> DataFrame:
         "vine",
         strip_newlines(F.col("find")).alias("find"),
         parse_decimal_comma(strip_newlines(F.col("rating_text"))).alias("rating"),
-        F.replace(count, F.lit(","), F.lit(".")).try_cast("bigint").alias("ratings_count"),
+        F.replace(count, F.lit(","), F.lit("")).try_cast("bigint").alias("ratings_count"),
         F.coalesce(price, offer).alias("avg_price"),
     )
 

@@ -146,6 +146,27 @@ def test_densify_fills_the_domain(spark, present):
     assert {tuple(r) for r in gaps.collect()} == {(k, y) for k in keys for y in range(2001, 2006)} - present
 
 
+def test_densify_of_rows_outside_ties_and_nulls(spark):
+    values = [("a", 1999, 1.0, "old"), ("a", 2002, 2.0, None), ("a", 2002, 3.0, "new"), ("b", 2009, 4.0, "late"), (None, None, 5.0, "none")]
+    df = spark.createDataFrame(values, "k string, year int, x double, c string")
+    full = ops.densify(df, ["k"], "year", 2001, 2003, {"x": 0.0}, carry=["c"])
+    assert full.columns == df.columns
+    assert rows(full.filter("k = 'a'").select("year", "x", "c")) == [
+        (2001, 0.0, "old"), (2002, 2.0, "old"), (2002, 3.0, "new"), (2003, 0.0, "old"),
+    ]
+    assert rows(full.filter("k = 'b'").select("year", "x", "c")) == [(y, 0.0, "late") for y in (2001, 2002, 2003)]
+    assert rows(full.filter("k IS NULL").select("year", "x", "c")) == [(y, 0.0, "none") for y in (2001, 2002, 2003)]
+    assert ops.densify(df.limit(0), ["k"], "year", 2001, 2003, {"x": 0.0}, carry=["c"]).count() == 0
+
+
+def test_rank_within_many_small_groups(spark):
+    values = [(i % 97, i % 2, i) for i in range(1000)]
+    df = spark.createDataFrame(values, "g int, h int, id int").repartition(6)
+    got = {r["id"]: r["rank"] for r in ops.rank_within(df, ["g", "h"], [F.col("id").desc()]).collect()}
+    assert got == {i: sum(v[:2] == (g, h) and v[2] >= i for v in values) for g, h, i in values}
+    assert ops.rank_within(df.limit(0), ["g"], [F.col("id").asc()]).count() == 0
+
+
 def test_attach_years(spark):
     panel = spark.createDataFrame([("a", 2001), ("b", 2002), ("c", 2001)], "name string, year int")
     wide = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, None)], "name string, `2001` double, `2002` double")

@@ -65,6 +65,26 @@ def test_positions_do_not_gather_in_one_task(spark):
     assert "output=[_part" in shown[shown.index("SinglePartition") :].split("\n")[1]
 
 
+def test_ranks_are_not_gathered_by_group(large):
+    df = large.range(1000).withColumn("g", F.col("id") % 2).withColumn("x", F.rand(1))
+    lines = plan(ops.rank_within(df, ["g"], [F.col("x").asc(), F.col("id").asc()])).split("\n")
+    assert sum("Scan ExistingRDD" in line for line in lines) == 2
+    exchanges = [place for place, line in enumerate(lines) if "Exchange hashpartitioning(g#" in line]
+    assert len(exchanges) == 1 and "HashAggregate" in lines[exchanges[0] + 1]  # sizes, not rows
+    assert any("Exchange hashpartitioning(_part#" in line for line in lines)
+
+
+def test_gaps_are_filled_in_one_pass(large):
+    for name, table in (("panel_densified", "[o_"), ("missing_years", "[o_")):
+        assert plan(queries()[name](large, FOLDER)).count(f"FileScan parquet {table}") == 1
+
+
+def test_postings_are_not_shuffled_by_currency(large):
+    shown = plan(queries()["salary_month_usd"](large, FOLDER))
+    posting_exchanges = [line for line in shown.split("\n") if "hashpartitioning(salary_currency" in line]
+    assert len(posting_exchanges) <= 1 and "BroadcastHashJoin [salary_currency" in shown  # that of the rates
+
+
 def test_stored_keys_are_distinct_before_the_join(large):
     shown = plan(queries()["anti_join_new_keys"](large, FOLDER))
     join = shown[shown.index("LeftAnti"):]

@@ -336,13 +336,15 @@ def test_catalogue(spark):
     pages = [
         ("a", '<span class="bold">Found\n</span><div class="average__number x">4,1</div><p class="text-micro">12 ratings</p>'
               '<span class="wine-price-value">1 234,5</span>'),
-        ("b", '<span class="bold">Found</span><span class="purchaseAvailabilityPPC__amount--2_4GT">9.75€</span>'
-              '<p class="text-micro">1,234 ratings</p>'),
-        ("Shato", "<p>nothing</p>"),
+        ("b", '<span class="bold">Found</span><p class="text-micro">1,234 ratings</p>'),
+        ("Shato", '<p>nothing</p><span class="purchaseAvailabilityPPC__amount--2_4GT">7.00€</span>'),
     ]
-    details = catalogue.product_details(spark.createDataFrame(pages, "vine string, html string"))
+    offer = '<span class="purchaseAvailabilityPPC__amount--2_4GT">{}€</span>'
+    offers = [("a", offer.format("3.00")), ("b", offer.format("9.75")), ("b", offer.format("9.75"))]
+    frames = [spark.createDataFrame(rows, "vine string, html string") for rows in (pages, offers)]
+    details = catalogue.product_details(*frames)
     assert sorted((r["vine"], r["find"], r["rating"], r["ratings_count"], r["avg_price"]) for r in details.collect()) == [
-        ("Shato", None, None, None, None), ("a", "Found", 4.1, 12, 1234.5), ("b", "Found", None, None, 9.75),
+        ("Shato", None, None, None, None), ("a", "Found", 4.1, 12, 1234.5), ("b", "Found", None, 1234, 9.75),
     ]
     first = spark.createDataFrame([(1, "a\n", "0.7", "1"), (2, "b", "0.7", "2")], "row int, vine string, liter string, cost string")
     second = spark.createDataFrame([(1, "Шато", "1", "3"), (2, None, "1", "4")], "row int, vine string, liter string, cost string")
@@ -350,3 +352,15 @@ def test_catalogue(spark):
     two = catalogue.enriched(catalogue.latin_names(second), details)
     assert [(r["name"], r["rating"], r["avg_price"]) for r in catalogue.single_finds(one).collect()] == [("a", "4,1", "1234,5")]
     assert sorted(r["name"] for r in catalogue.catalogue_summary(one, two).collect()) == ["Shato", "a", "b"]
+
+
+def test_accounts_of_several_searches(spark):
+    found = [spark.createDataFrame([(n, 1) for n in names], "user_name string, place int") for names in (["a", "b"], ["b", None], ["c"])]
+    assert sorted(r[0] for r in accounts.found_accounts(*found).collect()) == ["a", "b", "c"]
+
+
+def test_rows_after_the_first(spark):
+    df = spark.createDataFrame([(i % 3, i) for i in range(20)] + [(None, 20)], "x int, id int")
+    left = catalogue.after_first(df, [F.col("x").asc_nulls_last(), F.col("id").asc()], 10, ["id"])
+    assert sorted(r["id"] for r in left.collect()) == sorted([10, 13, 16, 19] + list(range(2, 20, 3)) + [20])
+    assert catalogue.after_first(df, [F.col("id").asc()], 50, ["id"]).count() == 0

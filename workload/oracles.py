@@ -66,6 +66,11 @@ SELECT {trophy('now.rank')} AS place, now.brewery_id, s_name AS brewery_name,
 FROM now LEFT JOIN before ON now.brewery_id = before.brewery_id JOIN supplier ON s_suppkey = now.brewery_id
 """
 
+ORACLES["brewery_leaderboard_display"] = f"""
+SELECT place AS "МЕСТО", brewery_name AS "НАЗВАНИЕ", avg_rating AS "РЕЙТИНГ", movement AS "ИЗМЕНЕНИЕ", checkins AS "ЧЕКИНОВ"
+FROM ({ORACLES["brewery_leaderboard"]})
+"""
+
 ORACLES["brewery_leaderboard_prev"] = f"""
 WITH {REVIEWS}, {VENUES} SELECT * FROM ({_brewery_top(BEFORE)})
 """
@@ -629,6 +634,9 @@ newest AS (
 posts AS (
   SELECT 'user' || CAST(conv_id AS VARCHAR) AS owner, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS code,
          conv_id, turn, text FROM newest WHERE turn <> 2)"""
+ORACLES["accounts_by_query"] = """
+SELECT DISTINCT 'user' || CAST(conv_id AS VARCHAR) AS user_name FROM conversations WHERE role IN ('user', 'assistant', 'system')
+"""
 ORACLES["account_activity"] = f"""
 WITH {ACTIVITY}
 SELECT user_name, CAST(users.conv_id % 2 = 0 AS INT) AS is_verified,
@@ -660,7 +668,7 @@ def _enriched(row: str, liter: str, cost: str, where: str) -> str:
   SELECT p_partkey AS row, p_name || ' ' || p_brand AS name, p_name AS find,
     CASE WHEN {B} % 4 <> 0 THEN CAST({B} % 5 AS VARCHAR) || ',' || CAST({B} % 10 AS VARCHAR) END AS rating,
     CASE {B} % 3 WHEN 0 THEN '1' || CAST({B} AS VARCHAR) || ',5' WHEN 1 THEN CAST({B} AS VARCHAR) || ',25' END AS avg_price,
-    CASE WHEN {B} % 6 <> 0 THEN CAST({B} * 37 AS VARCHAR) END AS ratings_count, {liter} AS liter, {cost} AS cost
+    CASE WHEN {B} % 6 = 0 THEN '1' || lpad(CAST({B} * 37 AS VARCHAR), 3, '0') ELSE CAST({B} * 37 AS VARCHAR) END AS ratings_count, {liter} AS liter, {cost} AS cost
   FROM part WHERE {where}"""
 
 
@@ -722,11 +730,18 @@ FROM gdp GROUP BY name
 ORACLES["table_export"] = """
 SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders
 """
+FEED_TEXTS = """
+    query_string query_type level direction vacancy_id response_url address_city address_street address_building
+    address_description address_raw address_metro_stations alternate_url apply_alternate_url department_id
+    department_name salary_currency name insider_interview_id insider_interview_url area_url area_id area_name url
+    employer_url employer_alternate_url employer_logo_urls_90 employer_logo_urls_240 employer_logo_urls_original
+    employer_name employer_id type_id type_name schedule
+""".split()
 ORACLES["vacancy_export_view"] = f"""
 WITH {FEED}
-SELECT vacancy_id, coalesce(response_url, '') AS response_url, coalesce(address_city, '') AS address_city, address_lat,
-       coalesce(department_name, '') AS department_name, coalesce(schedule, '') AS schedule FROM feed
+SELECT * EXCLUDE (o_orderstatus) REPLACE ({', '.join(f"coalesce({c}, '') AS {c}" for c in FEED_TEXTS)}) FROM feed
 """
+ORACLES["vacancy_export_job"] = ORACLES["vacancy_export_view"]
 ORACLES["feed_from_files"] = f"""
 WITH {FEED}
 SELECT vacancy_id, address_city, salary_from,
@@ -736,11 +751,13 @@ FROM feed
 ORACLES["append_sink"] = "SELECT * EXCLUDE (o_orderdate) FROM orders"
 ORACLES["created_table_latest"] = "SELECT event_id AS row_idx, 2 AS version, value * 2 AS value FROM events"
 ORACLES["partitioned_by_city"] = f"""
-WITH {CITY_BOARD} SELECT board_city, brewery_id, venue_city, rank FROM board WHERE board_city = 'NATION_3'
+WITH {CITY_BOARD} SELECT board_city, brewery_id, venue_city, rank FROM board
 """
-ORACLES["stored_or_computed"] = ORACLES["brewery_scatter"]
-ORACLES["daily_refresh"] = " UNION ALL ".join(
-    f"SELECT '{name}' AS name, count(*) AS rows FROM ({ORACLES[key]})"
+ORACLES["stored_or_computed"] = " UNION ALL ".join(
+    f"SELECT '{source}' AS source, * FROM ({ORACLES['brewery_scatter']})" for source in ("stored", "computed")
+)
+ORACLES["daily_refresh"] = " UNION ALL BY NAME ".join(
+    f"SELECT '{name}' AS name, * FROM ({ORACLES[key]})"
     for name, key in (
         ("cities", "city_leaderboard"),
         ("top_best_beers", "best_beers"),

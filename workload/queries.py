@@ -45,6 +45,11 @@ def brewery_leaderboard(t: Roles) -> DataFrame:
     )
 
 
+@query
+def brewery_leaderboard_display(t: Roles) -> DataFrame:
+    return leaderboards.display(brewery_leaderboard(t), leaderboards.BREWERY_TITLES)
+
+
 @query
 def brewery_leaderboard_prev(t: Roles) -> DataFrame:
     ranked = leaderboards.brewery_ranks(t.reviews(), t.venues(), country=COUNTRY, min_checkins=5, k=25, **WINDOWS)
@@ -284,7 +289,8 @@ def row_ids_after_max(t: Roles) -> DataFrame:
 @query
 def rows_after_offset(t: Roles) -> DataFrame:
     parts = t.table("part").select("p_partkey", "p_name", "p_size")
-    return catalogue.after_first(parts, [F.col("p_size").desc(), F.col("p_partkey").asc()], 30).select(
+    order = [F.col("p_size").desc(), F.col("p_partkey").asc()]
+    return catalogue.after_first(parts, order, 30, ["p_partkey"]).select(
         "p_partkey", "p_name"
     )
 
@@ -435,6 +441,13 @@ def page_summaries(t: Roles) -> DataFrame:
 # Accounts and catalogue --------------------------------------------------------------------
 
 
+@query
+def accounts_by_query(t: Roles) -> DataFrame:
+    """Accounts found by one search per role, merged into one list."""
+    said = t.table("conversations").withColumn("user_name", F.concat(F.lit("user"), F.col("conv_id").cast("string")))
+    return accounts.found_accounts(*[said.filter(F.col("role") == role) for role in ("user", "assistant", "system")])
+
+
 def _activity(t: Roles) -> accounts.Activity:
     return accounts.account_activity(
         t.accounts(), t.posts(), t.comments(), t.stored_users(), t.stored_posts(), "2021-01-18 10:00:00"
@@ -458,7 +471,7 @@ def account_comments(t: Roles) -> DataFrame:
 
 
 def _catalogues(t: Roles) -> tuple[DataFrame, DataFrame]:
-    details = catalogue.product_details(t.product_pages())
+    details = catalogue.product_details(t.product_pages(), t.offer_pages())
     first = catalogue.enriched(catalogue.clean_names(t.first_catalogue()), details)
     second = catalogue.enriched(catalogue.latin_names(t.second_catalogue()), details)
     return first, second
@@ -552,8 +565,18 @@ def table_export(t: Roles) -> DataFrame:
 
 @query
 def vacancy_export_view(t: Roles) -> DataFrame:
-    flat = vacancies.export_view(vacancies.flatten_feed(t.feed_records()))
-    return flat.select("vacancy_id", "response_url", "address_city", "address_lat", "department_name", "schedule")
+    shown = vacancies.export_view(vacancies.flatten_feed(t.feed_records()))
+    return shown.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def vacancy_export_job(t: Roles) -> DataFrame:
+    """The stored feed written as text and read back."""
+    table, path = _scratch(t, "vacancies"), _scratch(t, "export")
+    vacancies.flatten_feed(t.feed_records()).write.parquet(table)
+    written = refresh.export_vacancies(t.spark, table, path)
+    back = readers.read_csv(t.spark, path, written.schema, multiline=True)
+    return back.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -595,8 +618,7 @@ def created_table_latest(t: Roles) -> DataFrame:
 def partitioned_by_city(t: Roles) -> DataFrame:
     path = _scratch(t, "cities")
     sinks.overwrite_by(city_leaderboard(t).select("board_city", "brewery_id", "venue_city", "rank"), path, ["board_city"])
-    stored = t.spark.read.schema("brewery_id bigint, venue_city string, rank bigint, board_city string").parquet(path)
-    return stored.filter(F.col("board_city") == "NATION_3")
+    return t.spark.read.schema("brewery_id bigint, venue_city string, rank bigint, board_city string").parquet(path)
 
 
 @query
@@ -609,7 +631,13 @@ def stored_or_computed(t: Roles) -> DataFrame:
         )
 
     compute(**parameters).write.parquet(path)
-    return sinks.stored_or_computed(parameters, parameters, lambda: readers.read_table(t.spark, path), compute)
+    results = [
+        sinks.stored_or_computed(parameters, stored_for, lambda: readers.read_table(t.spark, path), compute).withColumn(
+            "source", F.lit(source)
+        )
+        for source, stored_for in (("stored", parameters), ("computed", {**parameters, "top_n": 1}))
+    ]
+    return results[0].unionByName(results[1])
 
 
 @query
@@ -618,11 +646,8 @@ def daily_refresh(t: Roles) -> DataFrame:
         t.reviews(), t.venues(), t.breweries(), t.brewery_info(), t.beers(), AS_OF, _scratch(t, "refresh"),
         country=COUNTRY, days=DAYS, board_cities=BOARD_CITIES, scatter_days=DAYS, scatter_top=100, scatter_min_count=45,
     )
-    counts = [
-        readers.read_table(t.spark, path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
-        for name, path in paths.items()
-    ]
-    return functools.reduce(DataFrame.unionByName, counts)
+    stored = [readers.read_table(t.spark, path).withColumn("name", F.lit(name)) for name, path in paths.items()]
+    return functools.reduce(functools.partial(DataFrame.unionByName, allowMissingColumns=True), stored)
 
 
 # Streams --------------------------------------------------------------------------------------

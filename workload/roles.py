@@ -380,13 +380,14 @@ class Roles:
         )
 
     def product_pages(self) -> DataFrame:
-        """One product page per name and brand: with price, with an offer, or with neither."""
+        """One result page per name and brand: with a price, or without; some show the offer of
+        another product."""
         b = "CAST(substr(p_brand, 7) AS INT)"
         rating = F.expr(f"CASE WHEN {b} % 4 = 0 THEN '–' ELSE CAST({b} % 5 AS STRING) || ',' || CAST({b} % 10 AS STRING) END")
         count = F.expr(f"CASE WHEN {b} % 6 = 0 THEN '1,' || lpad(CAST({b} * 37 AS STRING), 3, '0') ELSE CAST({b} * 37 AS STRING) END")
         price = F.expr(
             f"CASE {b} % 3 WHEN 0 THEN '<span class=\"wine-price-value\">1 ' || CAST({b} AS STRING) || ',50\n</span>' "
-            f"WHEN 1 THEN '<span class=\"purchaseAvailabilityPPC__amount--2_4GT\">' || CAST({b} AS STRING) || '.25€</span>' ELSE '' END"
+            f"WHEN 1 THEN '' ELSE '<span class=\"purchaseAvailabilityPPC__amount--2_4GT\">9.99€</span>' END"
         )
         names = self.table("part").select("p_name", "p_brand").distinct()
         return names.select(
@@ -397,3 +398,13 @@ class Roles:
                 F.lit('<p class="text-micro">'), count, F.lit(" ratings</p>"), price, F.lit("</div></body></html>"),
             ).alias("html"),
         )
+
+    def offer_pages(self) -> DataFrame:
+        """Product pages with an offer, for results with and without a price."""
+        b = "CAST(substr(p_brand, 7) AS INT)"
+        offer = F.expr(f"'<span class=\"purchaseAvailabilityPPC__amount--2_4GT\">' || CAST({b} AS STRING) || '.25€</span>'")
+        names = self.table("part").select("p_name", "p_brand").distinct().filter(f"{b} % 3 <> 2")
+        return names.select(
+            F.concat_ws(" ", "p_name", "p_brand").alias("vine"),
+            F.concat(F.lit("<html><body><h1>"), F.col("p_name"), F.lit("</h1>"), offer, F.lit("</body></html>")).alias("html"),
+        )
