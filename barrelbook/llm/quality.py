@@ -203,7 +203,11 @@ def train(slots: DataFrame, labels: DataFrame, *, label: str = "quality", sample
     counts[1, place] += sums["good"].to_numpy()
     shares = counts / counts.sum(axis=1, keepdims=True)
     ratios = np.log(shares[1] / shares[0])
-    chosen = known.orderBy(F.xxhash64("doc_id"), "slots", "label").limit(sample).select("slots", "label").toArrow()
+    # The last hash of the sample is found on hashes alone, so that no task holds long rows to sort.
+    place = F.xxhash64("doc_id")
+    last = known.select(place.alias("place")).orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    near = known.filter(place <= F.lit(last).cast("long"))
+    chosen = near.orderBy(place, "slots", "label").limit(sample).select("slots", "label").toArrow()
     rows = [np.frombuffer(s, np.int32) for s in chosen["slots"].to_pylist()]
     y = np.where(np.array(chosen["label"].to_pylist(), dtype=np.int64) == 1, 1.0, -1.0)
     return fit(rows, y, ratios)
