@@ -132,8 +132,12 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Ends of lines beyond ASCII; readers that split text at them would break a header or index line.
+_BREAKS = "\x7f\x85\u2028\u2029"
+
+
 def _line(value: str) -> str:
-    return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
+    return "".join(c if c > " " and c not in _BREAKS else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
 def record_bytes(row: dict) -> bytes:
@@ -293,7 +297,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with store.open_input_file(inner) as file:
                 directory = ZipDirectory(file.size(), lambda at, size: file.read_at(size, at))
                 begin = directory.begin(DATA)
-                lines = directory.read(INDEX).decode().splitlines()
+                lines = directory.read(INDEX).decode().split("\n")[:-1]  # every line ends with one
             held: list[tuple[int, int]] = []
             groups = [held]
             for line in lines:

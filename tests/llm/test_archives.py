@@ -100,5 +100,27 @@ def test_payloads_come_back(spark):
     assert packages.agg(F.sum("records")).first()[0] == len(rows)
 
 
+def test_urls_with_other_ends_of_lines(spark):
+    urls = [f"http://h.org/a{c}b/\u00e4" for c in "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"]
+    rows = [(i, url, f"<p>{i}") for i, url in enumerate(urls)]
+    frame = spark.createDataFrame(rows, PAGES)
+    found = archives.read_packages(spark, archives.write_packages(frame, scratch_path(spark, "test-lines")))
+    written = sorted((r.page_id, r.url) for r in found.collect())
+    assert [i for i, _ in written] == list(range(len(rows)))
+    assert all(len(url.splitlines()) == 1 and url.endswith("b/\u00e4") for _, url in written)
+    assert rows_of(archives.round_trip(frame)) == brute(rows)
+
+
+def test_index_lines_end_only_at_line_feeds(spark, monkeypatch):
+    """Packages of other writers may hold such characters as they are."""
+    monkeypatch.setattr(archives, "_line", lambda value: value)
+    rows = [{"page_id": 1, "url": "http://h.org/a\u2028b", "payload": b"x", "sha1": hashlib.sha1(b"x").hexdigest(), "is_response": True}]
+    package, path = archives._Package(), f"{scratch_path(spark, 'test-index')}/a.wacz"
+    package.add(rows[0])
+    package.write(path)
+    (found,) = archives.read_packages(spark, spark.createDataFrame([(path,)], "path string")).collect()
+    assert (found.page_id, found.url) == (1, "http://h.org/a\u2028b")
+
+
 def test_empty_table(spark):
     assert archives.round_trip(spark.createDataFrame([], PAGES)).collect() == []
