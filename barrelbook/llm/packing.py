@@ -10,6 +10,7 @@ last rest is dealt to windows whose sizes are powers of two, which need no paddi
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,16 +29,27 @@ PIECES = (
 )
 
 
-def byte_pair_encoder(ranks: str, pattern: str) -> Callable[[], Callable[[str], np.ndarray]]:
-    """A maker of encoders for a file of ranks; files are read where the encoder is used."""
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Tokens that a tokenizer's JSON file adds to its vocabulary; they are taken whole wherever a text has them."""
+    with open(vocabulary, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(token[how] for token in found for how in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take more or less than their own characters are not supported")
+    return {token["content"]: token["id"] for token in found}
+
+
+def byte_pair_encoder(ranks: str, pattern: str, vocabulary: str | None = None) -> Callable[[], Callable[[str], np.ndarray]]:
+    """A maker of encoders for a file of ranks and the added tokens of ``vocabulary``, a tokenizer's
+    JSON file; files are read where the encoder is used."""
 
     def make() -> Callable[[str], np.ndarray]:
         import tiktoken
 
         with open(ranks, "rb") as file:
             merges = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
-        return lambda text: np.asarray(encoding.encode_ordinary(text), dtype="<u4")
+        added = added_tokens(vocabulary) if vocabulary else {}
+        encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=merges, special_tokens=added)
+        return lambda text: np.asarray(encoding.encode(text, allowed_special="all"), dtype="<u4")
 
     return make
 

@@ -32,8 +32,9 @@ def op1_main_text(spark, folder):
 
 
 def encoder():
-    """The byte-pair vocabulary ``byte_bpe_50k``; its two files give the same ids."""
-    return packing.byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The byte-pair vocabulary ``byte_bpe_50k``: merges of the rank file, added tokens of the JSON file."""
+    ranks, vocabulary = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    return packing.byte_pair_encoder(ranks, public_tokenizers.PATTERN, vocabulary)
 
 
 def piece_digests(docs):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -9,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from barrelbook.llm import packing
+from barrelbook.llm import packing, queries
 
 MAKE = packing.byte_pair_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+QUERY_ENCODER = queries.encoder()()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +33,27 @@ def test_ids_equal_those_of_the_tokenizer(reference, encode, text):
     assert list(encode(text)) == reference(text)
 
 
+ADDED = "<|endoftext|>"
+
+
+@given(parts=st.lists(st.sampled_from([ADDED, ADDED[:-1], ADDED[2:], " ", "\n", "a", "end.", "Next", "\u00df"]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_ids_of_added_tokens(reference, parts):
+    text = "".join(parts)
+    assert list(QUERY_ENCODER(text)) == reference(text)
+
+
+def test_pieces_of_texts_with_added_tokens(spark, documents, reference):
+    texts = {1: f"end.{ADDED}Next", 2: ADDED, 3: f"{ADDED}{ADDED} x"}
+    pieces = queries.piece_digests(documents(list(texts.items()))).collect()
+    whole = {i: [*reference(text), 0] for i, text in texts.items()}
+    assert whole[1] == [437, 13, 50256, 10019, 0]
+    assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(ids) for i, ids in whole.items()}
+    for p in pieces:
+        ids = np.array(whole[p.doc_id][p.start : p.start + p.length], "<u4")
+        assert p.ids_crc32 == zlib.crc32(ids.tobytes())
+
+
 def test_ids_of_given_documents(spark, reference, encode):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
     for (text,) in rows:
