@@ -67,6 +67,40 @@ def test_changed_and_partial_notices():
     assert "MIT-text" not in {n for n, *_ in licenses.scan(" ".join(words[:70]), INDEX, 0.8)}
 
 
+@pytest.mark.parametrize(
+    ("text", "license"),
+    [
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0-short"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0-short"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY-NC 3.0.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 2.1.", None),
+        ("This work is licensed under the GNU General Public License, version 3.0.", "GPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+        ("This work is licensed under the GNU Library General Public License, version 2.", None),
+        ("Licensed under the Apache License, Version 1.0.", None),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Released under the BSD License.", None),
+        (licenses.TEMPLATES["CC-BY-SA-4.0"], "CC-BY-SA-4.0"),
+        (licenses.TEMPLATES["CC-BY-NC-SA-4.0"].replace("NonCommercial", "Non-Commercial"), "CC-BY-NC-SA-4.0"),
+        (licenses.TEMPLATES["Apache-2.0-header"], "Apache-2.0-header"),
+        (licenses.TEMPLATES["GPL-2.0-header"], "GPL-2.0-header"),
+    ],
+)
+def test_licenses_that_differ_by_a_word(text, license):
+    found = [n for n, *_ in licenses.scan(f"Ünten shan 7. {text} 2024 more words", INDEX, 0.8)]
+    assert found == ([license] if license else [])
+
+
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if n.endswith("-full")])
+def test_changed_whole_texts(name):
+    rng = random.Random(8)
+    text = " ".join(w if rng.random() > 0.03 or any(c in w for c in "0123456789") else "other" for w in licenses.TEMPLATES[name].split())
+    found = {n: c for n, c, *_ in licenses.scan("x " * 50 + text + " y" * 50, INDEX, 0.8)}
+    assert list(found) == [name] and 0.9 < found[name] < 1
+
+
 def test_scan_of_documents(spark, documents, clashing):
     notice = licenses.TEMPLATES["Apache-2.0"]
     rows = [(1, notice), (1, notice), (None, "x " + notice), (2, None), (3, ""), (4, "under the licensed apache"), (5, "word " * 100_000 + notice)]
