@@ -53,11 +53,40 @@ ASIDE_WORDS = frozenset(
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 TEXT = frozenset(("article", "main"))
+#: Parts of class names and ids that say nothing beside words of ASIDE_WORDS.
+NEUTRAL = frozenset("area block body box card content div entry item list post section thread wrapper".split())
+
+
+def _names_aside(rest: str) -> bool:
+    """Whether a class name or id consists of words of ASIDE_WORDS; ``comment-body`` does, ``comments-open`` does not."""
+    for match in _ATTRIBUTE.finditer(rest):
+        if match[1].lower() in ("class", "id"):
+            for token in (match[2] or match[3] or match[4] or "").lower().split():
+                words = {w for w in _WORD.findall(token) if not w.isdigit()} - NEUTRAL
+                if words and words <= ASIDE_WORDS:
+                    return True
+    return False
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where the end tag of each closed element begins, by the place of its start tag."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for match in _TAG.finditer(page):
+        if match["name"]:
+            places = opened.setdefault(match["name"].lower(), [])
+            if not match["end"]:
+                places.append(match.start())
+            elif places:
+                ends[places.pop()] = match.start()
+    return ends
 
 
 def _is_aside(name: str, rest: str, inside_text: bool) -> bool:
     if name in ASIDE or (name == "header" and not inside_text):
         return True
+    if name == "article" and _names_aside(rest):
+        return True
     if name in TEXT or name in ("html", "body") or "=" not in rest and "hidden" not in rest.lower():
         return False
     for match in _ATTRIBUTE.finditer(rest):
@@ -78,12 +107,15 @@ def text_lines(page: str | None) -> list[tuple[str, bool]]:
     """The text of each block in page order, and whether it stands in an article element.
 
     Elements that markup shows to be no article text are left out. Such an element ends at its end
-    tag, with any element around it, or where an article begins.
+    tag, with any element around it, or where an article begins; but articles inside of an aside,
+    a footer or an element named after comments and the like belong to it if its end tag follows.
     """
     page = page or ""
     lines: list[tuple[str, bool]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, left out, in an article
+    # name, left out, in an article, where an element that keeps articles out begins
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]
+    ends: dict[int, int] | None = None
     opened: Counter[str] = Counter()
     at = 0
 
@@ -136,14 +168,22 @@ def text_lines(page: str | None) -> list[tuple[str, bool]]:
                 stack.pop()
         left_out, inside = stack[-1][1], stack[-1][2]
         if name in TEXT and not inside and left_out:
-            while stack[-1][1]:
-                opened[stack.pop()[0]] -= 1
-            left_out, inside = stack[-1][1], stack[-1][2]
+            if ends is None and stack[-1][3] >= 0:
+                ends = _ends(page)
+            if stack[-1][3] < 0 or ends.get(stack[-1][3], -1) < at:
+                while stack[-1][1]:
+                    opened[stack.pop()[0]] -= 1
+                left_out, inside = stack[-1][1], stack[-1][2]
         inside = inside or name in TEXT
         if match["rest"].endswith("/") and name not in BLOCKS:
             continue
         opened[name] += 1
-        stack.append((name, left_out or _is_aside(name, match["rest"], inside), inside))
+        keeps = stack[-1][3]
+        if not left_out and _is_aside(name, match["rest"], inside):
+            left_out = True
+        if left_out and keeps < 0 and (name in ("aside", "footer") or _names_aside(match["rest"])):
+            keeps = match.start()
+        stack.append((name, left_out, inside, keeps))
     flush()
     return lines
 
@@ -180,9 +220,10 @@ def aligned(left: list[int], right: list[int]) -> list[int]:
 
 
 def template_lines(own: list[int], sizes: list[int], other: list[int], most: float = 0.9) -> list[int]:
-    """Lines that a page shares with its neighbour; none if the two are copies of each other."""
+    """Lines that a page shares with its neighbour; none if it has no line of its own, or less than
+    ``1 - most`` of its text."""
     shared = aligned(own, other)
-    if sum(sizes[i] for i in shared) > most * sum(sizes):
+    if len(shared) == len(own) or sum(sizes[i] for i in shared) > most * sum(sizes):
         return []
     return shared
 
@@ -192,19 +233,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = [text_lines(page) for page in batch.column("html").to_pylist()]
         hashes = [[xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1 for t, _ in lines] for lines in parsed]
         sizes = [[len(t) for t, _ in lines] for lines in parsed]
-        settled = [any(marked for _, marked in lines) for lines in parsed]
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(n) for n in ("host", "path", "page_id", "th")),
                 pa.array(hashes, pa.list_(pa.int64())),
                 pa.array(sizes, pa.list_(pa.int32())),
-                pa.array(settled, pa.bool_()),
             ],
             names=[f.split()[0] for f in SIGNATURE.split(", ")],
         )
 
 
-SIGNATURE = "host string, path string, page_id long, th long, hashes array<long>, sizes array<int>, settled boolean"
+SIGNATURE = "host string, path string, page_id long, th long, hashes array<long>, sizes array<int>"
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +260,15 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _choose(row: dict, before: dict | None, after: dict | None) -> list[int]:
-    """Template lines of a page by its nearest neighbour, or by the other one if that is a copy."""
+    """Template lines of a page by its nearest neighbour, or by the other one if that is a copy but
+    for a tenth. If both are, the page is mostly template, and only lines of its own have to be left."""
     near = [n for n in (before, after) if n is not None and n["host"] == row["host"]]
     near.sort(key=lambda n: -len(commonprefix([n["path"], row["path"]])))
-    for other in near:
-        shared = template_lines(row["hashes"], row["sizes"], other["hashes"])
-        if shared:
-            return shared
+    for most in (0.9, 1.0):
+        for other in near:
+            shared = template_lines(row["hashes"], row["sizes"], other["hashes"], most)
+            if shared:
+                return shared
     return []
 
 
@@ -239,7 +280,7 @@ def _differences(edges: dict[int, tuple]):
         held = None
 
         def compare(row: dict, following: dict | None) -> list[tuple]:
-            found = [] if row["settled"] else _choose(row, before, following)
+            found = _choose(row, before, following)
             return [(row["page_id"], row["th"], found)] if found else []
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
@@ -262,7 +303,7 @@ def _differences(edges: dict[int, tuple]):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(page_id, th, template)``: places of the template lines of pages that markup leaves open.
+    """``(page_id, th, template)``: places of the template lines of pages.
 
     ``pages`` has ``page_id, url, html``. Only hashes of lines are put in order. A host with very
     many pages is cut into ranges; what crosses a border is one row of hashes per partition.
@@ -288,26 +329,35 @@ def templates(pages: DataFrame) -> DataFrame:
     return found.groupBy("page_id", "th").agg(F.min("template").alias("template"))
 
 
+def main_lines(lines: list[tuple[str, bool]], template: set[int]) -> list[str]:
+    """Lines of the main text by two votes: whether markup has a line in an article, and whether it is the page's own.
+
+    If articles hold at least half of the page's own text, they are the main text, with lines that
+    they share. Otherwise the main text stands elsewhere: all own lines are kept.
+    """
+    own = [len(t) * (place not in template) for place, (t, _) in enumerate(lines)]
+    marked = sum(n for n, (_, inside) in zip(own, lines) if inside)
+    if any(inside for _, inside in lines) and 2 * marked >= sum(own):
+        return [t for t, inside in lines if inside]
+    return [t for place, (t, _) in enumerate(lines) if place not in template]
+
+
 @F.pandas_udf(T.StringType())
 def _text(pages: pd.Series, templates: pd.Series) -> pd.Series:
     out = []
     for page, template in zip(pages, templates):
-        lines = text_lines(page)
-        if any(marked for _, marked in lines):
-            kept = [t for t, marked in lines if marked]
-        else:
-            gone = set() if template is None else set(map(int, template))
-            kept = [t for place, (t, _) in enumerate(lines) if place not in gone]
-        out.append("\n".join(kept))
+        gone = set() if template is None else set(map(int, template))
+        out.append("\n".join(main_lines(text_lines(page), gone)))
     return pd.Series(out)
 
 
 def main_texts(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
-    A page with an article or main element gives the blocks inside of it. Any other page gives its
-    blocks without those it shares with its nearest neighbour by URL; if nine tenths of it are
-    shared, the two are copies and the other neighbour is asked. NULL html is empty and gives an
+    Every page is compared with its nearest neighbour by URL. If article and main elements hold at
+    least half of what the two do not share, the page gives the blocks inside of them; otherwise it
+    gives all blocks that are not shared. If nine tenths of a page are shared, the other neighbour
+    is asked; a page without a block of its own is a copy and keeps all. NULL html is empty and gives an
     empty text; a NULL URL has an empty host and path; repeated rows and NULL ids stay as they are;
     an empty table gives no rows. The template lines are joined from a written table, so Spark
     knows its size and broadcasts it only if it is small.

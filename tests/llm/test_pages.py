@@ -104,6 +104,40 @@ def test_marked_articles_stay_whole(spark):
     assert texts(frame) == {i: f"shared\nown {i}" for i in range(6)}
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>a</p></article><article class=comment><p>no</p></article>", ["a"]),
+        ("<article class='post comments-open has-sidebar'><p>a</p></article>", ["a"]),
+        ("<article id=div-comment-12 class='comment-body even'><p>no</p></article><p>b</p>", ["b"]),
+        ("<article><p>a</p></article><div id=comments><article><p>no</p></article><article>no</article></div><p>b</p>", ["a", "b"]),
+        ("<aside><article>no</article></aside><article>a</article>", ["a"]),
+        ("<div class=ad>no<article><p>a</p></article>", ["a"]),  # never closed
+        ("<form><article><p>a</p></article></form>", ["a"]),
+        ("<div class='has-sidebar'><article><p>a</p></article></div>", ["a"]),
+    ],
+)
+def test_articles_that_are_no_main_text(page, want):
+    assert lines(page) == want
+
+
+def test_nested_asides_take_linear_time():
+    assert lines("<aside>" * 20_000 + "<article>no</article>" * 20_000 + "</aside>" * 20_000) == []
+
+
+def test_main_text_beside_articles(spark):
+    """Teasers are articles here, and the main text stands in plain elements."""
+    teasers = "<article><h2>Other story</h2></article><article><h2>One more story</h2></article>"
+    rows = [(i, f"http://t.org/{i}", f"<div>Site</div><div><p>The long story number {i} goes on.</p></div>{teasers}") for i in range(5)]
+    assert texts(spark.createDataFrame(rows, PAGES)) == {i: f"The long story number {i} goes on." for i in range(5)}
+
+
+def test_short_texts_in_long_templates(spark):
+    """Nine tenths of each page are shared, and still they are no copies."""
+    rows = [(i, f"http://l.org/{i}", f"<div>{'Words of the site. ' * 20}</div><p>own {i}</p>") for i in range(5)]
+    assert texts(spark.createDataFrame(rows, PAGES)) == {i: f"own {i}" for i in range(5)}
+
+
 def test_empty_table(spark):
     assert pages.main_texts(spark.createDataFrame([], PAGES)).collect() == []
 
