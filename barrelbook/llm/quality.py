@@ -1,8 +1,9 @@
 """A quality classifier: linear support vectors over n-grams scaled by naive Bayes ratios.
 
-The n-grams are runs of one to three word shapes: letter case, digits, trailing punctuation, and
-whether a word repeats the one before it. They are hashed to a fixed number of slots. Class
-log-count ratios come from every labelled training row; the support vectors are fitted by dual
+The n-grams are runs of one to three word shapes (letter case, digits, trailing punctuation, and
+whether a word repeats the one before it) and of one or two words in lower case. Both are hashed to
+a fixed number of slots. Class log-count ratios come from every labelled training row, those of
+words less what chance explains; the support vectors are fitted by dual
 coordinate descent on at most ``SAMPLE`` of these rows, chosen by a hash of the id.
 """
 
@@ -13,13 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barrelbook.session import checkpointed
 
 SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
+SLOTS = 1 << SLOT_BITS  # of shapes, and as many of words behind them
+#: Standard errors that the ratio of a word has to exceed; without that, rare words learn rows by heart.
+ERRORS = 2.0
 #: Labelled rows that the support vectors are fitted on.
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -83,6 +87,28 @@ def features(text: str | None, shapes: Shapes) -> np.ndarray:
     return np.unique(slots.astype(np.int32))
 
 
+class Words(dict):
+    """Hashes of words without case and punctuation around them; bounded like shapes. 0 has no letters."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        core = word.strip(PUNCTUATION).lower()
+        self[word] = code = xxhash.xxh3_64_intdigest(core.encode("utf-8", "replace")) | 1 if core else 0
+        return code
+
+
+def all_features(text: str | None, shapes: Shapes, words: Words) -> np.ndarray:
+    """Sorted slots of the n-grams of shapes and of words."""
+    split = (text or "").split()
+    one = np.fromiter(map(words.__getitem__, split), dtype=np.uint64, count=len(split))
+    one = one[one > 0]
+    with np.errstate(over="ignore"):
+        two = (one[:-1] * np.uint64(31) + one[1:]) * _MIX
+    slots = np.unique((np.concatenate([one, two]) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+    return np.concatenate([features(text, shapes), slots + np.int32(SLOTS)])
+
+
 def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 0.01, rounds: int = 10) -> np.ndarray:
     """Weights of a linear hinge-loss model by dual coordinate descent; the last one is the bias."""
     weights, alpha = np.zeros(len(scale) + 1), np.zeros(len(rows))
@@ -141,7 +167,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> Model:
     """Fit on all rows; the calibration uses margins of rows that a half model has not seen."""
     if len(rows) == 0 or (y > 0).all() or (y < 0).all():
         share = (1 + (y > 0).sum()) / (2 + len(y))
-        return Model(np.zeros(SLOTS + 1), 0.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(2 * SLOTS + 1), 0.0, float(np.log(share / (1 - share))))
     unseen, half = np.zeros(len(rows)), np.arange(len(rows)) % 2 == 0
     for part in (half, ~half):
         inside = np.flatnonzero(part)
@@ -158,56 +184,67 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes = Shapes()
+def _labelled_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shapes, words = Shapes(), Words()
     for batch in batches:
-        rows = [features(t, shapes).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "slots"])
-
-
-def slots_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, slots)``: the n-grams of every row as packed 32-bit integers."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_slots, "doc_id long, slots binary")
+        rows = [all_features(t, shapes, words).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("place"), pa.array(rows, pa.binary()), batch.column("label")], names=["place", "slots", "label"]
+        )
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, SLOTS), dtype=np.int64)
+    counts = np.zeros((2, 2 * SLOTS), dtype=np.int64)
+    shapes, words = Shapes(), Words()
     for batch in batches:
-        for slots, label in zip(batch.column("slots").to_pylist(), batch.column("label").to_pylist()):
-            counts[label, np.frombuffer(slots, np.int32)] += 1
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            counts[label, all_features(text, shapes, words)] += 1
     used = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays(
         [pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])], names=["slot", "bad", "good"]
     )
 
 
-def train(slots: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> Model:
+def ratios_of(counts: np.ndarray) -> np.ndarray:
+    """Log-count ratios of the classes (bad, good) by slot, smoothed by one; those of words move
+    towards 0 by ``ERRORS`` standard errors."""
+    parts = []
+    for part, errors in ((counts[:, :SLOTS] + 1.0, 0.0), (counts[:, SLOTS:] + 1.0, ERRORS)):
+        shares = part / part.sum(axis=1, keepdims=True)
+        ratio = np.log(shares[1] / shares[0])
+        parts.append(np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors * np.sqrt((1 / part).sum(axis=0))))
+    return np.concatenate(parts)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE
+) -> Model:
     """Learn from the labelled rows that are not held out; labels other than 0 and 1 are passed over.
 
-    Without rows of both classes every text gets the smoothed share of good rows.
+    Texts are read again for the sample, so that no n-grams are written. Without rows of both
+    classes every text gets the smoothed share of good rows.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marked = marked.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = checkpointed(slots.filter(~held_out(F.col("doc_id"))).join(marked, "doc_id"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    known = slim.filter(~held_out(F.col("doc_id"))).join(marked, "doc_id")
     sums = (
-        known.select("slots", "label")
+        known.select("text", "label")
         .mapInArrow(_label_counts, "slot long, bad long, good long")
         .groupBy("slot")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .toArrow()  # at most SLOTS rows
+        .toArrow()  # at most 2 * SLOTS rows
     )
-    counts = np.ones((2, SLOTS))
-    place = sums["slot"].to_numpy()
-    counts[0, place] += sums["bad"].to_numpy()
-    counts[1, place] += sums["good"].to_numpy()
-    shares = counts / counts.sum(axis=1, keepdims=True)
-    ratios = np.log(shares[1] / shares[0])
+    counts = np.zeros((2, 2 * SLOTS))
+    slot = sums["slot"].to_numpy()
+    counts[0, slot], counts[1, slot] = sums["bad"].to_numpy(), sums["good"].to_numpy()
+    ratios = ratios_of(counts)
     # The last hash of the sample is found on hashes alone, so that no task holds long rows to sort.
     place = F.xxhash64("doc_id")
     last = known.select(place.alias("place")).orderBy("place").limit(sample).agg(F.max("place")).first()[0]
-    near = known.filter(place <= F.lit(last).cast("long"))
-    chosen = near.orderBy(place, "slots", "label").limit(sample).select("slots", "label").toArrow()
+    near = known.filter(place <= F.lit(last).cast("long")).select(place.alias("place"), "text", "label")
+    near = checkpointed(near.mapInArrow(_labelled_slots, "place long, slots binary, label int"))
+    chosen = near.orderBy("place", "slots", "label").limit(sample).select("slots", "label").toArrow()
     rows = [np.frombuffer(s, np.int32) for s in chosen["slots"].to_pylist()]
     y = np.where(np.array(chosen["label"].to_pylist(), dtype=np.int64) == 1, 1.0, -1.0)
     return fit(rows, y, ratios)
@@ -215,13 +252,13 @@ def train(slots: DataFrame, labels: DataFrame, *, label: str = "quality", sample
 
 def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the score of their text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS + 1 weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * SLOTS + 1 weights
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shapes = Shapes()
+        shapes, words = Shapes(), Words()
         for batch in texts:
-            yield pd.Series([shared.value.score(features(t, shapes)) for t in batch], dtype="float64")
+            yield pd.Series([shared.value.score(all_features(t, shapes, words)) for t in batch], dtype="float64")
 
     return docs.withColumn(name, scored(F.col(text)))
 
@@ -233,12 +270,7 @@ def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
     repeated rows get equal scores; an empty table gives no rows. A document that is labelled
     twice counts twice.
     """
-    slots = checkpointed(slots_of(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(train(slots, labels, sample=sample))
-
-    @F.pandas_udf("double")
-    def scored(rows: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(np.frombuffer(r, np.int32)) for r in rows], dtype="float64")
-
-    found = slots.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("slots").alias("score"))
+    model = train(docs, labels, sample=sample)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = with_score(slim, model, "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
