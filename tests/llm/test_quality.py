@@ -61,18 +61,6 @@ def test_scores_do_not_use_held_out_labels(spark):
     assert sorted(quality.scores(docs, labels).collect()) == sorted(quality.scores(docs, turned).collect())
 
 
-def test_texts_that_are_bad_by_their_words(spark, documents):
-    """Case, punctuation and length are alike; only what the words say differs."""
-    rng = random.Random(3)
-    common = [f"word{i}" for i in range(200)]
-    spam = ["casino", "jackpot", "viagra", "winner", "click"]
-    fill = lambda: " ".join(rng.choice(common) for _ in range(30))
-    rows = [(i, f"{fill()} {rng.choice(spam if i % 3 == 0 else common)} {rng.choice(spam if i % 3 == 0 else common)} {fill()}.") for i in range(900)]
-    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i, _ in rows], "doc_id long, quality int")
-    found = [r for r in quality.scores(documents(rows), labels).collect() if r.held_out]
-    assert len(found) > 100 and np.mean([r.predicted == (r.doc_id % 3 != 0) for r in found]) >= 0.95
-
-
 def test_edges(spark, documents, clashing):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["one", "two", "Three"]) for _ in range(20)) + ".") for i in range(60)]
