@@ -1,11 +1,14 @@
 """Feeds that store every key once.
 
-Three ways to remember what is known, by how large that is:
+Ways to remember what is known, by how large that is:
 
 - ``store_new_rows``: the target table itself is the memory, read key columns only.
-  Works for any batch history; each batch reads all stored keys.
+  Works for any batch history; each batch reads all stored keys. With ``known`` it reads
+  the buckets of its own keys instead (see ``known_keys``).
 - ``store_recent_rows``: the same, but a batch reads only the stored keys around its own
   moments. Rows may arrive in any order and as late as they like; none is lost.
+- ``store_bounded_rows``: the keys of the last while, forgotten by event time, so that what is
+  remembered keeps its size; later rows are checked against the target around their moments.
 - ``remember_keys``: the keys live in the state store, spread over the executors by key,
   so a batch costs what the batch holds. For targets too large to re-read.
 """
@@ -14,15 +17,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.joins import new_rows
+from ..operators.dedup import keep_first
+from ..operators.joins import anti_join, new_rows
+from .known_keys import BATCH, FEED, KnownKeys
 
-FEED, BATCH = "feed", "batch_id"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -61,13 +66,26 @@ def store_new_rows(
     order_by: Sequence[str | Column] = (),
     transform: Callable[[DataFrame], DataFrame] | None = None,
     schema: str | None = None,
+    known: KnownKeys | None = None,
+    compact_every: int = 64,
 ) -> StreamingQuery:
     """Append the rows whose key the target lacks; run until the feed is read up.
 
     Each batch of each feed has a folder of its own and compares with all others but the later
     ones of its feed. So a batch that is repeated after a failure overwrites itself with the same
     rows, and a new checkpoint or another feed overwrites nothing. One writer at a time.
+
+    ``known`` must hold the keys of the target; both are empty at first, or ``known`` was filled with
+    ``add``. Its files are merged every ``compact_every`` batches.
     """
+    if known is not None:
+
+        def fresh(rows: DataFrame, feed: str, batch_id: int) -> DataFrame:
+            if batch_id and batch_id % compact_every == 0:
+                known.compact(rows.sparkSession)
+            return known.unknown(rows, feed, batch_id)
+
+        return _store_with(stream, target, checkpoint, order_by, transform, fresh, known)
     return _store(stream, target, checkpoint, keys, order_by, transform, schema, lambda rows, known: known)
 
 
@@ -100,6 +118,82 @@ def store_recent_rows(
     return _store(stream, target, checkpoint, keys, order_by, transform, schema, around)
 
 
+def store_bounded_rows(
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    known: KnownKeys,
+    delay: timedelta,
+    order_by: Sequence[str | Column] = (),
+    transform: Callable[[DataFrame], DataFrame] | None = None,
+    schema: str | None = None,
+    compact_every: int = 8,
+) -> StreamingQuery:
+    """Like ``store_recent_rows`` for keys that repeat within ``delay``, with a memory that ends.
+
+    ``known`` remembers keys by their moment. Every ``compact_every`` batches those two delays older
+    than the newest are forgotten, so the memory holds what arrives within that time. A row whose
+    moment lies a delay after what was forgotten is checked against the memory alone; an older one,
+    however late, against the stored rows a delay around the moments of such rows, which Parquet
+    statistics prune. Rows without a moment are remembered for good.
+    """
+    keys, moment = known.keys, F.col(known.moment)
+    ddl = schema or _ddl(stream)
+
+    def fresh(rows: DataFrame, feed: str, batch_id: int) -> DataFrame:
+        session = rows.sparkSession
+        if batch_id and batch_id % compact_every == 0:
+            newest = known.table(session).agg(F.max("moment")).first()[0]
+            known.compact(session, None if newest is None else newest - 2 * delay)
+        forgotten = known.forgotten(session)
+        if forgotten is None:
+            return known.unknown(rows, feed, batch_id)
+        oldest = F.lit(forgotten + delay).cast("timestamp_ntz")
+        late = rows.filter(moment < oldest)
+        in_time = rows.filter(moment.isNull() | (moment >= oldest))
+        first, last = late.agg(F.min(moment), F.max(moment)).first()
+        if first is not None:
+            near = moment.between(F.lit(first - delay), F.lit(last + delay))
+            stored = known_rows(session, target, ddl, feed, batch_id).filter(near)
+            late = anti_join(late, stored, keys)
+        return known.unknown(in_time, feed, batch_id).unionByName(late)
+
+    return _store_with(stream, target, checkpoint, order_by, transform, fresh, known)
+
+
+def _ddl(stream: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+
+def _store_with(
+    stream: DataFrame,
+    target: str,
+    checkpoint: str,
+    order_by: Sequence[str | Column],
+    transform: Callable[[DataFrame], DataFrame] | None,
+    fresh: Callable[[DataFrame, str, int], DataFrame],
+    known: KnownKeys,
+) -> StreamingQuery:
+    """``fresh`` gets each key of a batch once. Rows are stored first, then their keys: a batch that
+    fails between is repeated and sees neither."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        feed = _feed_id(session, checkpoint)
+        place = f"{target}/{FEED}={feed}/{BATCH}={batch_id}"
+        rows = keep_first(transform(batch) if transform else batch, known.keys, order_by).persist()
+        fresh(rows, feed, batch_id).write.mode("overwrite").parquet(place)
+        rows.unpersist()
+        known.add(session.read.parquet(place), feed, batch_id)
+
+    return (
+        stream.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def _store(
     stream: DataFrame,
     target: str,
@@ -110,7 +204,7 @@ def _store(
     schema: str | None,
     relevant: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> StreamingQuery:
-    ddl = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    ddl = schema or _ddl(stream)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

@@ -438,7 +438,8 @@ split AS (
   SELECT * EXCLUDE (s), s.p AS period, s.t AS rest FROM (
     SELECT *, list_reduce([{{'t': salary_text, 'p': ''}}, {phrases}],
       lambda acc, x: {{'t': replace(acc.t, x.t, ''), 'p': CASE WHEN contains(acc.t, x.t) THEN x.p ELSE acc.p END}}) AS s
-    FROM ({texts}) WHERE salary_text IS NOT NULL)),
+    FROM ({texts}) WHERE salary_text IS NOT NULL)
+  UNION ALL BY NAME SELECT *, '' AS period, CAST(NULL AS VARCHAR) AS rest FROM ({texts}) WHERE salary_text IS NULL),
 signed AS (
   SELECT *, {_currency('rest', 1)} AS currency, replace(rest, {_currency('rest', 0)}, '') AS body FROM split),
 cleaned AS (
@@ -477,7 +478,7 @@ dollars AS (
   SELECT *, salary_from * ({FACTOR}) * ({RATE}) AS low, salary_to * ({FACTOR}) * ({RATE}) AS high,
          CASE WHEN period = '' THEN 'no_period' WHEN salary_from IS NULL AND salary_to IS NULL THEN 'bad_amount'
               WHEN ({RATE}) IS NULL THEN 'no_rate' WHEN cost IS NULL THEN 'no_index' ELSE 'ok' END AS salary_status
-  FROM amounts),
+  FROM amounts WHERE salary_text IS NOT NULL),
 priced AS (
   SELECT * EXCLUDE (salary_text, low, high, salary_status), 
          low AS "month_salary_from_USD", high AS "month_salary_to_USD",
@@ -580,8 +581,7 @@ ORACLES["vacancy_feed_flatten"] = f"WITH {FEED} SELECT * EXCLUDE (o_orderstatus)
 ORACLES["vacancy_feed_filters"] = f"WITH {FEED} SELECT vacancy_id, accepted FROM judged"
 ORACLES["vacancy_feed"] = f"""
 WITH {FEED}
-SELECT vacancy_id, query_string, name, salary_from, salary_currency, address_metro_stations, schedule
-FROM judged WHERE accepted AND o_orderstatus <> 'F'
+SELECT * EXCLUDE (o_orderstatus, accepted) FROM judged WHERE accepted AND o_orderstatus <> 'F'
 """
 
 CARDS = f"""cards AS (
@@ -599,21 +599,21 @@ CARDS = f"""cards AS (
 ORACLES["html_cards"] = f"""
 WITH {CARDS} SELECT * EXCLUDE (query_string, o_orderstatus, country_code, country, cost) FROM cards
 """
-ORACLES["vacancy_salaries"] = f"""
-WITH {CARDS},
-{_priced(f'''SELECT *, replace(replace(title, chr(10), ''), '"', '') AS plain, query_string AS query FROM cards
-  WHERE NOT (position = 0 AND o_orderstatus = 'F')''')},
-accepted AS (SELECT * FROM priced WHERE {TITLE_ACCEPTED})
-SELECT (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F')
-         + row_number() OVER (ORDER BY query_string, substr(element_id, 3)) AS row_idx,
-       query_string, country, replace(title, chr(10), '') AS title, replace(company, chr(10), '') AS company, city,
+POSTING = f"""query_string, country, replace(title, chr(10), '') AS title, replace(company, chr(10), '') AS company, city,
        CAST(coalesce({_relative('date_text')}, DATE '2021-01-18') AS VARCHAR) AS job_added,
        CAST(easy_label IS NOT NULL AS INT) AS easy_apply, CAST(rating_text AS DOUBLE) AS company_rating,
        CAST(remote_label IS NOT NULL AS INT) AS remote, substr(element_id, 3) AS job_id,
        'https://' || country_code || '.indeed.com' || href AS job_link, 'IND-Q12021' AS sheet,
        {_skills('summary')} AS skills, '2021-01-18' AS added_date,
        "month_salary_from_USD", "month_salary_to_USD", "year_salary_from_USD", "year_salary_to_USD",
-       month_salary_from_bigmac, month_salary_to_bigmac, year_salary_from_bigmac, year_salary_to_bigmac
+       month_salary_from_bigmac, month_salary_to_bigmac, year_salary_from_bigmac, year_salary_to_bigmac"""
+ORACLES["vacancy_salaries"] = f"""
+WITH {CARDS},
+{_priced(f'''SELECT *, replace(replace(title, chr(10), ''), '"', '') AS plain, query_string AS query FROM cards
+  WHERE NOT (position = 0 AND o_orderstatus = 'F')''')},
+accepted AS (SELECT * FROM priced WHERE {TITLE_ACCEPTED})
+SELECT (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F')
+         + row_number() OVER (ORDER BY query_string, substr(element_id, 3)) AS row_idx, {POSTING}
 FROM accepted
 """
 
@@ -723,8 +723,7 @@ ORACLES["csv_with_header"] = "SELECT * REPLACE ('\"N\", ' || c_name AS c_name) F
 ORACLES["csv_headerless"] = "SELECT * FROM part"
 ORACLES["csv_after_preamble"] = f"""
 WITH {PANEL}
-SELECT name, max(gdp) FILTER (year = 1995) AS y1995, max(gdp) FILTER (year = 1998) AS y1998,
-       max(gdp) FILTER (year = 2002) AS y2002
+SELECT name, {', '.join(f"max(gdp) FILTER (year = {y}) AS y{y}" for y in range(1995, 2003))}
 FROM gdp GROUP BY name
 """
 ORACLES["table_export"] = """
@@ -744,14 +743,12 @@ SELECT * EXCLUDE (o_orderstatus) REPLACE ({', '.join(f"coalesce({c}, '') AS {c}"
 ORACLES["vacancy_export_job"] = ORACLES["vacancy_export_view"]
 ORACLES["feed_from_files"] = f"""
 WITH {FEED}
-SELECT vacancy_id, address_city, salary_from,
-       CASE WHEN address_city IS NOT NULL THEN CAST(address_metro_stations <> '[]' AS BIGINT) END AS stations
-FROM feed
+SELECT * EXCLUDE (o_orderstatus, added_at, query_string, query_type, level, direction) FROM feed
 """
-ORACLES["append_sink"] = "SELECT * EXCLUDE (o_orderdate) FROM orders"
+ORACLES["append_sink"] = ORACLES["table_export"]
 ORACLES["created_table_latest"] = "SELECT event_id AS row_idx, 2 AS version, value * 2 AS value FROM events"
 ORACLES["partitioned_by_city"] = f"""
-WITH {CITY_BOARD} SELECT board_city, brewery_id, venue_city, rank FROM board
+WITH {CITY_BOARD} SELECT * FROM board
 """
 ORACLES["stored_or_computed"] = " UNION ALL ".join(
     f"SELECT '{source}' AS source, * FROM ({ORACLES['brewery_scatter']})" for source in ("stored", "computed")
@@ -775,12 +772,12 @@ FROM events GROUP BY CASE WHEN user_id % 7 <> 0 THEN user_id END, event_type
 """
 ORACLES["stream_two_feeds"] = "SELECT event_id, ts, user_id, event_type, value FROM events"
 ORACLES["stream_known_keys"] = "SELECT DISTINCT user_id, event_type FROM events"
-ORACLES["stream_bounded_dedup"] = "SELECT event_id, user_id FROM events"
-ORACLES["stream_vacancy_feed"] = f"WITH {FEED} SELECT vacancy_id, query_string, name FROM judged WHERE accepted"
+for _name in ("stream_bounded_dedup", "stream_bounded_state", "stream_bucketed_keys"):
+    ORACLES[_name] = "SELECT event_id, ts, user_id, event_type, value FROM events"
+ORACLES["stream_vacancy_feed"] = f"WITH {FEED} SELECT * EXCLUDE (o_orderstatus, accepted) FROM judged WHERE accepted"
 ORACLES["stream_postings"] = f"""
 WITH {CARDS},
 {_priced("""SELECT *, replace(replace(title, chr(10), ''), '"', '') AS plain, query_string AS query FROM cards""")}
-SELECT substr(element_id, 3) AS job_id, query_string, replace(title, chr(10), '') AS title,
-       "month_salary_from_USD", {_skills('summary')} AS skills
+SELECT {POSTING}
 FROM priced WHERE {TITLE_ACCEPTED}
 """

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrelbook import operators as ops
@@ -14,6 +15,7 @@ from barrelbook.plans import accounts, catalogue, leaderboards, panel, refresh,
 from barrelbook.session import scratch_path
 from barrelbook.sources import html, readers, schemas, sinks
 from barrelbook.streaming import ingest
+from barrelbook.streaming.known_keys import KnownKeys
 
 from . import derived as d
 from .roles import SCHEMAS, Roles
@@ -337,14 +339,12 @@ def currency_detect(t: Roles) -> DataFrame:
 def period_detect(t: Roles) -> DataFrame:
     texts = t.order_texts(salary_text=d.salary("o_orderkey"))
     split = salary.split_period(F.col("salary_text"))
-    return texts.filter(F.col("salary_text").isNotNull()).select(
-        "posting_id", split["period"].alias("period"), split["text"].alias("rest")
-    )
+    return texts.select("posting_id", split["period"].alias("period"), split["text"].alias("rest"))
 
 
 @query
 def salary_range(t: Roles) -> DataFrame:
-    texts = t.order_texts(salary_text=d.salary("o_orderkey")).filter(F.col("salary_text").isNotNull())
+    texts = t.order_texts(salary_text=d.salary("o_orderkey"))
     parsed = vacancies.parse_salaries(texts)
     return parsed.select("posting_id", F.col("salary_currency").alias("currency"), "salary_from", "salary_to")
 
@@ -416,9 +416,7 @@ def vacancy_feed_filters(t: Roles) -> DataFrame:
 @query
 def vacancy_feed(t: Roles) -> DataFrame:
     fresh = vacancies.vacancy_feed(t.feed_records(t.repeated_feed()), t.stored_vacancies())
-    return fresh.select(
-        "vacancy_id", "query_string", "name", "salary_from", "salary_currency", "address_metro_stations", "schedule"
-    )
+    return fresh.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -552,7 +550,8 @@ def csv_after_preamble(t: Roles) -> DataFrame:
     file = head.unionByName(body).coalesce(1).sortWithinPartitions("n")
     file.select("value").write.text(path)
     read = readers.read_csv_after_preamble(t.spark, path, schemas.yearly(FIRST_YEAR, LAST_YEAR), 3)
-    return read.select(F.col("Country Name").alias("name"), *[F.col(f"`{y}`").alias(f"y{y}") for y in (1995, 1998, 2002)])
+    years = [F.col(f"`{y}`").alias(f"y{y}") for y in range(FIRST_YEAR, LAST_YEAR + 1)]
+    return read.select(F.col("Country Name").alias("name"), *years)
 
 
 @query
@@ -584,20 +583,18 @@ def feed_from_files(t: Roles) -> DataFrame:
     path = _scratch(t, "feed")
     t.feed().select("body").write.text(path)
     record = readers.read_records(t.spark, path, schemas.FEED_RECORD)
-    return record.select(
-        F.col("record.id").alias("vacancy_id"),
-        F.col("record.address.city").alias("address_city"),
-        F.col("record.salary.from").alias("salary_from"),
-        F.size("record.address.metro_stations").cast("bigint").alias("stations"),
-    )
+    found = ["added_at", "query_string", "query_type", "level", "direction"]
+    flat = vacancies.flatten_feed(record.select("record", *[F.lit("").alias(c) for c in found])).drop(*found)
+    return flat.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
 def append_sink(t: Roles) -> DataFrame:
-    path, orders = _scratch(t, "orders"), t.table("orders").drop("o_orderdate")
+    path, orders = _scratch(t, "orders"), t.table("orders")
     sinks.append_rows(orders.filter("o_orderstatus = 'F'"), path)
     sinks.append_rows(orders.filter("o_orderstatus <> 'F'"), path)
-    return readers.read_table(t.spark, path)
+    stored = readers.read_table(t.spark, path)
+    return stored.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -611,14 +608,16 @@ def created_table_latest(t: Roles) -> DataFrame:
             F.col("event_id").alias("row_idx"), F.lit(version).alias("version"), (F.col("value") * factor).alias("value")
         )
         rows.write.insertInto(name)
-    return ops.latest_by_key(t.spark.table(name), ["row_idx"], "version")
+    t.spark.sql(f"DROP TABLE {name}")  # its files stay
+    return ops.latest_by_key(readers.read_table(t.spark, path, ddl), ["row_idx"], "version")
 
 
 @query
 def partitioned_by_city(t: Roles) -> DataFrame:
     path = _scratch(t, "cities")
-    sinks.overwrite_by(city_leaderboard(t).select("board_city", "brewery_id", "venue_city", "rank"), path, ["board_city"])
-    return t.spark.read.schema("brewery_id bigint, venue_city string, rank bigint, board_city string").parquet(path)
+    board = city_leaderboard(t)
+    sinks.overwrite_by(board, path, ["board_city"])
+    return t.spark.read.schema(board.schema).parquet(path)
 
 
 @query
@@ -688,20 +687,56 @@ def stream_known_keys(t: Roles) -> DataFrame:
     return t.spark.read.schema("user_id bigint, event_type string").parquet(target)
 
 
-@query
-def stream_bounded_dedup(t: Roles) -> DataFrame:
-    """Files that arrive newest first, one per batch: every row but the first file's is late."""
-    source, target, checkpoint = (_scratch(t, label) for label in ("source", "target", "checkpoint"))
+def _event_files(t: Roles, parts: list[Column]) -> str:
+    """The events as files, one per condition, in this order."""
+    source = _scratch(t, "source")
+    events = t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet")
+    for part in parts:
+        events.filter(part).coalesce(1).write.mode("append").parquet(source)
+    return source
+
+
+def _newest_first(t: Roles, files: int) -> DataFrame:
+    """Files that arrive newest first, one per batch, every row twice: all but the first file's are late."""
     events = t.spark.read.schema(EVENTS).parquet(f"{t.folder}/events.parquet")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
-    for part in reversed(range(4)):
-        inside = F.col("ts") >= first + (last - first) * part / 4
-        if part < 3:
-            inside &= F.col("ts") < first + (last - first) * (part + 1) / 4
-        events.filter(inside).write.mode("append").parquet(source)
-    feed = ingest.read_feed(t.spark, source, EVENTS, "parquet", maxFilesPerTrigger="1")
-    ingest.store_recent_rows(feed.union(feed), target, checkpoint, ["event_id"], "ts", "1 hour").awaitTermination()
-    return ingest.known_rows(t.spark, target, EVENTS).select("event_id", "user_id")
+    parts = []
+    for part in reversed(range(files)):
+        inside = F.col("ts") >= first + (last - first) * part / files
+        if part < files - 1:
+            inside &= F.col("ts") < first + (last - first) * (part + 1) / files
+        parts.append(inside)
+    feed = ingest.read_feed(t.spark, _event_files(t, parts), EVENTS, "parquet", maxFilesPerTrigger="1")
+    return feed.union(feed)
+
+
+@query
+def stream_bounded_dedup(t: Roles) -> DataFrame:
+    """Files that arrive newest first: every row but the first file's is late."""
+    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
+    ingest.store_recent_rows(_newest_first(t, 4), target, checkpoint, ["event_id"], "ts", "1 hour").awaitTermination()
+    return ingest.known_rows(t.spark, target, EVENTS).drop(ingest.BATCH)
+
+
+@query
+def stream_bounded_state(t: Roles) -> DataFrame:
+    """The same with a memory that forgets: late rows are checked against the target."""
+    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
+    known = KnownKeys(_scratch(t, "known"), ["event_id"], 8, "ts")
+    feed = _newest_first(t, 6)
+    ingest.store_bounded_rows(feed, target, checkpoint, known, timedelta(hours=1), compact_every=2).awaitTermination()
+    return ingest.known_rows(t.spark, target, EVENTS).drop(ingest.BATCH)
+
+
+@query
+def stream_bucketed_keys(t: Roles) -> DataFrame:
+    """Every event arrives in two files; known keys lie in buckets that are merged on the way."""
+    target, checkpoint = _scratch(t, "target"), _scratch(t, "checkpoint")
+    parts = [F.pmod("event_id", F.lit(4)).isin(part, (part + 1) % 4) for part in range(4)]
+    feed = ingest.read_feed(t.spark, _event_files(t, parts), EVENTS, "parquet", maxFilesPerTrigger="1")
+    known = KnownKeys(_scratch(t, "known"), ["event_id", "event_type"], 8)
+    ingest.store_new_rows(feed, target, checkpoint, known.keys, known=known, compact_every=3).awaitTermination()
+    return ingest.known_rows(t.spark, target, EVENTS).drop(ingest.BATCH)
 
 
 @query
@@ -717,10 +752,12 @@ def stream_vacancy_feed(t: Roles) -> DataFrame:
     def accepted(batch: DataFrame) -> DataFrame:
         return vacancies.flatten_feed(vacancies.accepted_records(t.feed_records(batch)))
 
-    flat = "vacancy_id string, query_string string, name string"
-    run = ingest.store_new_rows(feed, target, checkpoint, vacancies.FEED_KEYS, ["published_at"], accepted, flat)
+    flat = ", ".join(f"{c} {kind}" for c, kind in accepted(t.feed()).dtypes)
+    known = KnownKeys(_scratch(t, "known"), vacancies.FEED_KEYS, 8)
+    run = ingest.store_new_rows(feed, target, checkpoint, known.keys, ["published_at"], accepted, flat, known)
     run.awaitTermination()
-    return ingest.known_rows(t.spark, target, flat).drop(ingest.BATCH)
+    stored = ingest.known_rows(t.spark, target, flat).drop(ingest.BATCH)
+    return stored.withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -737,7 +774,9 @@ def stream_postings(t: Roles) -> DataFrame:
         cards = vacancies.result_cards(batch, ["query_string", "country_code"])
         return vacancies.posting_rows(vacancies.accepted_cards(cards), t.rates(), t.price_index(), d.PRICING_DAY)
 
-    stored = "job_id string, query_string string, title string, month_salary_from_USD double, skills string"
-    run = ingest.store_new_rows(feed, target, checkpoint, vacancies.POSTING_KEYS, [], postings, stored)
+    stored = ", ".join(f"{c} {kind}" for c, kind in postings(t.result_pages()).dtypes)
+    known = KnownKeys(_scratch(t, "known"), vacancies.POSTING_KEYS, 8)
+    run = ingest.store_new_rows(feed, target, checkpoint, known.keys, [], postings, stored, known)
     run.awaitTermination()
-    return ingest.known_rows(t.spark, target, stored).drop(ingest.BATCH)
+    rows = ingest.known_rows(t.spark, target, stored).drop(ingest.BATCH)
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("job_added", "added_date")})
