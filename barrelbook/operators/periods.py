@@ -55,6 +55,19 @@ def two_window_totals(
     return scoped.groupBy(*keys).agg(*aggregates)
 
 
+def trailing_totals(
+    facts: DataFrame,
+    keys: Sequence[str],
+    as_of: str | date,
+    days: int,
+    moment: str = "created_at",
+    measure: str = "rating_score",
+) -> DataFrame:
+    """Sum and non-NULL count of ``measure`` per key in the trailing window."""
+    recent = facts.filter(in_trailing_window(F.col(moment), as_of, days))
+    return recent.groupBy(*keys).agg(F.sum(measure).alias("total"), F.count(measure).alias("checkins"))
+
+
 def merge_totals(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Roll finer two-window totals up to ``keys``."""
     columns = [f"{label}_{part}" for label in (NOW, BEFORE) for part in ("total", "checkins", "rows")]

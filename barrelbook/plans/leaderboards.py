@@ -7,11 +7,14 @@ are shuffled once as partial sums. Expected columns:
 - ``venues``: venue_id, venue_city, venue_country (and venue_name for ``top_venues``)
 - ``breweries``: brewery_id, brewery_name
 - ``beers``: beer_id, beer_name, beer_style
+
+``totals_of`` adds up the reviews: ``two_window_totals`` over check-ins, or
+``two_window_totals_of_days`` over stored days of them (see ``operators.partials``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -97,6 +100,7 @@ def _home_totals(
     days: int,
     previous_days: int,
     country: str,
+    totals_of: Callable[..., DataFrame],
 ) -> DataFrame:
     """Totals per ``keys`` (brewery, venue city), inside the country.
 
@@ -107,7 +111,7 @@ def _home_totals(
     at_home = F.col("venue_country") == country
     places = venues.select("venue_id", "venue_city", "venue_country")
     home = keep_first(places, ["venue_id"]).filter(at_home).drop("venue_country")
-    by_venue = two_window_totals(located, ["venue_id", "brewery_id"], as_of, days, previous_days)
+    by_venue = totals_of(located, ["venue_id", "brewery_id"], as_of, days, previous_days)
     return merge_totals(by_venue.join(home, "venue_id"), keys)
 
 
@@ -131,9 +135,10 @@ def brewery_ranks(
     previous_days: int = 30,
     min_checkins: int = 250,
     k: int = 10,
+    totals_of: Callable[..., DataFrame] = two_window_totals,
 ) -> DataFrame:
     """The top ``k`` breweries of each window, by mean rating."""
-    totals = _home_totals(reviews, venues, ["brewery_id"], as_of, days, previous_days, country)
+    totals = _home_totals(reviews, venues, ["brewery_id"], as_of, days, previous_days, country, totals_of)
     rated = window_rows(totals, ["brewery_id"]).filter(F.col("checkins") >= min_checkins)
     return top_k_within(rated, ["window"], _best("brewery_id"), k)
 
@@ -148,10 +153,11 @@ def brewery_leaderboard(
     previous_days: int = 30,
     min_checkins: int = 250,
     k: int = 10,
+    totals_of: Callable[..., DataFrame] = two_window_totals,
 ) -> DataFrame:
     """Top breweries of a country with their movement. Ranks are compared inside each
     window's own top ``k``, so a brewery that was below it before shows no movement."""
-    ranked = brewery_ranks(reviews, venues, as_of, country, days, previous_days, min_checkins, k)
+    ranked = brewery_ranks(reviews, venues, as_of, country, days, previous_days, min_checkins, k, totals_of)
     moved = _move_within_top(ranked, "brewery_id")
     named = dict_lookup(moved, breweries.select("brewery_id", "brewery_name"), "brewery_id", {"brewery_name": ""})
     return named.select(
@@ -175,6 +181,7 @@ def city_leaderboard(
     days: int = 30,
     previous_days: int = 30,
     board_cities: Mapping[str, str] | None = BOARD_CITIES,
+    totals_of: Callable[..., DataFrame] = two_window_totals,
 ) -> DataFrame:
     """Full brewery ranking of every board city in one job.
 
@@ -182,7 +189,7 @@ def city_leaderboard(
     venue city a board of its own. A brewery listed under both spellings has two rows and,
     if that was so before, no previous rank.
     """
-    totals = _home_totals(reviews, venues, ["venue_city", "brewery_id"], as_of, days, previous_days, country)
+    totals = _home_totals(reviews, venues, ["venue_city", "brewery_id"], as_of, days, previous_days, country, totals_of)
     if board_cities is None:
         boards = totals.withColumn("board_city", F.col("venue_city"))
     else:
@@ -247,9 +254,15 @@ def _beer_output(moved: DataFrame) -> DataFrame:
     )
 
 
-def beer_totals(reviews: DataFrame, as_of: str | date, days: int = 30, previous_days: int = 30) -> DataFrame:
+def beer_totals(
+    reviews: DataFrame,
+    as_of: str | date,
+    days: int = 30,
+    previous_days: int = 30,
+    totals_of: Callable[..., DataFrame] = two_window_totals,
+) -> DataFrame:
     """Totals per beer and brewery in both windows, the input of both beer boards."""
-    return two_window_totals(reviews, ["beer_id", "brewery_id"], as_of, days, previous_days)
+    return totals_of(reviews, ["beer_id", "brewery_id"], as_of, days, previous_days)
 
 
 def best_beers(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -11,24 +12,26 @@ from pyspark.sql import functions as F
 from ..functions.numbers import age_class, days_to_years, ratio, size_class
 from ..functions.text import marker_label, median_label, short_marker_label
 from ..operators.joins import any_left_join, dict_lookup
-from ..operators.periods import in_trailing_window
+from ..operators.periods import in_trailing_window, trailing_totals
 
 # Captions of the short labels, by language.
 PRODUCT_CAPTIONS = {"short": "количество сортов пива", "short_en": "Beer range"}
 
 
-def brewery_means(reviews: DataFrame, as_of: str | date, days: int) -> DataFrame:
-    """Mean and number of ratings per brewery in the trailing window.
+def brewery_means(
+    reviews: DataFrame, as_of: str | date, days: int, totals_of: Callable[..., DataFrame] = trailing_totals
+) -> DataFrame:
+    """Mean and number of ratings per brewery in the trailing window. ``reviews`` are what
+    ``totals_of`` adds up: check-ins, or stored days of them.
 
     The mean over all ratings equals the sum over beers of (beer total / brewery count),
     see ``share_sum_means``; one pass and one shuffle instead of two of each.
     """
-    recent = reviews.filter(in_trailing_window(F.col("created_at"), as_of, days))
-    totals = recent.groupBy("brewery_id").agg(
-        F.sum("rating_score").alias("_total"), F.count("rating_score").alias("rating_count")
-    )
+    totals = totals_of(reviews, ["brewery_id"], as_of, days)
     return totals.select(
-        "brewery_id", ratio(F.col("_total"), F.col("rating_count")).alias("brewery_pure_average"), "rating_count"
+        "brewery_id",
+        ratio(F.col("total"), F.col("checkins")).alias("brewery_pure_average"),
+        F.col("checkins").alias("rating_count"),
     )
 
 
@@ -55,6 +58,7 @@ def brewery_scatter(
     min_count: int = 150,
     ascending: bool = False,
     label: str = "full",
+    totals_of: Callable[..., DataFrame] = trailing_totals,
 ) -> DataFrame:
     """The ``top_n`` best (or worst) breweries with enough ratings, described. ``label`` is
     ``full``, ``short`` or ``short_en``.
@@ -63,7 +67,7 @@ def brewery_scatter(
     brewery_name, beer_count; ``brewery_info`` has brewery_id, stats_age_on_service (days).
     A brewery without info counts as new (age 0).
     """
-    means = brewery_means(reviews, as_of, days).filter(F.col("rating_count") >= min_count)
+    means = brewery_means(reviews, as_of, days, totals_of).filter(F.col("rating_count") >= min_count)
     mean = F.col("brewery_pure_average")
     order = [mean.asc_nulls_last() if ascending else mean.desc_nulls_last(), F.col("brewery_id").asc()]
     top = means.orderBy(*order).limit(top_n)

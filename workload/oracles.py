@@ -228,6 +228,11 @@ SELECT brewery_id, median(brewery_pure_average) OVER () AS median_average,
        CAST(median(rating_count) OVER () AS DOUBLE) AS median_count
 FROM scatter"""
 
+ORACLES["line_item_medians"] = """
+SELECT CAST(median(l_quantity) AS DOUBLE) AS l_quantity, CAST(median(l_extendedprice) AS DOUBLE) AS l_extendedprice,
+       CAST(median(l_discount) AS DOUBLE) AS l_discount, CAST(median(l_orderkey) AS DOUBLE) AS l_orderkey
+FROM lineitem
+"""
 ORACLES["share_sum_mean"] = f"""
 WITH recent AS (
   SELECT l_partkey AS beer_id, l_suppkey AS brewery_id, l_quantity AS score
@@ -763,6 +768,17 @@ ORACLES["daily_refresh"] = " UNION ALL BY NAME ".join(
     )
 )
 
+ORACLES["incremental_refresh"] = ORACLES["daily_refresh"]
+_EVEN = _scatter("DESC", 100).replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_suppkey % 2 = 0)")
+ORACLES["catalogued_results"] = f"""
+WITH evens AS (WITH {_EVEN} SELECT brewery_id, rating_count, row_number() OVER (ORDER BY brewery_pure_average DESC, brewery_id) AS nth FROM scatter),
+everything AS (WITH {_scatter("DESC", 100)} SELECT brewery_id, rating_count FROM scatter)
+SELECT 0 AS step, 'miss' AS status, brewery_id, rating_count FROM evens
+UNION ALL SELECT 1, 'hit', brewery_id, rating_count FROM evens
+UNION ALL SELECT 2, 'miss', brewery_id, rating_count FROM evens WHERE nth <= 20
+UNION ALL SELECT 3, 'stale', brewery_id, rating_count FROM everything
+"""
+
 # Streams --------------------------------------------------------------------------------------
 
 ORACLES["stream_ingest_dedup"] = """

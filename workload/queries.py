@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from barrelbook import operators as ops
 from barrelbook.functions import dates, numbers, rules, salary, text
 from barrelbook.plans import accounts, catalogue, leaderboards, panel, refresh, regions, scatter, vacancies
 from barrelbook.session import scratch_path
-from barrelbook.sources import html, readers, schemas, sinks
+from barrelbook.operators import quantiles
+from barrelbook.sources import html, published, readers, schemas, sinks
 from barrelbook.streaming import ingest
 from barrelbook.streaming.known_keys import KnownKeys
 
@@ -127,6 +128,12 @@ def scatter_with_medians(t: Roles) -> DataFrame:
     return scatter.with_medians(brewery_scatter(t)).select("brewery_id", "median_average", "median_count")
 
 
+@query
+def line_item_medians(t: Roles) -> DataFrame:
+    """Exact medians of whole columns."""
+    return quantiles.exact_medians(t.table("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"])
+
+
 @query
 def share_sum_mean(t: Roles) -> DataFrame:
     means = scatter.share_sum_means(t.ratings(), AS_OF, DAYS)
@@ -640,15 +647,58 @@ def stored_or_computed(t: Roles) -> DataFrame:
 
 
 @query
-def daily_refresh(t: Roles) -> DataFrame:
-    paths = refresh.refresh(
-        t.reviews(), t.venues(), t.breweries(), t.brewery_info(), t.beers(), AS_OF, _scratch(t, "refresh"),
-        country=COUNTRY, days=DAYS, board_cities=BOARD_CITIES, scatter_days=DAYS, scatter_top=100, scatter_min_count=45,
-    )
-    stored = [readers.read_table(t.spark, path).withColumn("name", F.lit(name)) for name, path in paths.items()]
+def catalogued_results(t: Roles) -> DataFrame:
+    """A result asked for four times: computed, found, computed for other parameters, and computed again
+    after the check-ins have changed."""
+    root, source = _scratch(t, "results"), _scratch(t, "ratings")
+    t.ratings().filter("brewery_id % 2 = 0").write.parquet(source)
+
+    def compute(top_n: int) -> DataFrame:
+        ratings = readers.read_table(t.spark, source)
+        return scatter.brewery_scatter(ratings, t.breweries(), t.brewery_info(), AS_OF, DAYS, top_n=top_n, min_count=45)
+
+    def ask(step: int, top_n: int) -> DataFrame:
+        inputs = published.input_version(readers.read_table(t.spark, source))
+        found, status = published.result_for(t.spark, root, {"top_n": top_n}, inputs, compute)
+        return found.select(F.lit(step).alias("step"), F.lit(status).alias("status"), "brewery_id", "rating_count")
+
+    answers = [ask(0, 100), ask(1, 100), ask(2, 20)]
+    t.ratings().filter("brewery_id % 2 = 1").write.mode("append").parquet(source)
+    return functools.reduce(DataFrame.unionByName, [*answers, ask(3, 100)])
+
+
+_REFRESH = {
+    "country": COUNTRY, "days": DAYS, "board_cities": BOARD_CITIES, "scatter_days": DAYS, "scatter_top": 100,
+    "scatter_min_count": 45,
+}
+
+
+def _published(t: Roles, root: str) -> DataFrame:
+    names = published.current_version(t.spark, root).names
+    stored = [published.read_published(t.spark, root, name).withColumn("name", F.lit(name)) for name in names]
     return functools.reduce(functools.partial(DataFrame.unionByName, allowMissingColumns=True), stored)
 
 
+@query
+def daily_refresh(t: Roles) -> DataFrame:
+    root = _scratch(t, "refresh")
+    refresh.refresh(t.reviews(), t.venues(), t.breweries(), t.brewery_info(), t.beers(), AS_OF, root, **_REFRESH)
+    return _published(t, root)
+
+
+@query
+def incremental_refresh(t: Roles) -> DataFrame:
+    """The refresh of a day after that of the day before: it is given the check-ins of its day alone."""
+    root = _scratch(t, "refresh")
+    tables = (t.venues(), t.breweries(), t.brewery_info(), t.beers())
+    day_before = date.fromisoformat(AS_OF) - timedelta(days=1)
+    refresh.store_checkin_days(t.reviews(), root, day_before - timedelta(days=2 * DAYS), day_before)
+    refresh.refresh_from_days(t.spark, *tables, day_before, root, **_REFRESH)
+    refresh.store_checkin_days(t.reviews().filter(F.to_date("created_at") == AS_OF), root, AS_OF)
+    refresh.refresh_from_days(t.spark, *tables, AS_OF, root, **_REFRESH)
+    return _published(t, root)
+
+
 # Streams --------------------------------------------------------------------------------------
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
