@@ -1,9 +1,10 @@
 """A quality classifier: linear support vectors over n-grams scaled by naive Bayes ratios.
 
-The n-grams are runs of one to three word shapes: letter case, digits, trailing punctuation, and
-whether a word repeats the one before it. They are hashed to a fixed number of slots. Class
-log-count ratios come from every labelled training row; the support vectors are fitted by dual
-coordinate descent on at most ``SAMPLE`` of these rows, chosen by a hash of the id.
+The n-grams are runs of one or two lower-case words, and of one to three word shapes: letter case,
+digits, trailing punctuation, and whether a word repeats the one before it. Both kinds are hashed to a
+fixed number of slots. Class log-count ratios and support vectors, the latter by dual coordinate
+descent, are fitted on a bounded sample of the labelled rows: at most ``SAMPLE`` of them and
+``SAMPLE_BYTES`` of text, in the order of a hash of the id.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrelbook.session import checkpointed
-
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
-#: Labelled rows that the support vectors are fitted on.
-SAMPLE = 20_000
+#: Slots of shapes, then those of words.
+ALL_SLOTS = 2 * SLOTS
+#: Labelled rows that the model is fitted on, and the bytes of their texts; a row that is too long for the rest is passed over.
+SAMPLE, SAMPLE_BYTES = 20_000, 40_000_000
+#: Standard errors that the ratio of a word must exceed; else rare words learn the rows by heart.
+ERRORS = 2.0
 THRESHOLD = 0.3
 #: Shapes of words that a task remembers.
 REMEMBERED = 50_000
@@ -60,13 +64,22 @@ class Shapes(dict):
         return code
 
 
+class Words(dict):
+    """Shape (high 32 bits) and hash in lower case (low ones, 0 without letters) by word; bounded like shapes."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        core = word.strip(PUNCTUATION).lower().encode("utf-8", "surrogatepass")
+        self[word] = code = _shape(word) << 32 | (xxhash.xxh3_64_intdigest(core) & 0xFFFF_FFFF | 1 if core else 0)
+        return code
+
+
 _REPEATED = np.uint64(0xFFFF_FFFF_FFFF)
+_TOP = np.uint64(64 - SLOT_BITS)
 
 
-def features(text: str | None, shapes: Shapes) -> np.ndarray:
-    """Sorted slots of the n-grams of a text; the length in words counts as one more n-gram."""
-    words = (text or "").split()
-    codes = np.fromiter(map(shapes.__getitem__, words), dtype=np.uint64, count=len(words))
+def _shape_slots(words: list[str], codes: np.ndarray) -> np.ndarray:
     if len(words) > 1:
         same = np.fromiter(map(str.__eq__, words[1:], words), dtype=bool, count=len(words) - 1)
         codes[1:][same] = _REPEATED
@@ -79,10 +92,43 @@ def features(text: str | None, shapes: Shapes) -> np.ndarray:
             grams.append(two)
             if len(words) > 2:
                 grams.append((two[:-1] * np.uint64(37) + one[2:]) * _MIX)
-        slots = np.concatenate(grams) >> np.uint64(64 - SLOT_BITS)
+        slots = np.concatenate(grams) >> _TOP
     return np.unique(slots.astype(np.int32))
 
 
+def features(text: str | None, shapes: Shapes) -> np.ndarray:
+    """Sorted slots of the n-grams of shapes; the length in words counts as one more n-gram."""
+    words = (text or "").split()
+    return _shape_slots(words, np.fromiter(map(shapes.__getitem__, words), dtype=np.uint64, count=len(words)))
+
+
+def all_features(text: str | None, known: Words) -> np.ndarray:
+    """Sorted slots of the n-grams of shapes and of words."""
+    words = (text or "").split()
+    codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    with np.errstate(over="ignore"):
+        one = (codes & np.uint64(0xFFFF_FFFF)) * _MIX
+        one = one[one > 0]
+        two = (one[:-1] * np.uint64(31) + one[1:]) * _MIX
+        slots = np.unique((np.concatenate([one, two]) >> _TOP).astype(np.int32))
+    return np.concatenate([_shape_slots(words, codes >> np.uint64(32)), slots + np.int32(SLOTS)])
+
+
+def ratios_of(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Log-count ratios of the classes by slot, smoothed by one; those of words move towards 0 by
+    ``ERRORS`` standard errors."""
+    counts = np.ones((2, ALL_SLOTS))
+    for row, sign in zip(rows, y, strict=True):
+        counts[int(sign > 0), row] += 1
+    ratios = np.empty(ALL_SLOTS)
+    for part, errors in ((slice(0, SLOTS), 0.0), (slice(SLOTS, None), ERRORS)):
+        own = counts[:, part]
+        shares = own / own.sum(axis=1, keepdims=True)
+        ratio = np.log(shares[1] / shares[0])
+        ratios[part] = np.sign(ratio) * np.maximum(0, np.abs(ratio) - errors * np.sqrt((1 / own).sum(axis=0)))
+    return ratios
+
+
 def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 0.01, rounds: int = 10) -> np.ndarray:
     """Weights of a linear hinge-loss model by dual coordinate descent; the last one is the bias."""
     weights, alpha = np.zeros(len(scale) + 1), np.zeros(len(rows))
@@ -141,7 +187,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray) -> Model:
     """Fit on all rows; the calibration uses margins of rows that a half model has not seen."""
     if len(rows) == 0 or (y > 0).all() or (y < 0).all():
         share = (1 + (y > 0).sum()) / (2 + len(y))
-        return Model(np.zeros(SLOTS + 1), 0.0, float(np.log(share / (1 - share))))
+        return Model(np.zeros(ALL_SLOTS + 1), 0.0, float(np.log(share / (1 - share))))
     unseen, half = np.zeros(len(rows)), np.arange(len(rows)) % 2 == 0
     for part in (half, ~half):
         inside = np.flatnonzero(part)
@@ -158,70 +204,78 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes = Shapes()
-    for batch in batches:
-        rows = [features(t, shapes).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "slots"])
-
-
-def slots_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, slots)``: the n-grams of every row as packed 32-bit integers."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_slots, "doc_id long, slots binary")
-
-
-def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, SLOTS), dtype=np.int64)
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots of the n-grams; copies of a row are passed over as long as their row is remembered."""
+    words, seen = Words(), set()
     for batch in batches:
-        for slots, label in zip(batch.column("slots").to_pylist(), batch.column("label").to_pylist()):
-            counts[label, np.frombuffer(slots, np.int32)] += 1
-    used = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])], names=["slot", "bad", "good"]
-    )
+        found = []
+        for key, content in zip(batch.select(["doc_id", "th", "label"]).to_pylist(), batch.column("text"), strict=True):
+            key = tuple(key.values())
+            if key not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                found.append((*key, all_features(content.as_py(), words).tobytes()))
+        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "th", "label", "slots"]
+        )
 
 
-def train(slots: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from the labelled rows that are not held out; labels other than 0 and 1 are passed over.
+def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, sample: int, size: int) -> pa.Table:
+    """``doc_id, th, label, slots`` of the sampled rows. Ids and hashes are chosen before texts are looked at."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = own.withColumn("th", F.xxhash64("text"))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    marked = marked.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    place = F.xxhash64("doc_id")
+    here = own.select("doc_id", "th", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    met = here.groupBy("doc_id", "th").agg(F.max("size").alias("size")).join(marked.distinct(), "doc_id")
+    first = met.orderBy(place, "th", "label").limit(sample).collect()
+    chosen, room = [], size
+    for row in first:
+        if row["size"] <= room:
+            room -= row["size"]
+            chosen.append((row.doc_id, row.th, row.label))
+    schema = "doc_id long, th long, label int"
+    wanted = docs.sparkSession.createDataFrame(chosen, schema)  # at most ``sample`` short rows
+    rows = own.join(F.broadcast(wanted), ["doc_id", "th"]).select("doc_id", "th", "label", "text")
+    rows = rows.mapInArrow(_features, f"{schema}, slots binary")
+    return rows.groupBy("doc_id", "th", "label").agg(F.first("slots").alias("slots")).toArrow()
+
+
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    sample: int = SAMPLE,
+    size: int = SAMPLE_BYTES,
+) -> Model:
+    """Learn from labelled rows that are not held out; labels other than 0 and 1, and rows without
+    id, are passed over. A row that repeats teaches once, with each label it has.
 
     Without rows of both classes every text gets the smoothed share of good rows.
     """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    marked = marked.filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    known = checkpointed(slots.filter(~held_out(F.col("doc_id"))).join(marked, "doc_id"))
-    sums = (
-        known.select("slots", "label")
-        .mapInArrow(_label_counts, "slot long, bad long, good long")
-        .groupBy("slot")
-        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .toArrow()  # at most SLOTS rows
-    )
-    counts = np.ones((2, SLOTS))
-    place = sums["slot"].to_numpy()
-    counts[0, place] += sums["bad"].to_numpy()
-    counts[1, place] += sums["good"].to_numpy()
-    shares = counts / counts.sum(axis=1, keepdims=True)
-    ratios = np.log(shares[1] / shares[0])
-    # The last hash of the sample is found on hashes alone, so that no task holds long rows to sort.
-    place = F.xxhash64("doc_id")
-    last = known.select(place.alias("place")).orderBy("place").limit(sample).agg(F.max("place")).first()[0]
-    near = known.filter(place <= F.lit(last).cast("long"))
-    chosen = near.orderBy(place, "slots", "label").limit(sample).select("slots", "label").toArrow()
-    rows = [np.frombuffer(s, np.int32) for s in chosen["slots"].to_pylist()]
-    y = np.where(np.array(chosen["label"].to_pylist(), dtype=np.int64) == 1, 1.0, -1.0)
-    return fit(rows, y, ratios)
+    found = _sample(docs, labels, doc_id, text, label, sample, size)
+    found = found.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("label", "ascending")])
+    rows = [np.frombuffer(s.as_buffer(), np.int32) for s in found["slots"]]
+    y = np.where(found["label"].to_numpy() == 1, 1.0, -1.0)
+    return fit(rows, y, ratios_of(rows, y))
 
 
 def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with the score of their text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS + 1 weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ALL_SLOTS + 1 weights
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shapes = Shapes()
+        words = Words()
         for batch in texts:
-            yield pd.Series([shared.value.score(features(t, shapes)) for t in batch], dtype="float64")
+            yield pd.Series([shared.value.score(all_features(t, words)) for t in batch], dtype="float64")
 
     return docs.withColumn(name, scored(F.col(text)))
 
@@ -230,15 +284,8 @@ def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Only the text decides a score. NULL texts count as empty and get a score like any text;
-    repeated rows get equal scores; an empty table gives no rows. A document that is labelled
-    twice counts twice.
+    repeated rows get equal scores; an empty table gives no rows.
     """
-    slots = checkpointed(slots_of(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(train(slots, labels, sample=sample))
-
-    @F.pandas_udf("double")
-    def scored(rows: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(np.frombuffer(r, np.int32)) for r in rows], dtype="float64")
-
-    found = slots.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("slots").alias("score"))
+    scored = with_score(docs.select("doc_id", "text"), train(docs, labels, sample=sample), "score")
+    found = scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "score")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

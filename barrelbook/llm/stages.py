@@ -28,9 +28,12 @@ def _keyed(rows: DataFrame, text_hash) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the classifier rejects. Labels only teach; they do not decide."""
-    learned = docs.filter(~quality.held_out(F.col("doc_id")))
-    model = quality.train(quality.slots_of(learned), read_table(spark, f"{sf_dir}/labels.parquet"))
+    """Drop the documents that the classifier rejects. Labels only teach; they do not decide.
+
+    A NULL text is scored as empty, equal texts alike; without documents or labels of both classes
+    none or all stay. Other columns pass through.
+    """
+    model = quality.train(docs, read_table(spark, f"{sf_dir}/labels.parquet"))
     scored = quality.with_score(docs, model, "__score")
     return scored.filter(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
 

@@ -61,6 +61,80 @@ def test_scores_do_not_use_held_out_labels(spark):
     assert sorted(quality.scores(docs, labels).collect()) == sorted(quality.scores(docs, turned).collect())
 
 
+def worded(count, seed=3):
+    """Rows in like case and punctuation, whose label follows from their words alone."""
+    rng = random.Random(seed)
+    both = [f"word{i}" for i in range(80)]
+    own = {1: ["river", "forest", "granite", "harbour"], 0: ["casino", "jackpot", "viagra", "lottery"]}
+    rows = []
+    for i in range(count):
+        label = rng.randrange(2)
+        words = [rng.choice(both) for _ in range(40)]
+        for _ in range(3):
+            words.insert(rng.randrange(len(words)), rng.choice(own[label]))
+        rows.append((i, " ".join(words).capitalize() + ".", label))
+    return rows
+
+
+def test_labels_that_follow_from_words(spark, documents):
+    rows = worded(800)
+    labels = spark.createDataFrame([(i, label) for i, _, label in rows], "doc_id long, quality int")
+    found = quality.scores(documents([(i, text) for i, text, _ in rows]), labels).collect()
+    truth = {i: label for i, _, label in rows}
+    tested = [r.predicted == truth[r.doc_id] for r in found if r.held_out]
+    assert len(tested) > 100 and np.mean(tested) >= 0.95
+
+
+def brute(rows, labels):
+    """The query over lists: features, ratios, descent and curve from their definitions."""
+    words = quality.Words()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = sorted({(i, quality.all_features(t, words).tobytes(), y) for i, t in rows for j, y in labels if i == j and not held(i)})
+    slots = [np.frombuffer(s, np.int32) for _, s, _ in known]
+    signs = np.array([1.0 if y else -1.0 for _, _, y in known])
+    good = [set(s.tolist()) for s, y in zip(slots, signs, strict=True) if y > 0]
+    bad = [set(s.tolist()) for s, y in zip(slots, signs, strict=True) if y < 0]
+    ratios = quality.ratios_of(slots, signs)
+    used = {k for s in (*good, *bad) for k in s}
+    totals = [quality.SLOTS + sum(len([k for k in s if k < quality.SLOTS]) for s in part) for part in (good, bad)]
+    for k in [k for k in used if k < quality.SLOTS][:50]:
+        shares = [(1 + sum(k in s for s in part)) / total for part, total in zip((good, bad), totals, strict=True)]
+        assert abs(ratios[k] - np.log(shares[0] / shares[1])) < 1e-9
+    model = quality.fit(slots, signs, ratios)
+    scores = {}
+    for i, text in rows:
+        own = quality.all_features(text, words)
+        z = model.slope * (sum(model.weights[k] for k in own) + model.weights[-1]) + model.shift
+        scores[i] = 1 / (1 + np.exp(-z))
+    return scores
+
+
+def test_scores_as_by_brute_force(spark, documents):
+    rows = [(i, text) for i, text, _ in worded(120, 5)] + [(500, None), (501, "")]
+    labels = [(i, label) for i, _, label in worded(120, 5) if i % 3]
+    expected = brute(rows, labels)
+    found = quality.scores(documents(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert abs(r.score - expected[r.doc_id]) < 1e-6 and r.predicted == (r.score >= 0.3)
+
+
+def test_an_id_with_very_many_rows_teaches_once_a_text(spark, documents):
+    rows = [(i, text) for i, text, _ in worded(60)]
+    labels = spark.createDataFrame([(i, label) for i, _, label in worded(60)], "doc_id long, quality int")
+    once = {r.doc_id: r.score for r in quality.scores(documents(rows), labels).collect()}
+    often = quality.scores(documents([*rows, *[rows[7]] * 500]), labels.union(labels)).collect()
+    assert len(often) == 560 and all(r.score == once[r.doc_id] for r in often)
+
+
+def test_the_sample_is_bounded(spark, documents):
+    rows = [(i, text) for i, text, _ in worded(60)] + [(1001, "long text " * 1000)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows], "doc_id long, quality int")
+    found = quality._sample(documents(rows), labels, "doc_id", "text", "quality", 20, 3000)
+    sizes = {i: len(t) for i, t in rows}
+    assert 1 <= found.num_rows <= 20 and sum(sizes[i] for i in found["doc_id"].to_pylist()) <= 3000
+
+
 def test_edges(spark, documents, clashing):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["one", "two", "Three"]) for _ in range(20)) + ".") for i in range(60)]
