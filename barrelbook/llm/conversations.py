@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barrelbook.operators.ranking import rank_within
-from barrelbook.session import checkpointed
+from barrelbook.session import checkpointed, scratch_path
 
 #: White space of the faults: blank and tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
@@ -263,7 +263,9 @@ def repair(rows: DataFrame, conversations: DataFrame, *, conv_id="conv_id", turn
         F.coalesce(text, F.lit(" ")).alias("text"),
     )
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
-    placed = checkpointed(rank_within(own, ["conversation"], order, "position"))
+    path = scratch_path(rows.sparkSession, "turns")
+    rank_within(own, ["conversation"], order, "position").write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
     trimmed = F.rtrim("text", F.lit(SPACE))
     facts = placed.select(
         "conversation",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ WINDOW = 1_024
 #: Open windows that a task keeps; beyond that they are closed like those at the end.
 OPEN_WINDOWS = 8_192
 END_OF_DOCUMENT = 0
+#: White space in a row from which a text is encoded by the whole tokenizer.
+LONG_RUN = 100_000
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, "
     "sequence_id long, offset long, sequence_tokens long"
@@ -40,16 +43,33 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
 
 def byte_pair_encoder(ranks: str, pattern: str, vocabulary: str | None = None) -> Callable[[], Callable[[str], np.ndarray]]:
     """A maker of encoders for a file of ranks and the added tokens of ``vocabulary``, a tokenizer's
-    JSON file; files are read where the encoder is used."""
+    JSON file; files are read where the encoder is used.
+
+    The pattern looks ahead after white space, which the fast encoder can't do over very long runs of
+    it; texts with such runs are encoded by the tokenizer of the JSON file itself.
+    """
 
     def make() -> Callable[[str], np.ndarray]:
         import tiktoken
+        from tokenizers import Tokenizer
 
+        long_run = re.compile(rf"\s{{{LONG_RUN}}}")
         with open(ranks, "rb") as file:
             merges = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
         added = added_tokens(vocabulary) if vocabulary else {}
         encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=merges, special_tokens=added)
-        return lambda text: np.asarray(encoding.encode(text, allowed_special="all"), dtype="<u4")
+        whole: list[Tokenizer] = []  # read when a text needs it
+
+        def encode(text: str) -> np.ndarray:
+            if len(text) < LONG_RUN or not long_run.search(text):
+                return np.asarray(encoding.encode(text, allowed_special="all"), dtype="<u4")
+            if vocabulary is None:
+                raise ValueError("a text with a very long run of white space needs the tokenizer's JSON file")
+            if not whole:
+                whole.append(Tokenizer.from_file(vocabulary))
+            return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+        return encode
 
     return make
 

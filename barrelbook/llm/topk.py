@@ -8,6 +8,8 @@ pass keeps what lies above the kth score, and the smallest ids among its ties.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,26 +27,36 @@ TILE = 1 << 21
 #: Every round splits the bin that holds the kth score into this many powers of two.
 ROUND_BITS = 10
 SCALE = 256
-_LOW = -(1 << 62)
+#: Below every score; the lowest score that is told from it.
+_LOW, _LEAST = np.iinfo(np.int64).min, np.iinfo(np.int64).min + 1
+_MOST = np.iinfo(np.int64).max
 
 
 def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """``(vec_id, v)`` with ``floor(scale * x)`` of every component, without unusable vectors."""
-    values = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale))
+    """``(vec_id, v)`` with ``floor(scale * x)`` of every component, without unusable vectors.
+
+    ``scale`` is a power of two. The whole numbers are kept as doubles, which hold them exactly: from
+    2^53 on every double is a whole number.
+    """
+
+    def whole(x: Column) -> Column:
+        scaled = F.least(F.greatest(x.cast("double") * scale, F.lit(-sys.float_info.max)), F.lit(sys.float_info.max))
+        return F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled).cast("double")).otherwise(scaled)
+
     usable = F.col(vector).isNotNull() & F.forall(
-        F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float(1 << 44) / scale)
+        F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     )
-    return vectors.filter(usable).select(F.col(vec_id).cast("long").alias("vec_id"), values.alias("v"))
+    return vectors.filter(usable).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, whole).alias("v"))
 
 
 def _matrix(column: pa.ListArray, width: int | None = None) -> np.ndarray:
     """Rows of a list column, cut or filled with zeros to ``width``."""
     lengths = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     width = int(lengths.max(initial=0)) if width is None else width
     if (lengths == width).all():
         return flat.reshape(-1, width)
-    out = np.zeros((len(lengths), width), dtype=np.int64)
+    out = np.zeros((len(lengths), width))
     rows = np.repeat(np.arange(len(lengths)), lengths)
     places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     inside = places < width
@@ -52,13 +64,30 @@ def _matrix(column: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out
 
 
-def _products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles while they are exact there, else in 64-bit integers."""
-    high = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0))
-    if high * max(1, queries.shape[1]) < 1 << 53:
-        return (queries.astype(np.float64) @ candidates.T.astype(np.float64)).astype(np.int64)
-    exact = queries.astype(object) @ candidates.T.astype(object)
-    return np.clip(exact, _LOW + 1, -_LOW).astype(np.int64)
+def _large(rows: np.ndarray) -> np.ndarray:
+    """Rows with components so large that sums of products may not be exact in doubles."""
+    limit = math.isqrt((1 << 53) // max(1, rows.shape[1]))
+    return np.abs(rows).max(axis=1, initial=0) >= limit
+
+
+def _exact(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Products in whole numbers of any length; what a 64-bit integer can't hold counts as its end."""
+    left, right = (np.array([[int(x) for x in row] for row in rows.tolist()], dtype=object) for rows in (queries, candidates))
+    products = left.reshape(queries.shape) @ right.reshape(candidates.shape).T
+    return np.array([[min(max(x, _LEAST), _MOST) for x in row] for row in products], dtype=np.int64).reshape(products.shape)
+
+
+def _products(queries: np.ndarray, candidates: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Integer inner products: in doubles, exact for rows of ordinary size, and for ``large`` queries
+    and candidates one by one in whole numbers, so that a few of them slow down no other."""
+    odd = _large(candidates)
+    if not large.any() and not odd.any():
+        return (queries @ candidates.T).astype(np.int64)
+    scores = np.empty((len(queries), len(candidates)), dtype=np.int64)
+    scores[np.ix_(~large, ~odd)] = queries[~large] @ candidates[~odd].T
+    scores[large] = _exact(queries[large], candidates)
+    scores[np.ix_(~large, odd)] = _exact(queries[~large], candidates[odd])
+    return scores
 
 
 class Block:
@@ -66,8 +95,9 @@ class Block:
 
     def __init__(self, ids: list[int], vectors: list[list[int]]):
         self.ids = np.array(ids, dtype=np.int64)
-        self.vectors = _matrix(pa.array(vectors, pa.list_(pa.int64())))
-        self.low = np.full(len(ids), _LOW + 1)
+        self.vectors = _matrix(pa.array(vectors, pa.list_(pa.float64())))
+        self.large = _large(self.vectors)
+        self.low = np.full(len(ids), _LEAST)
 
     def tiles(self, batches: Iterator[pa.RecordBatch]):
         """Scores tile by tile; a query's own row scores below everything."""
@@ -79,7 +109,7 @@ class Block:
                 continue
             step = max(1, TILE // len(ids))
             for start in range(0, len(self.ids), step):
-                scores = _products(self.vectors[start : start + step], candidates)
+                scores = _products(self.vectors[start : start + step], candidates, self.large[start : start + step])
                 scores[self.ids[start : start + step, None] == ids[None, :]] = _LOW
                 yield start, ids, scores
 
@@ -184,11 +214,12 @@ def top_k(
     """``query_id, rank, vec_id, score``: the ``k`` best rows for each row that ``queries`` selects.
 
     Scores are integer inner products of ``floor(scale * x)``; ties go to the smaller id. Vectors
-    that are NULL, or hold NULL, NaN, infinite or 44-bit components, take no part, nor do rows
+    that are NULL, or hold NULL, NaN or infinite components, take no part, nor do rows
     without id; a missing component of a shorter vector is zero. All rows under a query's id are
     its own and no candidates of it; other repeated rows are candidates of their own. If an id
-    selected as query has several vectors, the smallest asks. Scores of more than 62 bits count as
-    62-bit ones. An empty table gives no rows.
+    selected as query has several vectors, the smallest asks. Scores are exact for components of
+    any size; what does not fit the 64-bit score counts as its least or greatest. An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     usable = quantised(vectors, vec_id, vector, scale)
@@ -198,11 +229,11 @@ def top_k(
         F.max(F.size("v")).alias("width"),
         F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))).alias("high"),
     ).first()
-    bits = max(1, (max(1, widest.width or 0) * (widest.high or 0) ** 2).bit_length())
+    bits = max(1, (max(1, widest.width or 0) * int(widest.high or 0) ** 2).bit_length())
     path = scratch_path(spark, "top-k")
     schema = "query_id long, rank int, vec_id long, score long"
     for part in _blocks(asking, block):
-        found = _search(part, usable, k, min(bits, 62)).select("query_id", "rank", "vec_id", "score")
+        found = _search(part, usable, k, min(bits, 63)).select("query_id", "rank", "vec_id", "score")
         found.write.mode("append").parquet(path)
     empty = spark.createDataFrame([], schema)
     empty.write.mode("append").parquet(path)

@@ -129,3 +129,13 @@ def test_pieces_of_documents(spark, documents, clashing, reference):
         assert {p.sequence_tokens for p in held} == {size}
         assert size == 1024 or size & (size - 1) == 0 and size < 1024
     assert packing.pack(documents([]), MAKE).collect() == []
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\t" * 2_000_000 + "x", "w \n" * 10 + " \n" * 200_000 + "end"])
+def test_very_long_runs_of_white_space(spark, documents, reference, run):
+    ids = reference(run)
+    assert QUERY_ENCODER(run).tolist() == ids
+    rows = packing.pack(documents([(1, run), (2, "a b")], 1), queries.encoder()).collect()
+    pieces = sorted((r.start, r.ids) for r in rows if r.doc_id == 1)
+    found = np.concatenate([np.frombuffer(i, "<u4") for _, i in pieces])
+    assert found.tolist() == [*ids, 0]

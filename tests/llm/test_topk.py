@@ -54,3 +54,29 @@ def test_given_embeddings(spark):
     found = topk.top_k(table, F.col("vec_id") % 50 == 0)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
     assert got == sorted(brute(rows, lambda i: i % 50 == 0, 5))
+
+
+def test_the_best_is_found_whatever_its_size(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0]), (3, [1e11, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(frame, F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(3, 256 * 256 * 10**11), (1, 2**15), (2, 2**14)]
+
+
+def test_large_components_beside_small_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) * 2.0 ** rng.choice([0, 1, 20, 40], size=4)).tolist()) for i in range(80)]
+    rows = [(i, [min(max(x, -4.0), 4.0) if i % 5 == 0 else x for x in v]) for i, v in rows]  # the scores fit 64 bits
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = topk.top_k(frame, F.col("vec_id") % 5 == 0, block=7)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    assert got == sorted(brute(rows, lambda i: i % 5 == 0, 5))
+    assert max(abs(s) for *_, s in got) > 1 << 53
+
+
+def test_scores_beyond_64_bits_count_as_the_ends(spark):
+    rows = [(0, [1e300]), (1, [1e300]), (2, [-1e300]), (3, [1.0]), (4, [0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(topk.top_k(frame, F.col("vec_id") == 0).collect(), key=lambda r: r["rank"])
+    most = (1 << 63) - 1
+    assert [(r.vec_id, r.score) for r in found] == [(1, most), (3, most), (4, 0), (2, -most)]
