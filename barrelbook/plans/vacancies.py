@@ -58,7 +58,8 @@ CARD_FIELDS = {
     "rating_text": ("span", "ratingsContent", None),
     "remote_label": ("span", "remote", None),
 }
-PAGE_FIELDS = {"bad_query": (None, "bad_query", None), "caption": ("div", "#searchCountPages", None)}
+BAD_QUERY = "bad_query"
+PAGE_FIELDS = {"bad_query": (None, BAD_QUERY, None), "caption": ("div", "#searchCountPages", None)}
 
 
 def _lookup(code: Column, names: Mapping[str, str], default: Column) -> Column:
@@ -174,7 +175,7 @@ def export_view(df: DataFrame) -> DataFrame:
 
 def result_cards(pages: DataFrame, keep: list[str]) -> DataFrame:
     """One row per result card. Pages that report a bad query have no cards."""
-    return extract_items(pages.filter(~reports_bad_query(F.col("html"))), "html", CARD_FIELDS, keep, CARD)
+    return extract_items(pages, "html", CARD_FIELDS, keep, CARD, unless=BAD_QUERY)
 
 
 def reports_bad_query(html: Column) -> Column:

@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", app: str = "barrelbook", **conf: str)
         "spark.sql.shuffle.partitions": str(parallelism),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.barrelbook.partitions": str(parallelism),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",

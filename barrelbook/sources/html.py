@@ -31,13 +31,20 @@ def page_title(html: Column) -> Column:
     return F.when(html.rlike(r"(?is)<title[^>]*>.*?</title>"), F.btrim(unescape(found)))
 
 
+def shown(html: Column) -> Column:
+    """The page without comments, scripts and styles."""
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+    return F.when(html.rlike(r"(?i)<(?:!--|script|style)"), F.regexp_replace(html, hidden, "")).otherwise(html)
+
+
 def page_links(pages: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
-    """One row per link with its position, target and text."""
+    """One row per link with its position, target and text. Comments, scripts and styles have no links."""
+    pages = pages.select(*keep, shown(F.col(html)).alias("_shown"))
     within = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""  # whole values, so that none is taken for a name
     pattern = (
         rf"""(?is)<a(?=\s){within}\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)){within}>(.*?)</a>"""
     )
-    found = [F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(group)) for group in (1, 2, 3, 4)]
+    found = [F.regexp_extract_all("_shown", F.lit(pattern), F.lit(group)) for group in (1, 2, 3, 4)]
     targets = F.transform(F.arrays_zip(*[f.alias(f"v{i}") for i, f in enumerate(found[:3])]), lambda v: F.concat(v["v0"], v["v1"], v["v2"]))
     texts = found[3]
     pairs = pages.select(*keep, F.posexplode(F.arrays_zip(targets.alias("href"), texts.alias("text"))))
@@ -55,12 +62,14 @@ def extract_items(
     fields: Mapping[str, tuple[str | None, str | None, str | None]],
     keep: Sequence[str],
     item: tuple[str, str | None] | None = None,
+    unless: str | None = None,
 ) -> DataFrame:
     """One row per element ``item = (tag, class)``, or per page without ``item``.
 
     ``fields`` names what to take from inside: ``(tag, class, attribute)``, where None
     matches any tag or class, ``#name`` in place of a class matches the id, and no
     attribute means the text of the first match.
+    A page with an element of the class ``unless`` has no items.
     The tag ``ITSELF`` addresses the item's own attributes. Absent fields are NULL. An item
     nested in another belongs to the outer one.
     """
@@ -162,10 +171,16 @@ def extract_items(
                 done.append(current)
             return done
 
+        def excluded(page):
+            if unless is None or not possible(unless, page):
+                return False
+            return any(raw and fits(unless, attributes(raw)) for _, _, raw in markup.findall(page) if possible(unless, raw))
+
         for batch in batches:
             rows = [
                 (*record[:-1], position, *[found.get(name) for name in specs])
                 for record in batch.itertuples(index=False)
+                if not excluded(record[-1] or "")
                 for position, found in enumerate(items(record[-1] or ""))
             ]
             yield pd.DataFrame(rows, columns=[*keep, "position", *specs])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,50 @@ def test_bad_query_pages_have_no_cards(spark):
     flags = pages.select("page", vacancies.reports_bad_query(F.col("html")).alias("bad"))
     assert [(r.page, r.bad) for r in flags.orderBy("page").collect()] == [(1, True), (2, True), (3, True), (4, False)]
     assert {r.page for r in vacancies.result_cards(pages, ["page"]).collect()} <= {4}
+
+
+VALUES = [None, "", "plain", "a,b", 'said "so"', "two\nlines", "\n", '"', "\r\n dos", "end\n\n\n", " blank ", "é😀", '",\n"', "x" * 300]
+
+
+def test_csv_with_line_breaks_in_many_tasks(spark):
+    """One file cut in blocks at any place gives the records that one task reads."""
+    pick = random.Random(8)
+    rows = [(i, pick.choice(VALUES), pick.choice(VALUES)) for i in range(3000)]
+    ddl, path = "id bigint, `first name` string, last string", scratch_path(spark, "csv")
+    frame = spark.createDataFrame(rows, ddl)
+    sinks.overwrite_csv(frame.coalesce(1), path)
+    whole = spark.read.schema(ddl).options(header=True, multiLine=True, **readers._CSV).csv(path)
+    expected = sorted(map(tuple, whole.collect()))
+    assert expected == rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (1 << 12, 1 << 14, 1 << 27):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            scan = spark.read.option("lineSep", "\n").text(path)
+            assert (scan.rdd.getNumPartitions() > 20) == (size == 1 << 12)
+            assert sorted(map(tuple, readers.read_csv(spark, path, ddl, multiline=True).collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_csv_with_line_breaks_without_header_and_in_several_files(spark):
+    rows = [(i, VALUES[i % len(VALUES)]) for i in range(200)]
+    path = scratch_path(spark, "csv")
+    sinks.overwrite_csv(spark.createDataFrame(rows, "id bigint, text string").repartition(7), path, header=False)
+    assert sorted(map(tuple, readers.read_csv(spark, path, "id bigint, text string", False, True).collect())) == rows
+    empty = scratch_path(spark, "csv")
+    sinks.overwrite_csv(spark.createDataFrame([], "id bigint, text string"), empty)
+    assert readers.read_csv(spark, empty, "id bigint, text string", multiline=True).count() == 0
+
+
+def test_links_in_comments_and_scripts_do_not_count(spark):
+    page = '<!-- <a href="/c">c</a> --><SCRIPT>"<a href=/s>s</a>"</SCRIPT><a href="/x"><!-- y -->x</a><style>a{}</style><!-- <a href=/z>z</a>'
+    found = html.page_links(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"])
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "/x", "x")]
+
+
+def test_pages_that_report_a_bad_query_have_no_cards(spark):
+    card = '<div class="jobsearch-SerpJobCard" id="p_1"><a class="jobtitle">t</a></div>'
+    notices = ["", '<p class="x bad_query">', "<!-- <p class=bad_query> -->", '<p class="bad_query2">', "<p class=bad_query>"]
+    pages = spark.createDataFrame([(i, card + n) for i, n in enumerate(notices)], "id int, html string")
+    assert sorted(r.id for r in vacancies.result_cards(pages, ["id"]).collect()) == [0, 2, 3]

@@ -600,7 +600,7 @@ CARDS = f"""cards AS (
     CASE WHEN o_orderkey % 3 = 0 THEN 'Remote' END AS remote_label
   FROM (SELECT *, o_orderkey * 2 + j AS number, {d.query('o_orderkey')} AS query_string,
                {d.COUNTRY_CODE} AS country_code, {COUNTRY} AS country, {COST} AS cost
-        FROM {LOCATED} CROSS JOIN (SELECT unnest([0, 1]) AS j)))"""
+        FROM {LOCATED} CROSS JOIN (SELECT unnest([0, 1]) AS j)) WHERE o_orderkey % 11 <> 0)"""
 ORACLES["html_cards"] = f"""
 WITH {CARDS} SELECT * EXCLUDE (query_string, o_orderstatus, country_code, country, cost) FROM cards
 """
@@ -623,7 +623,7 @@ FROM accepted
 """
 
 ORACLES["page_summaries"] = f"""
-SELECT o_orderkey AS page_id, 0 AS bad_query, {d.AMOUNT} AS results FROM {LOCATED}
+SELECT o_orderkey AS page_id, CAST(o_orderkey % 11 = 0 AS INT) AS bad_query, {d.AMOUNT} AS results FROM {LOCATED}
 """
 
 # Accounts and catalogue --------------------------------------------------------------------
@@ -714,8 +714,9 @@ def _links(pattern: str) -> str:
     return f"""
 SELECT page_id, CAST(generate_subscripts(targets, 1) - 1 AS BIGINT) AS position,
        {_unescaped('unnest(targets)')} AS href, {_unescaped("regexp_replace(unnest(texts), '<[^>]*>', '', 'g')")} AS text
-FROM (SELECT page_id, regexp_extract_all(html, '{pattern}', 1) AS targets,
-             regexp_extract_all(html, '{pattern}', 2) AS texts FROM pages)
+FROM (SELECT page_id, regexp_extract_all(shown, '{pattern}', 1) AS targets,
+             regexp_extract_all(shown, '{pattern}', 2) AS texts
+      FROM (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS shown FROM pages))
 """
 
 

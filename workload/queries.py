@@ -518,7 +518,8 @@ def html_titles(t: Roles) -> DataFrame:
 
 @query
 def html_links(t: Roles) -> DataFrame:
-    return html.page_links(t.texts("pages"), "html", ["page_id"])
+    hidden = F.lit('<!-- <a href="/hidden">h</a> --><script>"<a href=/no>x</a>"</script>')
+    return html.page_links(t.texts("pages").withColumn("html", F.concat(hidden, "html")), "html", ["page_id"])
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrelbook.plans.vacancies import country_name
-from barrelbook.sources.readers import parse_records, read_table, spread
+from barrelbook.sources.readers import parse_records, read_table
 from barrelbook.sources.schemas import FEED_RECORD
 
 from . import derived as d
@@ -45,8 +45,10 @@ class Roles:
         return read_table(self.spark, f"{self.folder}/{name}.parquet", SCHEMAS[name])
 
     def texts(self, name: str) -> DataFrame:
-        """A table whose rows are parsed one by one, on all cores."""
-        return spread(self.table(name))
+        """A table whose rows are parsed one by one. The given files can't be split; a session that
+        sets ``spark.barrelbook.partitions``, as local ones do, deals their rows out first."""
+        table, parts = self.table(name), self.spark.conf.get("spark.barrelbook.partitions", None)
+        return table.repartition(int(parts)) if parts else table
 
     # Check-ins ---------------------------------------------------------------
 
@@ -273,7 +275,7 @@ class Roles:
         )
 
     def result_pages(self) -> DataFrame:
-        """One result page with two cards per order."""
+        """One result page with two cards per order; every eleventh page reports a bad query."""
 
         def card(j: int) -> Column:
             number = f"(o_orderkey * 2 + {j})"
@@ -303,7 +305,9 @@ class Roles:
 
         page = F.concat(
             F.lit('<!DOCTYPE html><html><body><div id="searchCountPages">'), F.expr(d.caption(d.COUNTRY_CODE)),
-            F.lit("</div><td>"), card(0), card(1), F.lit("</td></body></html>"),
+            F.lit("</div><td>"), card(0), card(1), F.lit("</td>"),
+            F.when(F.col("o_orderkey") % 11 == 0, '<p class="notice bad_query">?</p>').otherwise(F.lit("<!-- bad_query -->")),
+            F.lit("</body></html>"),
         )
         return self._located_orders(self.texts("orders")).select(
             F.col("o_orderkey").alias("page_id"),
