@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -39,7 +40,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 RAW = frozenset("script style noscript template textarea title svg math iframe object select head canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
     "optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -52,9 +53,16 @@ ASIDE_WORDS = frozenset(
     "navigation newsletter notice notification pagination popup promo related reply replies respond search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those that name an aside inside of an article too, whatever other classes stand beside them.
+PLAIN_ASIDES = frozenset(
+    "ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments cookie cookies disqus "
+    "gdpr modal nav navbar navigation newsletter pagination popup sidebar signup sponsored subscribe".split()
+)
+#: Elements of running text: inside of an article no class makes them an aside.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre a b i em strong span mark u s q cite code small sub sup".split())
 TEXT = frozenset(("article", "main"))
 #: Parts of class names and ids that say nothing beside words of ASIDE_WORDS.
-NEUTRAL = frozenset("area block body box card content div entry item list post section thread wrapper".split())
+NEUTRAL = frozenset("area block body box card content div entry item items list post posts section thread wrapper".split())
 
 
 def _names_aside(rest: str) -> bool:
@@ -83,6 +91,8 @@ def _ends(page: str) -> dict[int, int]:
 
 
 def _is_aside(name: str, rest: str, inside_text: bool) -> bool:
+    """Whether an element is no article text. Inside of an article a class or id says so only if all
+    its words do, or one of PLAIN_ASIDES stands alone, and never of running text."""
     if name in ASIDE or (name == "header" and not inside_text):
         return True
     if name == "article" and _names_aside(rest):
@@ -94,7 +104,13 @@ def _is_aside(name: str, rest: str, inside_text: bool) -> bool:
         value = (match[2] or match[3] or match[4] or "").lower()
         if key in ("class", "id", "role"):
             words = _WORD.findall(value)
-            if not ASIDE_WORDS.isdisjoint(words) or (key == "role" and "form" in words):
+            if key == "role" and "form" in words:
+                return True
+            if inside_text and key != "role":
+                said = {w for w in words if not w.isdigit()} - NEUTRAL
+                if name not in RUNNING and said and (said <= ASIDE_WORDS or not PLAIN_ASIDES.isdisjoint(value.split())):
+                    return True
+            elif not ASIDE_WORDS.isdisjoint(words):
                 return True
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
@@ -188,23 +204,54 @@ def text_lines(page: str | None) -> list[tuple[str, bool]]:
     return lines
 
 
-def aligned(left: list[int], right: list[int]) -> list[int]:
-    """Places in ``left`` of a longest common subsequence, bit-parallel over ``right``."""
-    begin = 0
-    while begin < min(len(left), len(right)) and left[begin] == right[begin]:
-        begin += 1
-    end = 0
-    while end < min(len(left), len(right)) - begin and left[-1 - end] == right[-1 - end]:
-        end += 1
-    a, b = left[begin : len(left) - end], right[begin : len(right) - end]
-    places: dict[int, int] = {}
+#: Bits of the rows that an alignment keeps at a time.
+ROW_BITS = 1 << 28
+
+
+def _step(row: int, full: int, hits: list[int]) -> int:
+    """The next row of the alignment: a zero at j is one more match with the right side up to j."""
+    hit = 0
+    for j in hits:
+        hit |= 1 << j
+    hit &= row
+    return ((row + hit) | (row - hit)) & full
+
+
+def _places(b: list[int]) -> dict[int, list[int]]:
+    places: dict[int, list[int]] = {}
     for j, value in enumerate(b):
-        places[value] = places.get(value, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row, rows = full, []  # a zero at j: one more match with b up to j
+        places.setdefault(value, []).append(j)
+    return places
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``."""
+    places, full = _places(b), (1 << len(b)) - 1
+    row = full
+    for value in a:
+        if value in places:
+            row = _step(row, full, places[value])
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits[: len(b)].astype(np.int64))])
+
+
+def _matches(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence. Rows that would take more than ``ROW_BITS`` are
+    not kept: ``a`` is halved and ``b`` cut where the lengths of both halves add up to most."""
+    common = set(a) & set(b)
+    own = [i for i, value in enumerate(a) if value in common]
+    a, b = [a[i] for i in own], [value for value in b if value in common]
+    if not a:
+        return []
+    if len(a) > 1 and len(a) * len(b) > ROW_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[:half - 1 : -1], b[::-1])[::-1]))
+        found = [*_matches(a[:half], b[:cut]), *(half + i for i in _matches(a[half:], b[cut:]))]
+        return [own[i] for i in found]
+    places, full = _places(b), (1 << len(b)) - 1
+    row, rows = full, []
     for value in a:
-        hit = row & places.get(value, 0)
-        row = ((row + hit) | (row - hit)) & full
+        row = _step(row, full, places[value])
         rows.append(row)
     chosen, j = [], len(b)
     for i in range(len(a) - 1, -1, -1):
@@ -214,9 +261,21 @@ def aligned(left: list[int], right: list[int]) -> list[int]:
         while j and rows[i] >> (j - 1) & 1:
             j -= 1
         if j and before >> (j - 1) & 1:  # the match is new in this row
-            chosen.append(begin + i)
+            chosen.append(own[i])
             j -= 1
-    return [*range(begin), *reversed(chosen), *range(len(left) - end, len(left))]
+    return chosen[::-1]
+
+
+def aligned(left: list[int], right: list[int]) -> list[int]:
+    """Places in ``left`` of a longest common subsequence, bit-parallel over ``right``, in bounded memory."""
+    begin = 0
+    while begin < min(len(left), len(right)) and left[begin] == right[begin]:
+        begin += 1
+    end = 0
+    while end < min(len(left), len(right)) - begin and left[-1 - end] == right[-1 - end]:
+        end += 1
+    found = _matches(left[begin : len(left) - end], right[begin : len(right) - end])
+    return [*range(begin), *(begin + i for i in found), *range(len(left) - end, len(left))]
 
 
 def template_lines(own: list[int], sizes: list[int], other: list[int], most: float = 0.9) -> list[int]:

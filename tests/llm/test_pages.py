@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import functools
 import html
+import os
+import random
 import re
+import subprocess
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -69,6 +73,119 @@ def test_alignment_is_a_longest_common_subsequence(left, right):
     assert all(left[p] in it for p in places)
 
 
+@given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=30), st.sampled_from([1, 20, 60]))
+@settings(max_examples=300, deadline=None)
+def test_alignment_in_little_memory(left, right, bits):
+    want, before = len(pages.aligned(left, right)), pages.ROW_BITS
+    pages.ROW_BITS = bits
+    try:
+        places = pages.aligned(left, right)
+    finally:
+        pages.ROW_BITS = before
+    assert places == sorted(set(places)) and len(places) == want
+    it = iter(right)
+    assert all(left[p] in it for p in places)
+
+
+def test_very_many_lines_are_aligned_in_bounded_memory():
+    code = """
+import random, resource
+from barrelbook.llm.pages import aligned
+n, pick = 150_000, random.Random(1)
+left = list(range(n))
+right = [x for i in range(0, n, 1000) for x in sorted(range(i, i + 1000), key=lambda x: x // 100 * (-1) ** (x % 2))]
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = aligned(left, right)
+it = iter(right)
+assert all(x in it for x in found) and len(found) > n / 10
+assert len(aligned(left, [n + x for x in left])) == 0
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert int(done.stdout) < 1_000_000  # KB
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>A.</p><p class=share>Shares fell sharply on Monday.</p></article>", ["A.", "Shares fell sharply on Monday."]),
+        ("<article><p>A.</p><div class='share-price-analysis'>Prices.</div></article>", ["A.", "Prices."]),
+        ("<article><section class='related work'><p>Others did.</p></section></article>", ["Others did."]),
+        ("<article><h2 id=comments>Comments on the text</h2><p>B.</p></article>", ["Comments on the text", "B."]),
+        ("<article><p>A.</p><div class='ad wide'>no</div><div class='related-posts'>no</div><div id=comment-list>no</div></article>", ["A."]),
+        ("<p>Press <button>OK</button> to go on.</p>", ["Press to go on."]),
+    ],
+)
+def test_class_words_do_not_cut_articles(page, want):
+    assert lines(page) == want
+
+
+def brute_texts(rows):
+    """The query by its definition, for pages of plain paragraphs, some of them in an article element."""
+    parsed = {}
+    for i, url, page in rows:
+        host, _, path = url.split("://", 1)[1].partition("/")
+        parsed[i] = (host, "/" + path.partition("?")[0], [(t, bool(a)) for a, t in re.findall(r"<(article)?(?:><)?p>([^<]*)</p>", page)])
+    order = sorted(parsed, key=lambda i: (parsed[i][0], parsed[i][1], i))
+
+    def shared(own, other):
+        table = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for i in range(len(own) - 1, -1, -1):
+            for j in range(len(other) - 1, -1, -1):
+                table[i][j] = max(table[i + 1][j], table[i][j + 1], table[i + 1][j + 1] + 1 if own[i] == other[j] else 0)
+        i = j = 0
+        found = set()
+        while i < len(own) and j < len(other):
+            if own[i] == other[j] and table[i][j] == table[i + 1][j + 1] + 1:
+                found.add(i)
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return found
+
+    out = {}
+    for n, i in enumerate(order):
+        host, path, own = parsed[i]
+        near = [k for k in (order[n - 1] if n else None, order[n + 1] if n + 1 < len(order) else None) if k is not None and parsed[k][0] == host]
+        near.sort(key=lambda k: -len(os.path.commonprefix([path, parsed[k][1]])))
+        template = set()
+        size = sum(len(t) for t, _ in own)
+        for most in (0.9, 1.0):
+            for k in near if not template else []:
+                same = shared([t for t, _ in own], [t for t, _ in parsed[k][2]])
+                if len(same) < len(own) and sum(len(own[x][0]) for x in same) <= most * size:
+                    template = template or same
+        left = [(t, a) for x, (t, a) in enumerate(own) if x not in template]
+        marked = sum(len(t) for t, a in left if a)
+        if any(a for _, a in own) and 2 * marked >= sum(len(t) for t, _ in left):
+            left = [(t, a) for t, a in own if a]
+        out[i] = "\n".join(t for t, _ in left)
+    return out
+
+
+def test_main_texts_as_by_brute_force(spark):
+    """Shared lines, copies, long templates and articles; on most of these pages the alignment decides."""
+    pick = random.Random(9)
+    rows = []
+    for i in range(150):
+        host = f"h{i % 4}.org"
+        blocks = [f"<p>{host} menu {k} " + "x" * pick.choice([1, 80]) + "</p>" for k in range(4)]
+        body = [f"<p>story {i} part {k}</p>" for k in range(pick.randint(0, 3))]
+        if pick.random() < 0.3:
+            body.append(f"<article><p>teaser {pick.randint(0, 3)} of {host}</p></article>")
+        if pick.random() < 0.2:
+            body.insert(0, f"<article><p>article {i} " + "y" * 60 + "</p></article>")
+        rows.append((i, f"http://{host}/{pick.choice('ab')}/{pick.randint(0, 9)}{i}", "".join([*blocks[:2], *body, *blocks[2:]])))
+    rows += [(200 + i, rows[5][1] + "?", rows[5][2]) for i in range(4)]  # copies
+    found = texts(spark.createDataFrame(rows, PAGES).repartition(5))
+    want = brute_texts(rows)
+    assert found == want
+    plain = {i: "\n".join(re.findall("<p>([^<]*)</p>", page)) for i, _, page in rows}
+    assert sum(found[i] != plain[i] for i in found) > 100
+
+
 def texts(frame):
     return {r.page_id: r.text for r in pages.main_texts(frame).collect()}
 
