@@ -142,7 +142,7 @@ def share_sum_mean(t: Roles) -> DataFrame:
 
 @query
 def region_rating(t: Roles) -> DataFrame:
-    rated = regions.region_rating(t.reviews(), t.venues())
+    rated = regions.region_rating(t.reviews(), t.venues(), step=1.0)  # whole points
     return rated.select(F.col("region_id").cast("bigint").alias("region_id"), "region_name", "beer_pure_avg")
 
 
