@@ -15,26 +15,48 @@ def _fixed(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return edges, tuple(seen)
 
 
+#: Parts that the links of one node are dealt to.
+SALTS = 16
+
+
+def _salt(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SALTS))
+
+
+def _with_least(edges: DataFrame, moved) -> DataFrame:
+    """The links that ``moved`` names, with the smallest node around ``a``.
+
+    Minima are combined before the shuffle. They meet the links by node and salt, each minimum once per
+    salt that its node has, so a node with very many links is dealt to ``SALTS`` parts.
+    """
+    salted = edges.withColumn("salt", _salt("b"))
+    least = salted.groupBy("a").agg(
+        F.min("b").alias("least"), F.collect_set(F.when(moved, F.col("salt"))).alias("salts")
+    )
+    least = least.select("a", "least", F.explode("salts").alias("salt"))
+    return salted.filter(moved).join(least, ["a", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    met = _with_least(both, F.col("b") > F.col("a"))
+    return met.select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least, "a").filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.union(least.select("a", F.col("least").alias("b")))
+    least = down.groupBy("a").agg(F.min("b").alias("b"))
+    met = _with_least(down, F.lit(True)).filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return met.union(least)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` links to ``(node, root)``: each linked node with the smallest node it reaches.
 
-    The number of rounds is logarithmic in the longest chain. Minima are combined before the
-    shuffle and joined back, so a node with very many links is never gathered in one task.
+    The number of rounds is logarithmic in the longest chain. A node with very many links is dealt
+    to several tasks (see ``_with_least``).
     Self-links and repeated links are ignored; without links the result is empty.
     """
     edges, seen = _fixed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))

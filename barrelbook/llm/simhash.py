@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barrelbook.llm.graph import components
+from barrelbook.llm.graph import SALTS, components
 from barrelbook.session import checkpointed
 
 BITS = 64
@@ -292,13 +292,19 @@ def near_duplicates(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")
     )
     marked = checkpointed(with_fingerprint(slim, "text", "fp", words_per_shingle).select("doc_id", "th", "fp"))
-    prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Copies share a fingerprint and its links a component: both meet what belongs to them by salts as well.
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)))
+    prints = checkpointed(
+        marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.collect_set("salt").alias("salts"))
+    )
     classes = link_classes(prints.select("fp"), distance, bucket)
     rooted = prints.join(classes, prints.fp == classes.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("component")
+        "fp", "least", "salts", F.coalesce("root", "fp").alias("component")
     )
-    owners = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    owned = rooted.join(owners, "component").select("fp", "component_id", "component")
-    return marked.join(owned, "fp").select(
+    rooted = rooted.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    owners = rooted.groupBy("component").agg(F.min("least").alias("component_id"), F.collect_set("part").alias("parts"))
+    owners = owners.select("component", "component_id", F.explode("parts").alias("part"))
+    owned = rooted.join(owners, ["component", "part"]).select("fp", "component_id", "component", F.explode("salts").alias("salt"))
+    return marked.join(owned, ["fp", "salt"]).select(
         "doc_id", "th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component"
     )

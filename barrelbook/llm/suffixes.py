@@ -37,9 +37,11 @@ FILTER_PARTS = 256
 #: Anchors with more than this share of all pieces are settled in two steps; there are at most
 #: as many of them as the share has parts.
 HEAVY_PARTS, SALTS = 2_000, 64
+#: Different pieces from which an anchor is crowded: its pieces stay where their texts are.
+CROWD = 512
 
 ROW = "kind int, h long, c1 long, c2 long, doc_id long, th long, start long, length int, multi int"
-MARK, CANDIDATE, ASK, AGAIN = 0, 1, 2, 3
+MARK, CANDIDATE, ASK, AGAIN, CROWDED = 0, 1, 2, 3, 4
 _NAMES = [field.split()[0] for field in ROW.split(", ")]
 
 
@@ -95,9 +97,9 @@ def pieces_of(data: np.ndarray, bounds: np.ndarray, span: int, gram: int):
         return empty.astype(np.uint64), empty, empty
     hashes = _gram_hashes(data, gram)
     places = np.arange(len(hashes), dtype=np.uint64)
-    bits = max(1, int(len(hashes)).bit_length())
-    packed = (hashes >> np.uint64(bits) << np.uint64(bits)) | places
-    anchors = (_sliding_min(packed, span - gram + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    # The high half of the hash, then the place: of equal ones the first, whatever buffer the text lies in.
+    packed = (hashes >> np.uint64(32) << np.uint64(32)) | places
+    anchors = (_sliding_min(packed, span - gram + 1) & np.uint64(0xFFFF_FFFF)).astype(np.int64)
     last = np.repeat(bounds[1:], np.diff(bounds))[: len(anchors)]
     valid = np.arange(len(anchors)) + span <= last
     starts = np.flatnonzero(valid)
@@ -387,6 +389,29 @@ def _marks_of(row: tuple, at: np.ndarray, span: int) -> list[tuple]:
     return [(MARK, 0, 0, 0, row[4], row[5], row[6] + int(b), int(e - b), 1) for b, e in zip(begins, ends)]
 
 
+def _digests(row: tuple, span: int) -> Iterator[tuple]:
+    text = row[9]
+    for at in range(len(text) - span + 1):
+        high, low = _halves(xxhash.xxh3_128_intdigest(text[at : at + span]))
+        yield (ASK, 0, high, low, row[4], row[5], row[6] + at, span, row[8])
+
+
+def _window_digests(span: int):
+    """Digests of all windows of each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(name).to_pylist() for name in [*_NAMES, "piece"])):
+                out.extend(_digests(row, span))
+                if len(out) > 20_000:
+                    yield _batch(out)
+                    out = []
+        yield _batch(out)
+
+    return run
+
+
 def _compare(span: int, chunk: int):
     """Over pieces sorted by anchor: marks from suffix arrays; digests of windows for large anchors."""
 
@@ -398,10 +423,7 @@ def _compare(span: int, chunk: int):
 
         def windows(rows: list[tuple]) -> None:
             for row in rows:
-                text = row[9]
-                for at in range(len(text) - span + 1):
-                    high, low = _halves(xxhash.xxh3_128_intdigest(text[at : at + span]))
-                    out.append((ASK, 0, high, low, row[4], row[5], row[6] + at, span, row[8]))
+                out.extend(_digests(row, span))
 
         def flush() -> None:
             if ready:
@@ -511,15 +533,23 @@ def repeated_spans(
         return frame.repartition(*keys).sortWithinPartitions("h", "c1", "c2").mapInArrow(_settle(final), ROW)
 
     light = settled(candidates.filter(~is_heavy), ["h"], True)
-    marks = rows.filter(F.col("kind") == MARK)
+    marks, crowd = rows.filter(F.col("kind") == MARK), None
     if heavy:
         salt = F.pmod(F.xxhash64("doc_id", "th", "start"), F.lit(SALTS))
         first = checkpointed(settled(candidates.filter(is_heavy), ["h", salt], False))
-        light = light.union(settled(first.filter(F.col("kind") == AGAIN), ["h"], True))
         marks = marks.union(first.filter(F.col("kind") == MARK))
+        second = checkpointed(settled(first.filter(F.col("kind") == AGAIN), ["h", "c1", "c2"], False))
+        marks = marks.union(second.filter(F.col("kind") == MARK))
+        again = second.filter(F.col("kind") == AGAIN)
+        crowded = [r.h for r in again.groupBy("h").count().filter(F.col("count") > CROWD).collect()]  # some of ``heavy``
+        in_crowd = F.col("h").isin(crowded) if crowded else F.lit(False)
+        light = light.union(settled(again.filter(~in_crowd), ["h"], True))
+        if crowded:
+            crowd = again.filter(in_crowd).withColumn("kind", F.lit(CROWDED))
     done = checkpointed(light)
     marks = marks.union(done.filter(F.col("kind") == MARK))
-    compared = _compared(slim, done.filter(F.col("kind") == ASK), span, chunk)
+    asks = done.filter(F.col("kind") == ASK)
+    compared = _compared(slim, asks.unionByName(crowd) if crowd else asks, span, chunk, bool(crowd))
     marks = marks.union(compared.filter(F.col("kind") == MARK)).union(
         _equal_windows(compared.filter(F.col("kind") == ASK), span)
     )
@@ -527,8 +557,9 @@ def repeated_spans(
     return lists.withColumn("spans", _merge("spans"))
 
 
-def _compared(slim: DataFrame, asks: DataFrame, span: int, chunk: int) -> DataFrame:
-    """Fetch the bytes of the pieces and compare them, anchor by anchor."""
+def _compared(slim: DataFrame, asks: DataFrame, span: int, chunk: int, crowded: bool) -> DataFrame:
+    """Fetch the bytes of the pieces and compare them, anchor by anchor; those of crowded anchors give the
+    digests of their windows where they are."""
     lists = asks.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*_NAMES)).alias("asks")).select(
         F.col("doc_id").alias("ask_id"), F.col("th").alias("ask_th"), "asks"
     )
@@ -539,8 +570,11 @@ def _compared(slim: DataFrame, asks: DataFrame, span: int, chunk: int) -> DataFr
     fields = ", ".join(f"a.{name} AS {name}" for name in _NAMES)
     cut = f"transform(asks, a -> struct({fields}, substring(data, int(a.start) + 1, a.length) AS piece))"
     sliced = joined.select(F.explode(F.expr(cut)).alias("a")).select("a.*")
-    dealt = sliced.repartition("h").sortWithinPartitions("h")
-    return checkpointed(dealt.mapInArrow(_compare(span, chunk), ROW))
+    dealt = sliced.filter(F.col("kind") != CROWDED).repartition("h").sortWithinPartitions("h")
+    found = dealt.mapInArrow(_compare(span, chunk), ROW)
+    if crowded:
+        found = found.union(sliced.filter(F.col("kind") == CROWDED).mapInArrow(_window_digests(span), ROW))
+    return checkpointed(found)
 
 
 def _equal_windows(windows: DataFrame, span: int) -> DataFrame:

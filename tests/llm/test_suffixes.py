@@ -98,6 +98,24 @@ def test_heavy_anchors_and_large_groups(spark, documents, monkeypatch):
     check(documents(rows, 6), rows, 24, gram=10, chunk=60)
 
 
+def test_crowded_anchors_stay_with_their_texts(spark, documents, monkeypatch):
+    """The same result if every anchor with two different pieces is crowded."""
+    for name, value in (("SALTS", 1), ("HEAVY_PARTS", 10**6), ("CROWD", 1)):
+        monkeypatch.setattr(suffixes, name, value)
+    rows = corpus(6)
+    check(documents(rows, 6), rows, 24, gram=10)
+
+
+def test_anchors_do_not_depend_on_the_buffer():
+    """Equal windows have equal anchors at equal places, in buffers of any size."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, 300).astype(np.uint8)  # two letters: many equal grams
+    alone = suffixes.pieces_of(text, np.array([0, 300]), 24, 8)
+    data = np.concatenate([text, rng.integers(97, 123, 100_000).astype(np.uint8)])
+    within = suffixes.pieces_of(data, np.array([0, 300, len(data)]), 24, 8)
+    assert all((a == b[: len(a)]).all() for a, b in zip(alone, within, strict=True))
+
+
 def test_long_texts_in_segments(monkeypatch):
     rng = random.Random(2)
     long = bytes(rng.randrange(97, 100) for _ in range(4_000))
