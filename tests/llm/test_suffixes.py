@@ -98,14 +98,6 @@ def test_heavy_anchors_and_large_groups(spark, documents, monkeypatch):
     check(documents(rows, 6), rows, 24, gram=10, chunk=60)
 
 
-def test_crowded_anchors_stay_with_their_texts(spark, documents, monkeypatch):
-    """The same result if every anchor with two different pieces is crowded."""
-    for name, value in (("SALTS", 1), ("HEAVY_PARTS", 10**6), ("CROWD", 1)):
-        monkeypatch.setattr(suffixes, name, value)
-    rows = corpus(6)
-    check(documents(rows, 6), rows, 24, gram=10)
-
-
 def test_anchors_do_not_depend_on_the_buffer():
     """Equal windows have equal anchors at equal places, in buffers of any size."""
     rng = np.random.default_rng(4)
