@@ -53,19 +53,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every byte out of the texts that a repeated string of 200 bytes covers."""
+    """Cut every byte out of the texts that a repeated string of 200 bytes covers.
+
+    Every document stays, with ``n_chars`` of what is left of its text; a NULL text stays NULL, and a
+    character that a span covers in part stays whole. Repeated rows repeat each other, so both lose what
+    they share. Without documents the result is empty; other columns pass through.
+    """
     marked = suffixes.with_repeated_spans(docs, "__cut", kept=("__kept", suffixes.kept_text, lambda text: text))
     cut = marked.withColumn("text", F.col("__kept"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a passage of a benchmark item."""
+    """Drop the documents that hold a passage of a benchmark item.
+
+    A NULL or empty text holds none and stays; repeated rows go or stay together; ties of items do not
+    matter. Without items all documents stay. Other columns pass through.
+    """
     found = latent.leaks(docs, read_table(spark, f"{sf_dir}/benchmark.parquet"))
     found = _keyed(found, F.col("th")).select(*_KEY)
     return _keyed(docs, F.xxhash64("text")).join(found, _KEY, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the tokens of every document lie in sequences."""
+    """Where the tokens of every document lie in sequences.
+
+    A NULL or empty text is one end token; repeated rows and NULL ids are documents of their own. Without
+    documents there are no pieces. The documents' other columns are left out.
+    """
     return piece_digests(docs)

@@ -536,7 +536,7 @@ def _compared(slim: DataFrame, asks: DataFrame, span: int, chunk: int) -> DataFr
     lists = asks.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*_NAMES)).alias("asks")).select(
         F.col("doc_id").alias("ask_id"), F.col("th").alias("ask_th"), "asks"
     )
-    known = slim.sparkSession.sparkContext.broadcast(_filter_of(asks.select(F.col("th").alias("h")), TEXT_BITS))
+    known = slim.sparkSession.sparkContext.broadcast(_filter_of(asks.select(F.col("th").alias("h")).distinct(), TEXT_BITS))
     asked = slim.filter(_possibly(known, F.col("th")))  # other texts need not be moved
     joined = asked.join(lists, (slim.th == lists.ask_th) & slim.doc_id.eqNullSafe(lists.ask_id))
     joined = joined.withColumn("data", F.col("text").cast("binary"))
@@ -584,7 +584,7 @@ def with_repeated_spans(
     meet them, and only these go through the former.
     """
     found = checkpointed(repeated_spans(docs, doc_id=doc_id, text=text, **how))
-    known = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.col("th").alias("h")), TEXT_BITS))
+    known = docs.sparkSession.sparkContext.broadcast(_filter_of(found.select(F.col("th").alias("h")).distinct(), TEXT_BITS))
     found = found.select(
         F.col("doc_id").alias("__span_id"), F.col("th").alias("__span_th"), F.col("spans").alias("__spans")
     )
