@@ -84,20 +84,25 @@ def extract_items(
     def parse(batches: Iterator) -> Iterator:
         # Self-contained, so that executors need nothing but the standard library and pandas.
         import re
+        from functools import lru_cache
         from html import unescape as characters
 
         import pandas as pd
 
         void = {"br", "img", "hr", "input", "meta", "link", "source", "area", "base", "col", "embed", "wbr"}
+        # A piece of markup and the text after it, or text that begins with a stray "<".
         markup = re.compile(
-            r"<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<[!?][^>]*>"
-            r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
+            r"<(?:!--.*?(?:-->|\Z)|(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|[!?][^>]*>"
+            r"|(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>)([^<]*+)|(<[^<]*+)",
             re.S | re.I,
         )
         attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
-        by_tag = {}
-        for name, (tag, css, wanted) in specs.items():
-            by_tag.setdefault(tag, []).append((name, css, wanted))
+        own = [(name, wanted) for name, (tag, _, wanted) in specs.items() if tag == ITSELF]
+        inner = {name: spec for name, spec in specs.items() if spec[0] != ITSELF}
+        by_tag = {
+            tag: [(name, css, wanted) for name, (t, css, wanted) in inner.items() if t in (tag, None)]
+            for tag in {t for t, _, _ in inner.values()}
+        }
         anywhere = by_tag.get(None, [])
 
         def attributes(raw):
@@ -117,70 +122,65 @@ def extract_items(
                 return found.get("id") == css[1:]
             return css in found.get("class", "").split()
 
+        def read(tag, raw):
+            """What a start tag says: its name, whether the page has no items, the own fields of the item
+            that it may open, and the fields that it may give inside one."""
+            tag, found = tag.lower(), None
+            asked = [(name, css, wanted) for name, css, wanted in by_tag.get(tag, anywhere) if possible(css, raw)]
+            opens = item is not None and tag == item[0] and possible(item[1], raw)
+            bad = unless is not None and bool(raw) and possible(unless, raw)
+            if asked or opens or bad:
+                found = attributes(raw)
+            fields = [(name, wanted is None, found.get(wanted)) for name, css, wanted in asked if fits(css, found)]
+            mine = {name: found[wanted] for name, wanted in own if wanted in found} if opens and fits(item[1], found) else None
+            return tag, bad and fits(unless, found), mine, fields
+
+        recent = lru_cache(2048)(read)  # short tags repeat from element to element
+
         def items(page):
             """Dicts of found fields. ``stack`` holds the open tags, ``capturing`` the fields
             whose text is being collected, with the stack height that ends them."""
-            done, stack, capturing, read = [], [], [], 0
+            done, stack, capturing = [], [], []
             current, inside = (None, 0) if item else ({}, 0)
-            for token in markup.finditer(page):
-                if capturing and token.start() > read:
-                    data = characters(page[read : token.start()])
-                    for name, _ in capturing:
-                        current[name] += data
-                read = token.end()
-                closing, tag, raw = token.groups()
-                if tag is None:
-                    continue
-                tag = tag.lower()
+            for closing, tag, raw, data, stray in markup.findall(page):
                 if closing:
-                    if tag not in stack:
-                        continue
-                    while stack.pop() != tag:
-                        pass
-                    capturing = [(name, height) for name, height in capturing if height <= len(stack)]
-                    if item and current is not None and len(stack) < inside:
-                        done.append(current)
-                        current, capturing = None, []
-                    continue
-                if tag not in void:
-                    stack.append(tag)
-                if current is None:
-                    if tag != item[0] or not possible(item[1], raw):
-                        continue
-                    found = attributes(raw)
-                    if fits(item[1], found):
-                        own = by_tag.get(ITSELF, [])
-                        current = {name: found[wanted] for name, _, wanted in own if wanted in found}
-                        inside = len(stack)
-                    continue
-                candidates = [
-                    f for f in (*by_tag.get(tag, ()), *anywhere) if f[0] not in current and possible(f[1], raw)
-                ]
-                if not candidates:
-                    continue
-                found = attributes(raw)
-                for name, css, wanted in candidates:
-                    if not fits(css, found):
-                        continue
-                    current[name] = "" if wanted is None else found.get(wanted)
-                    if wanted is None and tag not in void:
-                        capturing.append((name, len(stack)))
+                    tag = tag.lower()
+                    if tag in stack:
+                        while stack.pop() != tag:
+                            pass
+                        height = len(stack)
+                        if capturing:
+                            capturing = [field for field in capturing if field[1] <= height]
+                        if item and current is not None and height < inside:
+                            done.append(current)
+                            current, capturing = None, []
+                elif tag:
+                    tag, bad, mine, given = (recent if len(raw) < 256 else read)(tag, raw)
+                    if bad:
+                        return []
+                    if tag not in void:
+                        stack.append(tag)
+                    if current is None:
+                        if mine is not None:
+                            current, inside = dict(mine), len(stack)
+                    else:
+                        for name, of_text, value in given:
+                            if name not in current:
+                                current[name] = "" if of_text else value
+                                if of_text and tag not in void:
+                                    capturing.append((name, len(stack)))
+                if capturing:
+                    text = characters(data or stray)
+                    for name, _ in capturing:
+                        current[name] += text
             if current is not None:
-                for name, _ in capturing:
-                    current[name] += characters(page[read:])
                 done.append(current)
             return done
 
-        def excluded(page):
-            if unless is None or not possible(unless, page):
-                return False
-            return any(raw and fits(unless, attributes(raw)) for _, _, raw in markup.findall(page) if possible(unless, raw))
-
         for batch in batches:
             rows = [
                 (*record[:-1], position, *[found.get(name) for name in specs])
                 for record in batch.itertuples(index=False)
-                if not excluded(record[-1] or "")
                 for position, found in enumerate(items(record[-1] or ""))
             ]
             yield pd.DataFrame(rows, columns=[*keep, "position", *specs])

@@ -87,6 +87,23 @@ def test_cards(spark):
     ]
 
 
+def test_cards_with_stray_signs_and_pages_without_items(spark):
+    """Text keeps a "<" that opens no tag; a notice counts as a tag only, not in comments or texts."""
+    card = '<div class="card"><a class="t" href="{0}">1 < 2 </ 3 <!-- no --> <B>{0}</b></a></div>'
+    long = f'<div class="card" title="{"x" * 300}"><a class="t">y</a></div>'
+    pages = spark.createDataFrame(
+        [(1, card.format("a") * 2 + card.format("b") + long), (2, card.format("a") + '<p class="big none">'),
+         (3, '<!-- <p class="none"> --> none ' + card.format("c"))],
+        "page int, html string",
+    )
+    cards = html.extract_items(pages, "html", FIELDS, ["page"], ("div", "card"), unless="none")
+    text = "1 < 2 </ 3  "
+    assert rows(cards.select("page", "position", "title", "href")) == [
+        (1, 0, text + "a", "a"), (1, 1, text + "a", "a"), (1, 2, text + "b", "b"), (1, 3, "y", None),
+        (3, 0, text + "c", "c"),
+    ]
+
+
 def test_whole_page_as_one_item(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, "plain")], "page int, html string")
     found = html.extract_items(pages, "html", {"bold": ("b", None, None)}, ["page"])
