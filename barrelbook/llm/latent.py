@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into overlapping passages. A randomised SVD, computed by Spark over TF-IDF
-vectors of passages and items, gives a latent space; passages whose cosine with an item is high
-there are candidates. So is every stretch that holds as many of an item's words as the checks ask
+Documents are cut into overlapping passages. A randomised SVD over TF-IDF vectors of all blocks of the
+documents and of the items gives a latent space: Spark counts in how many blocks every two terms meet,
+and multiplies by these counts. Passages whose cosine with an item is high there are candidates. So is every stretch that holds as many of an item's words as the checks ask
 for, so none that would pass them depends on the space. A longest common subsequence of words and
 a check of the item's answer decide, so reworded copies are found and passages that merely share a
 subject are not.
@@ -28,10 +28,9 @@ BLOCK_WORDS = 16
 #: Items that are searched in one pass over the documents: so many, or so many different words.
 ITEMS, WORDS = 4_096, 16_384
 RANK, EXTRA, POWERS = 256, 16, 2
-#: Documents whose passages help to fit the space. Counts and search cover all documents.
-SAMPLE_DOCS = 2_000
-#: Weight of the items in the space, in passages.
-ITEM_WEIGHT = 8.0
+#: Weight of an item in the space, and what all documents weigh together there, in weights of all items. Items
+#: that weigh little have little length in the space, and their cosines tell nothing.
+ITEM_WEIGHT, DOCS_WEIGHT = 8.0, 2.0
 #: Groups of items with a bound of their own, at least.
 GROUPS = 16
 COSINE, SHARED, ANSWER = 0.2, 0.6, 0.6
@@ -40,15 +39,20 @@ CHUNK_WORDS = 20_000
 SUMMED = 2_048
 #: Pairs of blocks and items, and words of such pairs, that are counted together.
 PAIRS, PAIR_WORDS = 1 << 16, 1 << 20
-#: Tasks that the sample is dealt to; each sends one terms-by-rank matrix per product.
-SAMPLE_TASKS = 16
+#: Pairs of terms that a task adds up before it sorts them, and different ones that it holds before it sends them.
+PENDING, HELD = 1 << 20, 1 << 22
+#: Parts of the sums over pairs of terms, and tasks that multiply by them; each sends one terms-by-rank matrix per product.
+PARTS, TASKS = 64, 16
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")  # punctuation beyond ASCII
 _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
     """Words in lower case; they end at white space and punctuation."""
-    return _MARKS.sub(" ", (text or "").lower()).encode("utf-8", "replace").translate(_WORD_BYTES).split()
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _MARKS.sub(" ", text)
+    return text.encode("utf-8", "replace").translate(_WORD_BYTES).split()
 
 
 def answer_at(text: str) -> int:
@@ -180,68 +184,185 @@ def _chunks(texts: list[str | None], vocabulary: dict[bytes, int]) -> Iterator[C
 # --- corpus statistics ------------------------------------------------------------------------
 
 
-def _frequencies(shared):
-    """Passages in which each term of the items occurs, and the number of passages (term -1)."""
+def _summed(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order with the sums of their values, or how often they occur."""
+    if not len(keys):
+        return keys, np.empty(0)
+    if values is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sums = np.diff(np.r_[first, len(keys)]).astype(np.float64) if values is None else np.add.reduceat(values, first)
+    return keys[first], sums
+
+
+class Sums:
+    """Sums by key. Whoever adds takes them out whenever they are ``full``."""
+
+    def __init__(self):
+        self.keys, self.values, self.waiting, self.size = np.empty(0, np.int64), np.empty(0), [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray | None = None) -> None:
+        self.waiting.append((keys, values))
+        self.size += len(keys)
+        if self.size >= PENDING:
+            self.merge()
+
+    def merge(self) -> None:
+        counted = [k for k, v in self.waiting if v is None]
+        parts = [(self.keys, self.values), *[w for w in self.waiting if w[1] is not None]]
+        if counted:
+            parts.append(_summed(np.concatenate(counted)))
+        self.keys, self.values = _summed(*map(np.concatenate, zip(*parts, strict=True)))
+        self.waiting, self.size = [], 0
+
+    @property
+    def full(self) -> bool:
+        return len(self.keys) >= HELD
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        found = self.keys, self.values
+        self.keys, self.values = np.empty(0, np.int64), np.empty(0)
+        return found
+
+
+SUMS = "part long, keys binary, sums binary"
+
+
+def _bounds(size: int) -> np.ndarray:
+    """Terms at which the parts of the pairs (i, j), i <= j, begin; parts have about equally many pairs."""
+    parts = max(1, min(PARTS, size))
+    return np.unique(np.r_[np.round(size * (1 - np.sqrt(1 - np.arange(parts) / parts))).astype(np.int64), size])
+
+
+def _sums_batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Packed rows. Keys are in order and stored as steps, which compress well."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([np.diff(r[1], prepend=0).astype("<i8").tobytes() for r in rows], pa.binary()),
+            pa.array([r[2].astype("<f8").tobytes() for r in rows], pa.binary()),
+        ],
+        names=["part", "keys", "sums"],
+    )
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for part, keys, sums in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "sums")), strict=True):
+        yield part, np.cumsum(np.frombuffer(keys, "<i8")), np.frombuffer(sums, "<f8")
+
+
+def _parted(keys: np.ndarray, sums: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sums by pairs of terms, ``i * size + j``, cut into parts."""
+    cuts = np.searchsorted(keys, bounds * bounds[-1])
+    for part, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if low < high:
+            yield part, keys[low:high], sums[low:high]
+
+
+def _meetings(blocks: np.ndarray, terms: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Pairs of terms, ``i * size + j`` with ``i <= j``, of every block. Terms rise within a block."""
+    for step in range(BLOCK_WORDS):
+        left, right = slice(0, max(0, len(terms) - step)), slice(step, None)
+        same = blocks[left] == blocks[right]
+        if not same.any():
+            return
+        yield terms[left][same] * size + terms[right][same]
+
+
+def _counted(shared, bounds: np.ndarray):
+    """Blocks in which two terms meet, by parts. Part -1 has the number of passages (key -1), those in which
+    each term of the items occurs, and from key ``size`` on the fitted blocks with each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value.vocabulary
-        counts, total = np.zeros(len(vocabulary), dtype=np.int64), 0
+        vocabulary, size = shared.value.vocabulary, int(bounds[-1])
+        counts, total, met = np.zeros(2 * size, dtype=np.int64), 0, Sums()
         for batch in batches:
+            fitted = batch.column("fitted").to_numpy(zero_copy_only=False)
             for chunk in _chunks(batch.column("text").to_pylist(), vocabulary):
-                counts += np.bincount(chunk.pairs()[1], minlength=len(vocabulary))
+                counts[:size] += np.bincount(chunk.pairs()[1], minlength=size)
+                inside = fitted[chunk.docs[chunk.blocks]]
+                counts[size:] += np.bincount(chunk.terms[inside], minlength=size)
                 total += len(chunk.passages)
+                for keys in _meetings(chunk.blocks[inside], chunk.terms[inside], size):
+                    met.add(keys)
+                if met.full:
+                    yield _sums_batch(list(_parted(*met.taken(), bounds)))
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[total, counts[used]])], names=["term", "n"])
+        yield _sums_batch([(-1, np.r_[-1, used], np.r_[total, counts[used]]), *_parted(*met.taken(), bounds)])
 
     return run
 
 
-def _weights(docs: DataFrame, shared, size: int) -> np.ndarray:
-    """Inverse document frequencies over all passages; the last is that of an unknown word."""
-    sums = docs.mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    counts, terms = np.zeros(size + 1), sums["term"].to_numpy()
-    counts[terms[terms >= 0]] = sums["n"].to_numpy()[terms >= 0]
-    total = sums["n"].to_numpy()[terms == -1].sum()
-    return np.log((1 + total) / (1 + counts)) + 1
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each part."""
+    held: dict[int, Sums] = {}
+    for batch in batches:
+        for part, keys, sums in _unpacked(batch):
+            held.setdefault(part, Sums()).add(keys, sums)
+    for part in list(held):
+        yield _sums_batch([(part, *held.pop(part).taken())])
+
+
+def _gathered(sums: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """The sums of all tasks, one row per part."""
+    return checkpointed(sums.repartition(len(bounds), "part").mapInArrow(_added_up, SUMS))
+
+
+def _weights(met: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequencies over all passages, the last that of an unknown word, and the fitted blocks
+    with each term."""
+    counts = np.zeros(2 * size + 1)  # the last is the number of passages
+    for batch in met.filter("part = -1").toArrow().to_batches():
+        for _, keys, sums in _unpacked(batch):
+            counts[keys] = sums
+    passages = np.r_[counts[:size], 0]
+    return np.log((1 + counts[-1]) / (1 + passages)) + 1, counts[size:-1]
 
 
 # --- latent space -----------------------------------------------------------------------------
 
 
-def _sampled(shared, weights: np.ndarray):
-    """Passages of the sample as unit vectors over the items' terms, in packed form."""
+def _crossed(bounds: np.ndarray):
+    """Sums of the products of every two entries of packed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value.vocabulary
+        size, met = int(bounds[-1]), Sums()
         for batch in batches:
-            rows = []
-            for chunk in _chunks(batch.column("text").to_pylist(), vocabulary):
-                unknown = chunk.both(chunk.others) * weights[-1] ** 2
-                for passage, rest in zip(chunk.passages.tolist(), unknown.tolist()):
-                    terms = chunk.passage_terms(passage)
-                    if len(terms):
-                        x = weights[terms]
-                        rows.append((terms.astype("<i4").tobytes(), (x / np.sqrt(x @ x + rest)).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["terms", "x"]
-            )
+            for terms, x in zip(batch.column("terms").to_pylist(), batch.column("x").to_pylist()):
+                terms, x = np.frombuffer(terms, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(np.float64)
+                i, j = np.triu_indices(len(terms))
+                i, j = np.where(terms[i] <= terms[j], (i, j), (j, i))
+                met.add(terms[i] * size + terms[j], x[i] * x[j])
+                if met.full:
+                    yield _sums_batch(list(_parted(*met.taken(), bounds)))
+        yield _sums_batch(list(_parted(*met.taken(), bounds)))
 
     return run
 
 
-def _product(basis, parts: int):
-    """Partial sums of ``A' (A basis)`` over the rows of a task, cut into parts of terms."""
+def _product(basis, weights: np.ndarray, bounds: np.ndarray):
+    """Sums over the parts of a task of what they, and what lies on the other side of the diagonal, give
+    times the basis; cut into parts of terms. Each term's sums are weighted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = basis.value
+        q, size = basis.value, int(bounds[-1])
         total = np.zeros_like(q)
         for batch in batches:
-            for terms, x in zip(batch.column("terms").to_pylist(), batch.column("x").to_pylist()):
-                terms, x = np.frombuffer(terms, "<i4"), np.frombuffer(x, "<f4")
-                total[terms] += x[:, None] * (x @ q[terms])
-        pieces = np.array_split(total, parts)
+            for part, keys, sums in _unpacked(batch):
+                low, high = int(bounds[part]), int(bounds[part + 1])
+                rows = np.zeros((high - low, size))
+                rows.reshape(-1)[keys - low * size] = sums * weights[keys // size] * weights[keys % size]
+                total[low:high] += rows @ q
+                rows[np.arange(high - low), np.arange(low, high)] = 0
+                total += rows.T @ q[low:high]
+        pieces = np.array_split(total, min(TASKS, size))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(parts), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["part", "sums"]
+            [pa.array(range(len(pieces)), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())],
+            names=["part", "sums"],
         )
 
     return run
@@ -259,25 +380,33 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def latent_space(sample: DataFrame, items: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Orthonormal terms-by-rank basis of the leading right singular space of passages and items.
+    """Orthonormal terms-by-rank basis of the leading right singular space of packed rows ``terms, x`` and items.
 
-    ``sample`` has packed rows ``terms, x``; ``items`` is a dense items-by-terms matrix. Every
-    product with the passages is a Spark job that sums over tasks; the driver sees only
-    terms-by-rank matrices.
+    ``items`` is a dense items-by-terms matrix.
     """
-    context, size = sample.sparkSession.sparkContext, items.shape[1]
-    width = min(size, rank + EXTRA)
-    parts = max(1, min(16, size))
+    size = items.shape[1]
+    bounds = _bounds(size)
+    return _leading(_gathered(sample.mapInArrow(_crossed(bounds), SUMS), bounds), np.ones(size), items, rank)
+
+
+def _leading(met: DataFrame, weights: np.ndarray, items: np.ndarray, rank: int) -> np.ndarray:
+    """The same of rows of which ``met`` has the sums over pairs of terms.
+
+    Every product is a Spark job that sums over the parts; the driver sees only terms-by-rank matrices.
+    """
+    context, size = met.sparkSession.sparkContext, items.shape[1]
+    bounds, width, pieces = _bounds(size), min(size, rank + EXTRA), min(TASKS, size)
+    met = met.filter("part >= 0").coalesce(TASKS)
 
     def times(q: np.ndarray) -> np.ndarray:
         basis = context.broadcast(q)
-        sums = sample.mapInArrow(_product(basis, parts), "part long, sums binary").repartition(parts, "part")
+        sums = met.mapInArrow(_product(basis, weights, bounds), "part long, sums binary").repartition(pieces, "part")
         rows = {r.part: r.sums for r in sums.mapInArrow(_added, "part long, sums binary").collect()}
         basis.unpersist()
         own = ITEM_WEIGHT * (items.T @ (items @ q))
         if not rows:
             return own
-        return own + np.concatenate([np.frombuffer(rows[p], "<f8") for p in range(parts)]).reshape(q.shape)
+        return own + np.concatenate([np.frombuffer(rows[p], "<f8") for p in range(pieces)]).reshape(q.shape)
 
     q = np.linalg.qr(np.random.default_rng(0).normal(size=(size, width)))[0]
     for _ in range(POWERS):
@@ -454,12 +583,22 @@ def _near(chunk: Chunk, space: Space, block: int, item: int) -> float:
 # --- checks -----------------------------------------------------------------------------------
 
 
-def _share(words: list[int], around: list[int]) -> tuple[float, int, int]:
-    """Share of ``words`` in the longest common subsequence, and where it lies in ``around``."""
-    places = aligned(around, words)
-    if not places:
-        return 0.0, 0, 0
-    return len(places) / len(words), places[0], places[-1] + 1
+def _places(words: list[int]) -> dict[int, int]:
+    """Where each word stands, as bits."""
+    places: dict[int, int] = {}
+    for place, word in enumerate(words):
+        places[word] = places.get(word, 0) | 1 << place
+    return places
+
+
+def _in_order(places: dict[int, int], count: int, around: list[int]) -> int:
+    """Length of the longest common subsequence of ``count`` words and the text around."""
+    full = (1 << count) - 1
+    row = full
+    for hits in filter(None, map(places.get, around)):
+        hit = row & hits
+        row = ((row + hit) | (row - hit)) & full
+    return count - row.bit_count()
 
 
 def verified(words: list[int], answer: int, around: list[int]) -> tuple[float, float, int, int]:
@@ -468,13 +607,17 @@ def verified(words: list[int], answer: int, around: list[int]) -> tuple[float, f
     Stretches half as long again as the item are tried along the text, and the best one counts.
     """
     reach, step = stretches(len(words))
-    best = (0.0, 0.0, 0, 0)
-    for begin in range(0, max(1, len(around) - reach + step), step):
-        part = around[begin : begin + reach]
-        share, first, last = _share(words, part)
-        if share >= best[0]:
-            best = max(best, (share, _share(words[answer:], part)[0], begin + first, begin + last), key=lambda b: b[:2])
-    return best
+    whole, ends = _places(words), _places(words[answer:])
+    parts = [around[begin : begin + reach] for begin in range(0, max(1, len(around) - reach + step), step)]
+    counts = [_in_order(whole, len(words), part) for part in parts]
+    most = max(counts)
+    if not most:
+        return 0.0, 0.0, 0, 0
+    answered = [(_in_order(ends, len(words) - answer, part), -n) for n, part in enumerate(parts) if counts[n] == most]
+    found, number = max(answered)
+    places, begin = aligned(parts[-number], words), -number * step
+    share = found / (len(words) - answer) if found else 0.0
+    return most / len(words), share, begin + places[0], begin + places[-1] + 1
 
 
 def _leaks(shared_items, shared_space, shared_gate, cosine: float, shared_words: float, answer: float):
@@ -536,7 +679,7 @@ def leaks(
     shared: float = SHARED,
     answer: float = ANSWER,
     rank: int = RANK,
-    sample_docs: int = SAMPLE_DOCS,
+    sample_docs: int | None = None,
     item_block: int = ITEMS,
 ) -> DataFrame:
     """A row for every document and item of which it holds a passage.
@@ -547,7 +690,8 @@ def leaks(
     ``cosine`` is that of the best passage in the latent space, ``shared`` the share of the
     item's words that the document holds in order, ``answer`` that of the answer's words, and
     ``first_word`` to ``end_word`` the stretch in the document. ``th`` is ``xxhash64(text)`` and
-    tells apart texts under one id. Items are taken in blocks of bounded size. NULL and empty
+    tells apart texts under one id. All documents shape the space; with ``sample_docs`` about so many do, and
+    the rows are the same. Items are taken in blocks of bounded size. NULL and empty
     texts and items have no words and give no rows; repeated rows give repeated rows; NULL ids
     stay NULL; empty tables give no rows.
     """
@@ -558,15 +702,19 @@ def leaks(
     ).filter("text IS NOT NULL")
     asked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     path = scratch_path(spark, "benchmark-leaks")
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    chosen = slim.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    fitted = F.lit(True)
+    if sample_docs is not None:
+        share = min(1.0, sample_docs / max(1, docs.count()))
+        fitted = F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    counted = slim.select("text", fitted.alias("fitted"))
     for block in _item_blocks(asked, item_block, WORDS):
-        known = context.broadcast(block)
-        weights = _weights(slim.select("text"), known, len(block.vocabulary))
-        sample = checkpointed(chosen.select("text").mapInArrow(_sampled(known, weights), "terms binary, x binary"))
-        sample = sample.coalesce(SAMPLE_TASKS)
+        known, bounds = context.broadcast(block), _bounds(len(block.vocabulary))
+        met = _gathered(counted.mapInArrow(_counted(known, bounds), SUMS), bounds)
+        weights, blocks = _weights(met, len(block.vocabulary))
         rows = _unit_items(block, weights)
-        basis = latent_space(sample, rows, rank)
+        energy = max(1.0, float(blocks @ weights[:-1] ** 2))
+        scaled = weights[:-1] * np.sqrt(DOCS_WEIGHT * ITEM_WEIGHT * len(rows) / energy)
+        basis = _leading(met, scaled, rows, rank)
         space = context.broadcast(_space(weights, basis, rows))
         gate = context.broadcast(gate_of(block, weights, shared, answer))
         slim.mapInArrow(_leaks(known, space, gate, cosine, shared, answer), LEAK).write.mode("append").parquet(path)

@@ -201,3 +201,70 @@ def test_sums_of_passages_in_parts(monkeypatch):
         terms = [t for b, t in zip(chunk.blocks, chunk.terms) if b == passage or (b == passage + 1 and not chunk.single[passage])]
         want.append(values[terms].sum(axis=0).max(initial=0) if terms else 0)
     assert np.allclose(chunk.most(values), want)
+
+
+def test_all_documents_shape_the_space(spark, documents, monkeypatch):
+    """Counts of blocks in which terms meet, in small parts, against a loop over all texts."""
+    rng = random.Random(4)
+    items = [(1, " ".join(f"w{i}" for i in range(30)))]
+    texts = [" ".join(f"w{rng.randrange(45)}" for _ in range(rng.randrange(0, 90))) for _ in range(200)]
+    block = next(latent._item_blocks(spark.createDataFrame(items, "item_id long, text string"), 10, 100))
+    number, size = block.vocabulary, len(block.vocabulary)
+    want, passages = np.zeros((size, size)), np.zeros(size)
+    for text in texts:
+        words = latent.words_of(text)
+        for begin in range(0, len(words), latent.BLOCK_WORDS):
+            terms = sorted({number[w] for w in words[begin : begin + latent.BLOCK_WORDS] if w in number})
+            want[np.ix_(terms, terms)] += 1
+    for _, _, words in brute_chunk(texts, items):
+        passages[sorted({number[w] for w in words if w in number})] += 1
+    for name, value in (("PENDING", 50), ("HELD", 20), ("PARTS", 7), ("CHUNK_WORDS", 100)):
+        monkeypatch.setattr(latent, name, value)
+    bounds = latent._bounds(size)
+    shared = type("Shared", (), {"value": block})()
+    frame = documents(list(enumerate(texts)), 4).selectExpr("text", "true AS fitted").toArrow().to_batches()
+    sums = [b for f in frame for b in latent._counted(shared, bounds)(iter([f]))]
+    assert len(sums) > 10  # sent on some at a time
+    found = np.zeros((size, size))
+    for batch in latent._added_up(iter(sums)):
+        for part, keys, values in latent._unpacked(batch):
+            if part >= 0:
+                found.reshape(-1)[keys] = values
+            else:
+                assert values[keys == -1][0] == len(brute_chunk(texts, items))
+                assert [values[keys == i].sum() for i in range(size)] == passages.tolist()
+                assert [values[keys == size + i].sum() for i in range(size)] == np.diag(want).tolist()
+    assert (found == np.triu(want)).all()
+
+
+def test_rare_documents_shape_the_space_too(spark, documents):
+    """Three documents of 6,000 tell that two words meet. A fit on 2,000 documents would mostly miss some."""
+    rows = [(i, "plain words here and nothing of note in it") for i in range(6_000)]
+    rows += [(10_000 + i, "zinc " * 8 + "lead " * 8) for i in range(3)]
+    seen = {}
+
+    def leading(met, weights, items, rank):
+        for batch in met.toArrow().to_batches():
+            for part, keys, values in latent._unpacked(batch):
+                if part >= 0:
+                    seen.update(zip(keys.tolist(), values.tolist()))
+        return np.eye(items.shape[1])
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(latent, "_leading", leading)
+        benchmark = spark.createDataFrame([(1, "zinc lead words")], "item_id long, text string")
+        latent.leaks(documents(rows), benchmark).collect()
+    assert seen == {0: 3, 1: 3, 4: 3, 8: 6_000}
+
+
+def test_shares_of_verified_stretches():
+    """Lengths of common subsequences by bits, against the table of them."""
+    rng = random.Random(8)
+    for _ in range(300):
+        words = [rng.randrange(9) for _ in range(rng.randrange(1, 20))]
+        around = [rng.randrange(11) for _ in range(rng.randrange(0, 40))]
+        table = np.zeros((len(words) + 1, len(around) + 1), dtype=int)
+        for i, a in enumerate(words):
+            for j, b in enumerate(around):
+                table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
+        assert latent._in_order(latent._places(words), len(words), around) == table[-1, -1]
