@@ -2,9 +2,9 @@
 
 The n-grams are runs of one or two lower-case words, and of one to three word shapes: letter case,
 digits, trailing punctuation, and whether a word repeats the one before it. Both kinds are hashed to a
-fixed number of slots. Class log-count ratios and support vectors, the latter by dual coordinate
-descent, are fitted on a bounded sample of the labelled rows: at most ``SAMPLE`` of them and
-``SAMPLE_BYTES`` of text, in the order of a hash of the id.
+fixed number of slots. Class log-count ratios are counted over all labelled rows. Support vectors are found by
+dual coordinate descent, and a curve through their margins, in tasks that share out all labelled rows among
+them; the model is the mean of theirs. A bounded sample of the rows can be asked for instead.
 """
 
 from __future__ import annotations
@@ -18,12 +18,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barrelbook.session import checkpointed
+
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
 #: Slots of shapes, then those of words.
 ALL_SLOTS = 2 * SLOTS
-#: Labelled rows that the model is fitted on, and the bytes of their texts; a row that is too long for the rest is passed over.
-SAMPLE, SAMPLE_BYTES = 20_000, 40_000_000
+#: Labelled rows that a task fits a model to, and bytes of their slots, about.
+SHARE, SHARE_BYTES = 2_000, 16_000_000
+#: Bytes of texts of a sample, if one is asked for; a row that is too long for the rest is passed over.
+SAMPLE_BYTES = 40_000_000
+#: Parts that the sums of models are cut into.
+PARTS = 16
 #: Standard errors that the ratio of a word must exceed; else rare words learn the rows by heart.
 ERRORS = 2.0
 THRESHOLD = 0.3
@@ -117,9 +123,14 @@ def all_features(text: str | None, known: Words) -> np.ndarray:
 def ratios_of(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Log-count ratios of the classes by slot, smoothed by one; those of words move towards 0 by
     ``ERRORS`` standard errors."""
-    counts = np.ones((2, ALL_SLOTS))
+    counts = np.zeros((2, ALL_SLOTS))
     for row, sign in zip(rows, y, strict=True):
         counts[int(sign > 0), row] += 1
+    return _ratios(counts)
+
+
+def _ratios(counts: np.ndarray) -> np.ndarray:
+    counts = counts + 1
     ratios = np.empty(ALL_SLOTS)
     for part, errors in ((slice(0, SLOTS), 0.0), (slice(SLOTS, None), ERRORS)):
         own = counts[:, part]
@@ -245,6 +256,51 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     return rows.groupBy("doc_id", "th", "label").agg(F.first("slots").alias("slots")).toArrow()
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
+    """``doc_id, th, label, slots`` of all labelled rows that are not held out, each once."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = own.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("th", F.xxhash64("text"))
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    marked = marked.filter(F.col("label").isin(0, 1)).distinct()
+    met = own.join(marked, "doc_id").select("doc_id", "th", "label", "text")
+    rows = met.mapInArrow(_features, "doc_id long, th long, label int, slots binary")
+    return checkpointed(rows.groupBy("doc_id", "th", "label").agg(F.first("slots").alias("slots")))
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each class in which a slot occurs."""
+    counts = np.zeros((2, ALL_SLOTS), dtype=np.int64)
+    for batch in batches:
+        for label, slots in zip(batch.column("label").to_pylist(), batch.column("slots"), strict=True):
+            counts[label, np.frombuffer(slots.as_buffer(), np.int32)] += 1
+    used = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, counts[:, used])], names=["slot", "bad", "good"])
+
+
+def _fitted(shared):
+    """The model of a share of the rows, as what it adds to the logit, cut into parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("label", "ascending")])
+        rows = [np.frombuffer(s.as_buffer(), np.int32) for s in table["slots"]]
+        model = fit(rows, np.where(table["label"].to_numpy() == 1, 1.0, -1.0), shared.value)
+        pieces = np.array_split(np.r_[model.weights * model.slope, model.shift], PARTS)
+        return pa.table({"part": pa.array(range(PARTS), pa.int64()), "sums": pa.array([p.tobytes() for p in pieces], pa.binary())})
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            values = np.frombuffer(sums, np.float64)
+            held[part] = held[part] + values if part in held else values
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["part", "sums"]
+    )
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -252,19 +308,38 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    sample: int = SAMPLE,
+    sample: int | None = None,
     size: int = SAMPLE_BYTES,
 ) -> Model:
-    """Learn from labelled rows that are not held out; labels other than 0 and 1, and rows without
-    id, are passed over. A row that repeats teaches once, with each label it has.
+    """Learn from all labelled rows that are not held out, or from ``sample`` of them with ``size`` bytes of text;
+    labels other than 0 and 1, and rows without id, are passed over. A row that repeats teaches once, with
+    each label it has.
 
     Without rows of both classes every text gets the smoothed share of good rows.
     """
-    found = _sample(docs, labels, doc_id, text, label, sample, size)
-    found = found.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("label", "ascending")])
-    rows = [np.frombuffer(s.as_buffer(), np.int32) for s in found["slots"]]
-    y = np.where(found["label"].to_numpy() == 1, 1.0, -1.0)
-    return fit(rows, y, ratios_of(rows, y))
+    if sample is not None:
+        found = _sample(docs, labels, doc_id, text, label, sample, size)
+        found = found.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("label", "ascending")])
+        rows = [np.frombuffer(s.as_buffer(), np.int32) for s in found["slots"]]
+        y = np.where(found["label"].to_numpy() == 1, 1.0, -1.0)
+        return fit(rows, y, ratios_of(rows, y))
+    found = _labelled(docs, labels, doc_id, text, label)
+    classes = F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good")
+    total = found.agg(*classes, F.sum(F.octet_length("slots")).alias("size")).first()
+    if not total.bad or not total.good:
+        return fit([], np.ones(total.good) if total.good else -np.ones(total.bad), np.zeros(ALL_SLOTS))
+    counts = np.zeros((2, ALL_SLOTS))
+    sums = found.mapInArrow(_slot_counts, "slot long, bad long, good long").groupBy("slot").agg(F.sum("bad"), F.sum("good"))
+    for batch in sums.toArrow().to_batches():
+        counts[:, batch.column(0).to_numpy()] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(_ratios(counts))  # ALL_SLOTS numbers
+    shares = max(1, round((total.bad + total.good) / SHARE), round(total.size / SHARE_BYTES))
+    dealt = found.withColumn("share", F.pmod(F.xxhash64("doc_id", "th", "label"), F.lit(shares)))
+    models = dealt.groupBy("share").applyInArrow(_fitted(shared), "part long, sums binary")
+    added = {r.part: r.sums for r in models.repartition(PARTS, "part").mapInArrow(_added, "part long, sums binary").collect()}
+    used = dealt.select("share").distinct().count()
+    mean = np.concatenate([np.frombuffer(added[p], np.float64) for p in range(PARTS)]) / used
+    return Model(mean[:-1], 1.0, float(mean[-1]))
 
 
 def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
@@ -280,7 +355,7 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
     return docs.withColumn(name, scored(F.col(text)))
 
 
-def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Only the text decides a score. NULL texts count as empty and get a score like any text;

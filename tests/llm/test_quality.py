@@ -151,3 +151,26 @@ def test_edges(spark, documents, clashing):
     single = quality.scores(frame, labels.filter("quality = 1")).collect()
     assert {r.predicted for r in single} == {1}
     assert {r.score for r in quality.scores(frame, labels.limit(0)).collect()} == {0.5}
+
+
+def test_every_labelled_row_teaches(spark, documents, monkeypatch):
+    """Rows in many shares, a long one among them, count in the ratios, and each share in the model."""
+    monkeypatch.setattr(quality, "SHARE", 60)
+    rows = [(i, text) for i, text, _ in worded(800)] + [(10_001, "long text " * 5_000)]
+    marks = [(i, label) for i, _, label in worded(800)] + [(10_001, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    found = quality._labelled(documents(rows), labels, "doc_id", "text", "quality").collect()
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {(r.doc_id, r.label) for r in found} == {(i, y) for i, y in marks if i not in held} and len(found) == len(rows) - len(held)
+    seen = []
+    monkeypatch.setattr(quality, "_ratios", lambda counts, real=quality._ratios: seen.append(counts) or real(counts))
+    model = quality.train(documents(rows), labels)
+    signs = np.array([1.0 if r.label else -1.0 for r in found])
+    slots = [np.frombuffer(r.slots, np.int32) for r in found]
+    want = np.zeros((2, quality.ALL_SLOTS))
+    for row, sign in zip(slots, signs, strict=True):
+        want[int(sign > 0), row] += 1
+    assert len(seen) == 1 and (seen[0] == want).all()
+    truth, words = dict(marks), quality.Words()
+    right = [(model.score(quality.all_features(t, words)) >= 0.3) == truth[i] for i, t in rows if i in held]
+    assert len(right) > 100 and np.mean(right) >= 0.95
