@@ -34,6 +34,10 @@ SCHEMAS = {
 }
 
 
+#: Rows that a task parses one by one.
+DEALT_ROWS = 100_000
+
+
 class Roles:
     """Tables below one folder."""
 
@@ -44,11 +48,16 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet", SCHEMAS[name])
 
+    def parts(self, name: str, rows: int = DEALT_ROWS) -> int:
+        """Tasks for rows of a table that are parsed one by one: one for so many, and at least as many as
+        ``spark.barrelbook.partitions``, or else the cluster's default, says."""
+        least = self.spark.conf.get("spark.barrelbook.partitions", None) or self.spark.sparkContext.defaultParallelism
+        return max(int(least), -(-self.table(name).count() // rows))
+
     def texts(self, name: str) -> DataFrame:
-        """A table whose rows are parsed one by one. The given files can't be split; a session that
-        sets ``spark.barrelbook.partitions``, as local ones do, deals their rows out first."""
-        table, parts = self.table(name), self.spark.conf.get("spark.barrelbook.partitions", None)
-        return table.repartition(int(parts)) if parts else table
+        """A table whose rows are parsed one by one. Its files may be few and hard to split, so its rows are
+        dealt out first."""
+        return self.table(name).repartition(self.parts(name))
 
     # Check-ins ---------------------------------------------------------------
 
@@ -109,13 +118,17 @@ class Roles:
 
     # Country-year panel --------------------------------------------------------
 
-    def _located_orders(self, orders: DataFrame | None = None) -> DataFrame:
+    def _located_orders(self) -> DataFrame:
         return (
-            (self.table("orders") if orders is None else orders)
+            self.table("orders")
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         )
 
+    def _dealt_orders(self) -> DataFrame:
+        """Dealt out after the joins, which have partitions of their own, and before long texts are made."""
+        return self._located_orders().repartition(self.parts("orders"))
+
     def quotes(self) -> DataFrame:
         """Orders as price quotes of the customer's nation."""
         return self._located_orders().select(
@@ -167,7 +180,7 @@ class Roles:
     def order_texts(self, **columns: str) -> DataFrame:
         """Order key, country and the given derived texts, one row per order."""
         derived = [F.expr(sql).alias(name) for name, sql in columns.items()]
-        return self._located_orders(self.texts("orders")).select(F.col("o_orderkey").alias("posting_id"), *derived)
+        return self._dealt_orders().select(F.col("o_orderkey").alias("posting_id"), *derived)
 
     def rates(self) -> DataFrame:
         rows = [(c, date.fromisoformat(d.PRICING_DAY), usd) for c, usd in d.RATES.items()]
@@ -247,7 +260,7 @@ class Roles:
                 k % 7 != 5, F.struct(F.expr(d.pick("o_orderkey", d.texts("fullDay", "remote", "flyInFlyOut", "shift"))).alias("id"))
             ).alias("schedule"),
         )
-        return self._located_orders(self.texts("orders")).select(
+        return self._dealt_orders().select(
             F.lit("2021-01-18 10:00:00").alias("added_at"),
             F.expr(d.query("o_orderkey")).alias("query_string"),
             F.lit("Навык").alias("query_type"),
@@ -309,7 +322,7 @@ class Roles:
             F.when(F.col("o_orderkey") % 11 == 0, '<p class="notice bad_query">?</p>').otherwise(F.lit("<!-- bad_query -->")),
             F.lit("</body></html>"),
         )
-        return self._located_orders(self.texts("orders")).select(
+        return self._dealt_orders().select(
             F.col("o_orderkey").alias("page_id"),
             F.expr(d.query("o_orderkey")).alias("query_string"),
             F.expr(d.COUNTRY_CODE).alias("country_code"),
