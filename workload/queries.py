@@ -790,21 +790,28 @@ def stream_bucketed_keys(t: Roles) -> DataFrame:
     return ingest.known_rows(t.spark, target, EVENTS).drop(ingest.BATCH)
 
 
+def _feed_files(t: Roles) -> int:
+    """Files of a feed made of the orders, read in two batches: four, and more for larger tables, so that
+    neither a file nor a bucket of known keys grows with them."""
+    return max(4, 2 * (-(-t.table("orders").count() // 100_000)))
+
+
 @query
 def stream_vacancy_feed(t: Roles) -> DataFrame:
     """The vacancy feed as files that arrive in several batches, with repeated records."""
     source, target, checkpoint = (_scratch(t, label) for label in ("source", "target", "checkpoint"))
     columns = ["added_at", "query_string", "query_type", "level", "direction", "body"]
-    t.repeated_feed().select(*columns).repartition(4).write.parquet(source)
+    files = _feed_files(t)
+    t.repeated_feed().select(*columns).repartition(files).write.parquet(source)
     feed = ingest.read_feed(
-        t.spark, source, ", ".join(f"{c} string" for c in columns), "parquet", maxFilesPerTrigger="2"
+        t.spark, source, ", ".join(f"{c} string" for c in columns), "parquet", maxFilesPerTrigger=str(files // 2)
     )
 
     def accepted(batch: DataFrame) -> DataFrame:
         return vacancies.flatten_feed(vacancies.accepted_records(t.feed_records(batch)))
 
     flat = ", ".join(f"{c} {kind}" for c, kind in accepted(t.feed()).dtypes)
-    known = KnownKeys(_scratch(t, "known"), vacancies.FEED_KEYS, 8)
+    known = KnownKeys(_scratch(t, "known"), vacancies.FEED_KEYS, max(8, files))
     run = ingest.store_new_rows(feed, target, checkpoint, known.keys, ["published_at"], accepted, flat, known)
     run.awaitTermination()
     stored = ingest.known_rows(t.spark, target, flat).drop(ingest.BATCH)
@@ -816,17 +823,17 @@ def stream_postings(t: Roles) -> DataFrame:
     """Result pages that arrive as files: accepted postings, each (job, query) once."""
     source, target, checkpoint = (_scratch(t, label) for label in ("source", "target", "checkpoint"))
     pages = t.result_pages().select("query_string", "country_code", "html")
-    pages.repartition(4).write.parquet(source)
-    feed = ingest.read_feed(
-        t.spark, source, "query_string string, country_code string, html string", "parquet", maxFilesPerTrigger="2"
-    )
+    files = _feed_files(t)
+    pages.repartition(files).write.parquet(source)
+    schema = "query_string string, country_code string, html string"
+    feed = ingest.read_feed(t.spark, source, schema, "parquet", maxFilesPerTrigger=str(files // 2))
 
     def postings(batch: DataFrame) -> DataFrame:
         cards = vacancies.result_cards(batch, ["query_string", "country_code"])
         return vacancies.posting_rows(vacancies.accepted_cards(cards), t.rates(), t.price_index(), d.PRICING_DAY)
 
     stored = ", ".join(f"{c} {kind}" for c, kind in postings(t.result_pages()).dtypes)
-    known = KnownKeys(_scratch(t, "known"), vacancies.POSTING_KEYS, 8)
+    known = KnownKeys(_scratch(t, "known"), vacancies.POSTING_KEYS, max(8, files))
     run = ingest.store_new_rows(feed, target, checkpoint, known.keys, [], postings, stored, known)
     run.awaitTermination()
     rows = ingest.known_rows(t.spark, target, stored).drop(ingest.BATCH)
