@@ -9,6 +9,7 @@ them; the model is the mean of theirs. A bounded sample of the rows can be asked
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from barrelbook.session import checkpointed
 
@@ -28,8 +30,13 @@ ALL_SLOTS = 2 * SLOTS
 SHARE, SHARE_BYTES = 2_000, 16_000_000
 #: Bytes of texts of a sample, if one is asked for; a row that is too long for the rest is passed over.
 SAMPLE_BYTES = 40_000_000
-#: Parts that the sums of models are cut into.
+#: Parts that the sums of counts and of models are cut into.
 PARTS = 16
+#: Bits for a labelled row, in a set of all that tells which texts to look at, and bits of that set at most;
+#: a fuller set lets more rows without label through, which the join with the labels drops.
+ROW_BITS, SET_BITS = 16, 1 << 28
+#: Bits of a bucket of Spark's bitmap functions.
+BUCKET_BITS = 1 << 15
 #: Standard errors that the ratio of a word must exceed; else rare words learn the rows by heart.
 ERRORS = 2.0
 THRESHOLD = 0.3
@@ -256,25 +263,115 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     return rows.groupBy("doc_id", "th", "label").agg(F.first("slots").alias("slots")).toArrow()
 
 
+def _pack(slots: np.ndarray) -> bytes:
+    """Sorted slots as the gaps between them, their low, middle and high bytes apart."""
+    gaps = np.diff(slots, prepend=np.int32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return zlib.compress(gaps.T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1).astype(np.int32)
+    return np.cumsum(low | middle << 8 | high << 16, dtype=np.int32)
+
+
+@F.pandas_udf(BinaryType())
+def _unpacked(packed: pd.Series) -> pd.Series:
+    return packed.map(lambda p: _unpack(p).tobytes())
+
+
+def _places(rows: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with the two places of their id and text in a set of so many bits."""
+    both = F.xxhash64("doc_id", "th")
+    return rows.withColumns({"one": F.pmod(both, F.lit(bits)), "two": F.pmod(F.shiftright(both, 32), F.lit(bits))})
+
+
+def _set_of(rows: DataFrame) -> np.ndarray:
+    """Bytes of a set of the ids and texts: a row of it has both its places marked, other rows seldom do."""
+    bits = -(-min(max(rows.count() * ROW_BITS, 1), SET_BITS) // BUCKET_BITS) * BUCKET_BITS
+    marked = _places(rows, bits).select(F.explode(F.array("one", "two")).alias("place"))
+    bucket, position = F.bitmap_bucket_number(F.col("place") + 1), F.bitmap_bit_position(F.col("place") + 1)
+    marked = marked.select(bucket.alias("bucket"), position.alias("position")).repartition("bucket")
+    found = np.zeros((bits // BUCKET_BITS, BUCKET_BITS // 8), dtype=np.uint8)
+    for batch in marked.groupBy("bucket").agg(F.bitmap_construct_agg("position")).toArrow().to_batches():
+        for number, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found[number - 1] = np.frombuffer(held.as_buffer(), np.uint8)
+    return found.reshape(-1)
+
+
+def _packed_features(shared):
+    """Packed slots of the rows in a set, and bytes of these slots unpacked; copies as in ``_features``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen, held = Words(), set(), shared.value
+        for batch in batches:
+            one, two = (batch.column(name).to_numpy() for name in ("one", "two"))
+            inside = (held[one >> 3] >> (one & 7)) & (held[two >> 3] >> (two & 7)) & 1
+            batch, found = batch.filter(pa.array(inside == 1)), []
+            for *key, content in zip(*(batch.column(name) for name in ("doc_id", "th", "text")), strict=True):
+                key = tuple(k.as_py() for k in key)
+                if key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    slots = all_features(content.as_py(), words)
+                    found.append((*key, slots.nbytes, _pack(slots)))
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "th", "size", "packed"]
+            )
+
+    return run
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """``doc_id, th, label, slots`` of all labelled rows that are not held out, each once."""
+    """``doc_id, th, label, size, packed, slots`` of all labelled rows that are not held out, each once.
+
+    Labels meet ids and hashes first. Then only slots are shuffled and stored, packed, and never a text;
+    ``slots`` is unpacked if it is read.
+    """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = own.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("th", F.xxhash64("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marked = marked.filter(F.col("label").isin(0, 1)).distinct()
-    met = own.join(marked, "doc_id").select("doc_id", "th", "label", "text")
-    rows = met.mapInArrow(_features, "doc_id long, th long, label int, slots binary")
-    return checkpointed(rows.groupBy("doc_id", "th", "label").agg(F.first("slots").alias("slots")))
+    known = checkpointed(own.select("doc_id", "th").join(marked, "doc_id").select("doc_id", "th", "label").distinct())
+    held = _set_of(known)
+    shared = docs.sparkSession.sparkContext.broadcast(held)  # two bytes a row, SET_BITS at most
+    rows = _places(own, 8 * len(held)).mapInArrow(_packed_features(shared), "doc_id long, th long, size long, packed binary")
+    found = checkpointed(rows.join(known, ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "label"]))
+    return found.select("doc_id", "th", "label", "size", "packed", _unpacked("packed").alias("slots"))
+
+
+def _cut(values: np.ndarray) -> pa.Table:
+    pieces = [zlib.compress(piece.tobytes(), 1) for piece in np.array_split(values, PARTS)]
+    return pa.table({"part": pa.array(range(PARTS), pa.int64()), "sums": pa.array(pieces, pa.binary())})
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            values = np.frombuffer(zlib.decompress(sums), np.float64)
+            held[part] = held[part] + values if part in held else values
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(held), pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())],
+        names=["part", "sums"],
+    )
+
+
+def _sum_of(cut: DataFrame) -> np.ndarray:
+    """Sum of the arrays that tasks have cut into parts."""
+    added = {r.part: r.sums for r in cut.repartition(PARTS, "part").mapInArrow(_added, "part long, sums binary").collect()}
+    return np.concatenate([np.frombuffer(zlib.decompress(added[p]), np.float64) for p in range(PARTS)])
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of each class in which a slot occurs."""
-    counts = np.zeros((2, ALL_SLOTS), dtype=np.int64)
+    """Rows of each class in which a slot occurs, cut into parts."""
+    counts = np.zeros((2, ALL_SLOTS))
     for batch in batches:
-        for label, slots in zip(batch.column("label").to_pylist(), batch.column("slots"), strict=True):
-            counts[label, np.frombuffer(slots.as_buffer(), np.int32)] += 1
-    used = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, counts[:, used])], names=["slot", "bad", "good"])
+        for label, packed in zip(batch.column("label").to_pylist(), batch.column("packed"), strict=True):
+            counts[label, _unpack(packed.as_py())] += 1
+    yield from _cut(counts.reshape(-1)).to_batches()
 
 
 def _fitted(shared):
@@ -282,25 +379,13 @@ def _fitted(shared):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("label", "ascending")])
-        rows = [np.frombuffer(s.as_buffer(), np.int32) for s in table["slots"]]
+        rows = [_unpack(p.as_py()) for p in table["packed"]]
         model = fit(rows, np.where(table["label"].to_numpy() == 1, 1.0, -1.0), shared.value)
-        pieces = np.array_split(np.r_[model.weights * model.slope, model.shift], PARTS)
-        return pa.table({"part": pa.array(range(PARTS), pa.int64()), "sums": pa.array([p.tobytes() for p in pieces], pa.binary())})
+        return _cut(np.r_[model.weights * model.slope, model.shift])
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-            values = np.frombuffer(sums, np.float64)
-            held[part] = held[part] + values if part in held else values
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["part", "sums"]
-    )
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -325,20 +410,15 @@ def train(
         return fit(rows, y, ratios_of(rows, y))
     found = _labelled(docs, labels, doc_id, text, label)
     classes = F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good")
-    total = found.agg(*classes, F.sum(F.octet_length("slots")).alias("size")).first()
+    total = found.agg(*classes, F.sum("size").alias("size")).first()
     if not total.bad or not total.good:
         return fit([], np.ones(total.good) if total.good else -np.ones(total.bad), np.zeros(ALL_SLOTS))
-    counts = np.zeros((2, ALL_SLOTS))
-    sums = found.mapInArrow(_slot_counts, "slot long, bad long, good long").groupBy("slot").agg(F.sum("bad"), F.sum("good"))
-    for batch in sums.toArrow().to_batches():
-        counts[:, batch.column(0).to_numpy()] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    counts = _sum_of(found.select("label", "packed").mapInArrow(_slot_counts, "part long, sums binary")).reshape(2, ALL_SLOTS)
     shared = docs.sparkSession.sparkContext.broadcast(_ratios(counts))  # ALL_SLOTS numbers
     shares = max(1, round((total.bad + total.good) / SHARE), round(total.size / SHARE_BYTES))
-    dealt = found.withColumn("share", F.pmod(F.xxhash64("doc_id", "th", "label"), F.lit(shares)))
-    models = dealt.groupBy("share").applyInArrow(_fitted(shared), "part long, sums binary")
-    added = {r.part: r.sums for r in models.repartition(PARTS, "part").mapInArrow(_added, "part long, sums binary").collect()}
-    used = dealt.select("share").distinct().count()
-    mean = np.concatenate([np.frombuffer(added[p], np.float64) for p in range(PARTS)]) / used
+    dealt = found.drop("size", "slots").withColumn("share", F.pmod(F.xxhash64("doc_id", "th", "label"), F.lit(shares)))
+    models = _sum_of(dealt.groupBy("share").applyInArrow(_fitted(shared), "part long, sums binary"))
+    mean = models / dealt.select("share").distinct().count()
     return Model(mean[:-1], 1.0, float(mean[-1]))
 
 

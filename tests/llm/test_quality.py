@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 
 from barrelbook.llm import quality
+from barrelbook.session import shared_folder
 
 
 def test_descent_reaches_the_optimum():
@@ -174,3 +176,50 @@ def test_every_labelled_row_teaches(spark, documents, monkeypatch):
     truth, words = dict(marks), quality.Words()
     right = [(model.score(quality.all_features(t, words)) >= 0.3) == truth[i] for i, t in rows if i in held]
     assert len(right) > 100 and np.mean(right) >= 0.95
+
+
+def test_packed_slots():
+    words = quality.Words()
+    for text in (None, "", "a", "One two, three 4. " * 50, " ".join(f"word{i}" for i in range(200_000))):
+        slots = quality.all_features(text, words)
+        assert (quality._unpack(quality._pack(slots)) == slots).all() and quality._unpack(quality._pack(slots)).dtype == np.int32
+    edges = np.array([0, 1, 255, 256, 65_536, quality.ALL_SLOTS - 1], dtype=np.int32)
+    assert (quality._unpack(quality._pack(edges)) == edges).all()
+
+
+def test_learning_writes_less_than_the_texts(spark, documents):
+    """Shuffles and stored rows take less disk than the texts, of which a part has labels."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(20_000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=500))) for i in range(4_000)]
+    docs = documents(rows).localCheckpoint()
+    labels = spark.createDataFrame([(i, i // 5 % 2) for i in range(0, 4_000, 5)], "doc_id long, quality int")
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        shuffled = {Path(f.getPath()) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())}
+        stored = set(Path(shared_folder(spark).removeprefix("file:")).rglob("part-*"))
+        return {f: f.stat().st_size for f in shuffled | stored if f.is_file()}
+
+    before = files()
+    quality.train(docs, labels)
+    written = sum(size for f, size in files().items() if f not in before)
+    assert 0 < written < 0.6 * sum(len(t) for _, t in rows), written
+
+
+def test_a_full_set_loses_no_row(spark, documents, monkeypatch):
+    """With sets of several buckets, and with one that every row is in, the labelled rows come out alone and whole."""
+    rows = [(i, text) for i, text, _ in worded(400)] + [(7, "another text"), (7, None), (None, "x")]
+    marks = [(i, label) for i, _, label in worded(400) if i % 2] + [(9, 0), (9, 1), (10_000, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    texts, words = {}, quality.Words()
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0}
+    want = {(i, y, quality.all_features(t, words).tobytes()) for i, y in marks if i not in held for t in texts.get(i, [])}
+    monkeypatch.setattr(quality, "ROW_BITS", 1 << 12)
+    for full in (False, True):
+        if full:
+            monkeypatch.setattr(quality, "_set_of", lambda known, real=quality._set_of: real(known) | np.uint8(255))
+        found = quality._labelled(documents(rows * 2), labels, "doc_id", "text", "quality").collect()
+        assert {(r.doc_id, r.label, r.slots) for r in found} == want and len(found) == len(want)
