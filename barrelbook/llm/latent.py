@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barrelbook.llm.pages import aligned
-from barrelbook.session import checkpointed, scratch_path
+from barrelbook.session import bounded_batches, checkpointed, scratch_path
 
 #: A passage is two neighbouring blocks of words.
 BLOCK_WORDS = 16
@@ -696,6 +696,7 @@ def leaks(
     stay NULL; empty tables give no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     context = spark.sparkContext
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")

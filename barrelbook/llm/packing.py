@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barrelbook.session import bounded_batches
+
 WINDOW = 1_024
 #: Open windows that a task keeps; beyond that they are closed like those at the end.
 OPEN_WINDOWS = 8_192
@@ -206,5 +208,6 @@ def pack(
         packer.close()
         yield _rows(packer.done, number)
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, PIECES)

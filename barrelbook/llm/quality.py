@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from barrelbook.session import checkpointed
+from barrelbook.session import bounded_batches, checkpointed
 
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
@@ -402,6 +402,7 @@ def train(
 
     Without rows of both classes every text gets the smoothed share of good rows.
     """
+    bounded_batches(docs.sparkSession)
     if sample is not None:
         found = _sample(docs, labels, doc_id, text, label, sample, size)
         found = found.sort_by([("doc_id", "ascending"), ("th", "ascending"), ("label", "ascending")])
@@ -432,6 +433,7 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
         for batch in texts:
             yield pd.Series([shared.value.score(all_features(t, words)) for t in batch], dtype="float64")
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, scored(F.col(text)))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barrelbook.llm.graph import SALTS, components
-from barrelbook.session import checkpointed
+from barrelbook.session import bounded_batches, checkpointed
 
 BITS = 64
 #: Fingerprints that are read to plan the groups; the search itself covers all of them.
@@ -58,6 +58,7 @@ def with_fingerprint(docs: DataFrame, text: str, name: str, words_per_shingle: i
             found = np.fromiter((fingerprint(t, words_per_shingle) for t in batch), dtype="<u8", count=len(batch))
             yield pd.Series(found.view("<i8"))
 
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, fingerprints(F.col(text)))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barrelbook.session import checkpointed
+from barrelbook.session import bounded_batches, checkpointed
 
 SPAN, GRAM = 200, 100
 #: Bytes that are hashed at once; longer texts are cut into segments that overlap by a window.
@@ -499,6 +499,7 @@ def repeated_spans(
     if not 8 <= gram < span:
         raise ValueError("gram must be at least 8 and less than span")
     spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")
     ).filter(F.octet_length("text") >= span)

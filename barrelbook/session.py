@@ -1,4 +1,4 @@
-"""Session helpers: recommended settings, the shared folder, reliable checkpoints."""
+"""Session helpers: recommended settings, the shared folder, reliable checkpoints, batches of bounded size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch of texts; a text that is longer makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 def local_session(cores: int | str = "*", app: str = "barrelbook", **conf: str) -> SparkSession:
     """A session for tests and the benchmark. Clusters bring their own session."""
@@ -62,3 +65,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably: later steps neither recompute nor reorder it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of about ``BATCH_BYTES``; a setting of the session's own stays.
+
+    By default 10,000 rows or 64 MB make a batch. Each task holds it in buffers that double as they grow, as rows
+    that wait for their result, and once more in its Python worker, where texts become strings.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
