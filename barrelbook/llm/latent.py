@@ -41,7 +41,7 @@ SUMMED = 2_048
 PAIRS, PAIR_WORDS = 1 << 16, 1 << 20
 #: Pairs of terms that a task adds up before it sorts them, and different ones that it holds before it sends them.
 PENDING, HELD = 1 << 20, 1 << 22
-#: Parts of the sums over pairs of terms, and tasks that multiply by them; each sends one terms-by-rank matrix per product.
+#: Parts of the sums over pairs of terms, and tasks that multiply by them. Each row of a product comes from one task.
 PARTS, TASKS = 64, 16
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")  # punctuation beyond ASCII
 _WORD_BYTES = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -344,41 +344,43 @@ def _crossed(bounds: np.ndarray):
     return run
 
 
+def _row_bounds(size: int) -> np.ndarray:
+    """Terms at which the parts of the pairs (i, j) of any order begin, each of whole rows."""
+    return np.unique(np.round(np.linspace(0, size, 2 * max(1, min(PARTS, size)) + 1)).astype(np.int64))
+
+
+def _mirrored(bounds: np.ndarray):
+    """Sums by pairs (i, j), i <= j, as sums by (i, j) and (j, i)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = int(bounds[-1])
+        for batch in batches:
+            for _, keys, sums in _unpacked(batch):
+                i, j = keys // size, keys % size
+                apart = i < j
+                keys, sums = _summed(np.r_[keys, (j * size + i)[apart]], np.r_[sums, sums[apart]])
+                yield _sums_batch(list(_parted(keys, sums, bounds)))
+
+    return run
+
+
 def _product(basis, weights: np.ndarray, bounds: np.ndarray):
-    """Sums over the parts of a task of what they, and what lies on the other side of the diagonal, give
-    times the basis; cut into parts of terms. Each term's sums are weighted."""
+    """What the rows of each part give times the basis. Each term's sums are weighted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, size = basis.value, int(bounds[-1])
-        total = np.zeros_like(q)
         for batch in batches:
             for part, keys, sums in _unpacked(batch):
                 low, high = int(bounds[part]), int(bounds[part + 1])
                 rows = np.zeros((high - low, size))
                 rows.reshape(-1)[keys - low * size] = sums * weights[keys // size] * weights[keys % size]
-                total[low:high] += rows @ q
-                rows[np.arange(high - low), np.arange(low, high)] = 0
-                total += rows.T @ q[low:high]
-        pieces = np.array_split(total, min(TASKS, size))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(pieces)), pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())],
-            names=["part", "sums"],
-        )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int64()), pa.array([(rows @ q).tobytes()], pa.binary())], names=["part", "sums"]
+                )
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist()):
-            values = np.frombuffer(sums, "<f8")
-            held[part] = values + held[part] if part in held else values
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["part", "sums"]
-    )
-
-
 def latent_space(sample: DataFrame, items: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Orthonormal terms-by-rank basis of the leading right singular space of packed rows ``terms, x`` and items.
 
@@ -392,21 +394,21 @@ def latent_space(sample: DataFrame, items: np.ndarray, rank: int = RANK) -> np.n
 def _leading(met: DataFrame, weights: np.ndarray, items: np.ndarray, rank: int) -> np.ndarray:
     """The same of rows of which ``met`` has the sums over pairs of terms.
 
-    Every product is a Spark job that sums over the parts; the driver sees only terms-by-rank matrices.
+    The sums are stored once more with both orders of a pair, so that a task has whole rows of them: every
+    product is a Spark job without a shuffle, and the driver sees only terms-by-rank matrices.
     """
     context, size = met.sparkSession.sparkContext, items.shape[1]
-    bounds, width, pieces = _bounds(size), min(size, rank + EXTRA), min(TASKS, size)
-    met = met.filter("part >= 0").coalesce(TASKS)
+    bounds, width = _row_bounds(size), min(size, rank + EXTRA)
+    met = _gathered(met.filter("part >= 0").mapInArrow(_mirrored(bounds), SUMS), bounds).coalesce(TASKS)
 
     def times(q: np.ndarray) -> np.ndarray:
         basis = context.broadcast(q)
-        sums = met.mapInArrow(_product(basis, weights, bounds), "part long, sums binary").repartition(pieces, "part")
-        rows = {r.part: r.sums for r in sums.mapInArrow(_added, "part long, sums binary").collect()}
-        basis.unpersist()
-        own = ITEM_WEIGHT * (items.T @ (items @ q))
-        if not rows:
-            return own
-        return own + np.concatenate([np.frombuffer(rows[p], "<f8") for p in range(pieces)]).reshape(q.shape)
+        rows = met.mapInArrow(_product(basis, weights, bounds), "part long, sums binary").collect()
+        basis.destroy()
+        total = ITEM_WEIGHT * (items.T @ (items @ q))
+        for r in rows:
+            total[bounds[r.part] : bounds[r.part + 1]] += np.frombuffer(r.sums, "<f8").reshape(-1, q.shape[1])
+        return total
 
     q = np.linalg.qr(np.random.default_rng(0).normal(size=(size, width)))[0]
     for _ in range(POWERS):
@@ -719,5 +721,7 @@ def leaks(
         space = context.broadcast(_space(weights, basis, rows))
         gate = context.broadcast(gate_of(block, weights, shared, answer))
         slim.mapInArrow(_leaks(known, space, gate, cosine, shared, answer), LEAK).write.mode("append").parquet(path)
+        for sent in (known, space, gate):  # the driver and every executor have a file of each
+            sent.destroy()
     spark.createDataFrame([], LEAK).write.mode("append").parquet(path)
     return spark.read.schema(LEAK).parquet(path)

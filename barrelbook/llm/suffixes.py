@@ -509,6 +509,7 @@ def repeated_spans(
     heavy = [r.h for r in repeated.filter(F.col("n") > max(SALTS, total // HEAVY_PARTS)).select("h").limit(HEAVY_PARTS).collect()]
     known = spark.sparkContext.broadcast(_filter_of(repeated, FILTER_BITS))
     rows = checkpointed(slim.mapInArrow(_candidates(known, span, gram), ROW))
+    known.destroy()  # the driver and every executor have a file of it
     is_heavy = F.col("h").isin(heavy) if heavy else F.lit(False)
     candidates = rows.filter(F.col("kind") == CANDIDATE)
 
@@ -545,7 +546,9 @@ def _compared(slim: DataFrame, asks: DataFrame, span: int, chunk: int) -> DataFr
     cut = f"transform(asks, a -> struct({fields}, substring(data, int(a.start) + 1, a.length) AS piece))"
     sliced = joined.select(F.explode(F.expr(cut)).alias("a")).select("a.*")
     dealt = sliced.repartition("h").sortWithinPartitions("h")
-    return checkpointed(dealt.mapInArrow(_compare(span, chunk), ROW))
+    compared = checkpointed(dealt.mapInArrow(_compare(span, chunk), ROW))
+    known.destroy()
+    return compared
 
 
 def _equal_windows(windows: DataFrame, span: int) -> DataFrame:

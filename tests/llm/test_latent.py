@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import random
 
 import numpy as np
@@ -268,3 +269,33 @@ def test_shares_of_verified_stretches():
             for j, b in enumerate(around):
                 table[i + 1, j + 1] = table[i, j] + 1 if a == b else max(table[i, j + 1], table[i + 1, j])
         assert latent._in_order(latent._places(words), len(words), around) == table[-1, -1]
+
+
+def test_rows_of_a_product_come_from_one_task(spark, monkeypatch):
+    """What tasks send for a product is as large as the product, however many tasks there are."""
+    size, width, sent = 600, 8 + latent.EXTRA, spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(3)
+    terms = [np.sort(rng.choice(size, 40, replace=False)) for _ in range(400)]
+    packed = [(t.astype("<i4").tobytes(), rng.normal(size=40).astype("<f4").tobytes()) for t in terms]
+    frame = spark.createDataFrame(packed, "terms binary, x binary").repartition(8)
+    product = latent._product
+
+    def counting(*given):
+        def run(batches):
+            for batch in product(*given)(batches):
+                sent.add(sum(len(x) for x in batch.column("sums").to_pylist()))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(latent, "_product", counting)
+    latent.latent_space(frame, rng.normal(size=(5, size)), 8)
+    assert 0 < sent.value <= (latent.POWERS + 1) * size * width * 8
+
+
+def test_no_file_of_a_broadcast_stays(spark, documents):
+    folder = spark.sparkContext._temp_dir
+    docs, benchmark = documents([(1, "x one two three four five six")]), [(1, "one two three four five six"), (2, "seven eight nine")]
+    before = set(os.listdir(folder))
+    assert latent.leaks(docs, spark.createDataFrame(benchmark, "item_id long, text string"), item_block=1).count() == 1
+    assert set(os.listdir(folder)) <= before

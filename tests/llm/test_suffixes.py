@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
@@ -135,3 +136,11 @@ def test_kept_text_keeps_whole_characters(spark):
     frame = spark.createDataFrame([("aéb", [(2, 4)]), (None, None), ("é", [(0, 1)])], "text string, s array<struct<start: long, end: long>>")
     got = [r[0] for r in frame.select(suffixes.kept_text("text", "s")).collect()]
     assert got == ["aé", None, "é"]
+
+
+def test_no_file_of_a_filter_stays(spark, documents):
+    folder, words = spark.sparkContext._temp_dir, " ".join(map(str, range(100)))
+    docs = documents([(1, "a " + words), (2, "b " + words)])
+    before = set(os.listdir(folder))
+    assert suffixes.repeated_spans(docs).count() == 2
+    assert set(os.listdir(folder)) <= before
